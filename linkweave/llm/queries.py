@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import media, packing, pieces
 
 QUERIES = {
     "op3_best_fit_packing": packing.query,
+    "op4_media_columns": media.query,
+    "op5_sentencepiece": pieces.query,
 }
 ORACLES: dict[str, str] = {}
