@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import media, packing, pieces
+from . import chat, media, packing, pieces, pii, topk
 
 QUERIES = {
+    "op2_chat_formatting": chat.query,
     "op3_best_fit_packing": packing.query,
     "op4_media_columns": media.query,
     "op5_sentencepiece": pieces.query,
+    "op6_topk_search": topk.query,
+    "op10_pii": pii.query,
+}
+ORACLES = {
+    "op2_chat_formatting": chat.ORACLE,
+    "op6_topk_search": topk.ORACLE,
 }
-ORACLES: dict[str, str] = {}
