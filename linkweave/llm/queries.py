@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, media, packing, pieces, pii, topk
+from . import chat, media, packing, pieces, pii, quality, topk
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
     "op2_chat_formatting": chat.query,
     "op3_best_fit_packing": packing.query,
     "op4_media_columns": media.query,
