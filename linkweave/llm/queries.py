@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, packing, pieces, pii, quality, topk
+from . import chat, lm, media, packing, pieces, pii, quality, topk
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_media_columns": media.query,
     "op5_sentencepiece": pieces.query,
     "op6_topk_search": topk.query,
+    "op7_lm_scoring": lm.query,
     "op10_pii": pii.query,
 }
 ORACLES = {
