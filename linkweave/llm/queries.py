@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lm, media, packing, pieces, pii, quality, repeats, topk
+from . import chat, jaccard, lm, media, packing, pieces, pii, quality, repeats, topk
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sentencepiece": pieces.query,
     "op6_topk_search": topk.query,
     "op7_lm_scoring": lm.query,
+    "op8_ngram_jaccard_join": jaccard.query,
     "op9_suffix_array_dedup": repeats.query,
     "op10_pii": pii.query,
 }
