@@ -37,9 +37,9 @@ from ._words import mix, utf8
 
 LENGTH, GRAM = 50, 16
 #: Stored bytes of input for each shard; window starts read at once; anchors and segment bytes a task packs at once.
-PER_SHARD, STEP, PACKED, CUT = 4 << 20, 1 << 20, 1 << 19, 24 << 20
+PER_SHARD, STEP, PACKED, CUT = 4 << 20, 1 << 20, 1 << 19, 16 << 20
 #: Bytes whose suffixes are sorted at once, in whole anchors.
-SORTED = 1 << 20
+SORTED = 1 << 19
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _C1, _C2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 
@@ -222,7 +222,7 @@ def _cut(docs: DataFrame, n: int) -> DataFrame:
             begin, size, h = (entries.field(i).to_numpy().astype(np.int64) for i in range(3))
             text = np.repeat(np.arange(batch.num_rows), per)
             key, doc = batch.column("key").to_numpy()[text], batch.column("doc_id").to_numpy()[text]
-            at = np.append(np.arange(0, len(h), 1 << 17), len(h))
+            at = np.append(np.arange(0, len(h), 1 << 14), len(h))
             for a, b in zip(at, at[1:]):
                 x = slice(a, b)
                 place = offsets[text[x]] + begin[x]
@@ -277,7 +277,7 @@ def expand_intervals(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
         size = high - low + 1
         lows, highs = [], []
         edges = np.concatenate([[0], np.cumsum(size)])
-        for a in _slices(edges, 1 << 22):
+        for a in _slices(edges, 1 << 19):
             x = _ragged(low[a], size[a])
             l, r = np.repeat(low[a], size[a]), np.repeat(high[a], size[a])
             lows.append(last_to_first[x[before[x] < l]])
@@ -341,7 +341,7 @@ def covered(table: pa.Table, length: int = LENGTH) -> pa.Table:
         x = several[bounds[part.start] : (bounds[part.stop] if part.stop < len(bounds) else len(several))]
         source[_ragged(at[x], windows[x])] = earliest(body, place[x], size[x], least[x], length)
     out = ([], [], [])
-    for part in _slices(np.concatenate([[0], np.cumsum(windows[which])]), 1 << 22):
+    for part in _slices(np.concatenate([[0], np.cumsum(windows[which])]), 1 << 19):
         w = windows[which[part]]
         hit = source[_ragged(at[which[part]], w)] < np.repeat(doc[part], w)
         owner = np.repeat(np.arange(len(w)), w)
