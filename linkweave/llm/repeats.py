@@ -84,7 +84,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     end = np.append(begin[1:], len(at))
     keep = inside[begin]
     begin, end = begin[keep], end[keep]
-    return h[at[begin]], np.searchsorted(offsets, begin, "right") - 1, begin, end - begin + length - 1
+    # The least hashes are small numbers: mixed again, they spread over the shards.
+    return mix(h[at[begin]]), np.searchsorted(offsets, begin, "right") - 1, begin, end - begin + length - 1
 
 
 def stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
