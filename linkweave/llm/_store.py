@@ -50,8 +50,9 @@ class Scratch:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the size of ``df``, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own estimate of the size of ``df``, from file sizes; no job runs. Rows that no file holds count by partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.rdd.getNumPartitions() << 24
 
 
 def shards(df: DataFrame, per: int, least: int = 8) -> int:

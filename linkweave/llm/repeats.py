@@ -41,6 +41,8 @@ PER_SHARD, STEP, PACKED, CUT = 4 << 20, 1 << 20, 1 << 19, 16 << 20
 #: Bytes whose suffixes are sorted at once, in whole anchors.
 SORTED = 1 << 19
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Bits for a place in a stretch; the other bits of a hash choose the anchor.
+PLACE = 21
 _C1, _C2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -66,7 +68,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     if len(data) < length:
         return none.astype(np.uint64), none, none, none
     h = grams(data)
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
+    bits = np.uint64(PLACE)
     least = h >> bits << bits | np.arange(len(h), dtype=np.uint64)
     wide, width = length - GRAM + 1, 1
     while width * 2 <= wide:
@@ -114,9 +116,9 @@ def _groups(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _asked(docs: DataFrame, n: int, length: int) -> DataFrame:
+def _asked(docs: DataFrame, n: int, length: int, unique: bool) -> DataFrame:
     """Anchors packed by shard. known 0: in one document of the task; 1: in several, to be passed on; 2: a sign that it is in several."""
-    schema = "shard int, known int, hashes binary, keys binary, docs binary, begins binary, lengths binary"
+    schema = "shard int, known int, hashes binary, keys binary, docs binary, places binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -134,13 +136,13 @@ def _asked(docs: DataFrame, n: int, length: int) -> DataFrame:
             def add(known: int, at: np.ndarray) -> None:
                 for a, b in zip(e := _groups(shard[at]) if len(at) else [], [*e[1:], len(at)] if len(at) else []):
                     x = at[a:b]
-                    extra = (packed(key[x]), packed(doc[x]), packed(begin[x], np.int64), packed(size[x], np.int32)) if known < 2 else (b"",) * 4
+                    extra = (packed(key[x]), b"" if unique else packed(doc[x]), packed(begin[x] << 8 | size[x])) if known < 2 else (b"",) * 3
                     rows.append((int(shard[x[0]]), known, packed_sorted(h[x]), *extra))
 
             add(0, np.flatnonzero(~several))
             add(1, np.flatnonzero(several))
             add(2, first[many])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 5))], [x.split()[0] for x in schema.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], [x.split()[0] for x in schema.split(", ")])
 
         for rows, data, offsets, at in stretches(batches, length):
             h, text, begin, size = anchors(data, offsets, length)
@@ -155,16 +157,22 @@ def _asked(docs: DataFrame, n: int, length: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _ids(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, docs); where doc_id is unique it is the key."""
+    keys = unpacked(row["keys"], np.int64)
+    return keys, unpacked(row["docs"], np.int64) if row["docs"] else keys
+
+
 def _several(table: pa.Table) -> pa.Table:
-    """Rows (key, hash, begin, length) of the anchors that stand in several documents."""
+    """Rows (key, place) of the anchors that stand in several documents; a place is a begin and a length."""
     parts, signs = [], []
     for row in table.to_pylist():
         h = unpacked_sorted(row["hashes"])
         if row["known"] == 2:
             signs.append(h)
         else:
-            parts.append((h, unpacked(row["keys"], np.int64), unpacked(row["docs"], np.int64), unpacked(row["begins"], np.int64), unpacked(row["lengths"], np.int32), np.full(len(h), row["known"])))
-    h, key, doc, begin, size, known = (np.concatenate(c) for c in zip(*parts))
+            parts.append((h, *_ids(row), unpacked(row["places"], np.int64), np.full(len(h), row["known"], np.int8)))
+    h, key, doc, place, known = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((doc, h))
     first = _groups(h[order])
     hs, ds, ks = h[order], doc[order], known[order]
@@ -173,7 +181,7 @@ def _several(table: pa.Table) -> pa.Table:
     if signs:
         many |= np.isin(hs[first], np.concatenate(signs))
     keep = order[np.repeat(many, np.diff(np.append(first, len(h))))]
-    return pa.table({"key": key[keep], "hash": h[keep].view(np.int64), "begin": begin[keep], "length": size[keep].astype(np.int32)})
+    return pa.table({"key": key[keep], "place": place[keep]})
 
 
 def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -193,7 +201,7 @@ def _content(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
         return mix(np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * weight[_ragged(np.zeros_like(begin), size)], first) + size.astype(np.uint64))
 
 
-def _cut(docs: DataFrame, n: int) -> DataFrame:
+def _cut(docs: DataFrame, n: int, unique: bool) -> DataFrame:
     """Segments packed by shard: different ones once, and all their occurrences."""
     schema = "shard int, content binary, hashes binary, lengths binary, bytes binary, which binary, keys binary, docs binary, begins binary"
 
@@ -213,21 +221,25 @@ def _cut(docs: DataFrame, n: int) -> DataFrame:
                 first = _groups(content[x])
                 which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
                 u = x[first]
-                rows.append((int(shard[x[0]]), packed_sorted(content[u]), packed(h[u]), packed(size[u], np.int32), packed(body[_ragged(where[u], size[u])]), packed(which, np.int32), packed(key[x]), packed(doc[x]), packed(begin[x])))
+                rows.append((int(shard[x[0]]), packed_sorted(content[u]), packed(h[u]), packed(size[u], np.int32), packed(body[_ragged(where[u], size[u])]), packed(which, np.int32), packed(key[x]), b"" if unique else packed(doc[x]), packed(begin[x])))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 8))], [x.split()[0] for x in schema.split(", ")])
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             lists = batch.column("found")
-            entries, per = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            begin, size, h = (entries.field(i).to_numpy().astype(np.int64) for i in range(3))
+            places, per = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            begin, size = places >> 8, places & 255
             text = np.repeat(np.arange(batch.num_rows), per)
-            key, doc = batch.column("key").to_numpy()[text], batch.column("doc_id").to_numpy()[text]
-            at = np.append(np.arange(0, len(h), 1 << 14), len(h))
+            key, doc = batch.column("key").to_numpy()[text], batch.column("doc_id").cast(pa.int64()).to_numpy()[text]
+            at = np.append(np.arange(0, len(places), 1 << 14), len(places))
             for a, b in zip(at, at[1:]):
                 x = slice(a, b)
-                place = offsets[text[x]] + begin[x]
-                held.append((_content(data, place, size[x]), h[x].view(np.uint64), size[x], key[x], doc[x], begin[x], data[_ragged(place, size[x])]))
+                body = data[_ragged(offsets[text[x]] + begin[x], size[x])]
+                where = np.cumsum(size[x]) - size[x]
+                # A segment's anchor has the least hash of all its 16 bytes in a row.
+                inside = size[x] - GRAM + 1
+                h = mix(np.minimum.reduceat(grams(body)[_ragged(where, inside)], np.cumsum(inside) - inside))
+                held.append((_content(body, where, size[x]), h, size[x], key[x], doc[x], begin[x], body))
                 count += int(size[x].sum())
                 if count >= CUT:
                     yield flush()
@@ -323,7 +335,8 @@ def covered(table: pa.Table, length: int = LENGTH) -> pa.Table:
     size = np.concatenate([unpacked(r["lengths"], np.int32) for r in rows]).astype(np.int64)
     body = np.concatenate([unpacked(r["bytes"], np.uint8) for r in rows])
     which = np.concatenate([unpacked(r["which"], np.int32).astype(np.int64) + a for r, a in zip(rows, np.cumsum(counts) - counts)])
-    key, doc, start = (np.concatenate([unpacked(r[c], np.int64) for r in rows]) for c in ("keys", "docs", "begins"))
+    key, doc = (np.concatenate(c) for c in zip(*map(_ids, rows)))
+    start = np.concatenate([unpacked(r["begins"], np.int64) for r in rows])
     place = np.cumsum(size) - size
     _, one, same = np.unique(content, return_index=True, return_inverse=True)  # equal segments of different tasks
     which, h, size, place = same[which], h[one], size[one], place[one]
@@ -361,14 +374,18 @@ def covered(table: pa.Table, length: int = LENGTH) -> pa.Table:
 def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(docs with a key for equal rows, stretches to remove by key)."""
     n = shards(docs, PER_SHARD)
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    texts = keyed.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sound = texts.where("doc_id is not null and octet_length(text) >= " + str(length))
-    shared = _asked(sound, n, length).groupBy("shard").applyInArrow(_several, "key long, hash long, begin long, length int")
-    lists = shared.groupBy("key").agg(F.collect_set(F.struct("begin", "length", "hash")).alias("found"))
-    segments = _cut(texts.join(lists, "key").select("key", "doc_id", "text", "found"), n)
-    stretches_ = segments.groupBy("shard").applyInArrow(lambda t: covered(t, length), "key long, begin long, end long")
-    return keyed, stretches_.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
+    counted = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    unique = counted.where("rows > 1").isEmpty()
+    # Rows that share a doc_id are told apart by their texts; else the doc_id is the smaller key. A key is never null.
+    text_key = F.xxhash64("doc_id", "text")
+    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), text_key) if unique else text_key)
+    sound = keyed.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}").select("key", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = _asked(sound, n, length, unique).groupBy("shard").applyInArrow(_several, "key long, place long")
+    lists = shared.groupBy("key").agg(F.collect_set("place").alias("found"))
+    # All columns go on: this join and the last one then share one shuffle of the texts.
+    segments = _cut(keyed.join(lists, "key"), n, unique)
+    covers = segments.groupBy("shard").applyInArrow(lambda t: covered(t, length), "key long, begin long, end long")
+    return keyed, covers.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
 
 
 def _kept(size: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
@@ -396,7 +413,7 @@ def _kept_rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int]]:
 
 def removal(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """What is removed from each document, and the digest of what stays."""
-    keyed, cuts = repeats(docs, length)
+    keyed, cuts = repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,8 +421,7 @@ def removal(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], [x.split()[0] for x in REMOVED.split(", ")])
 
-    joined = keyed.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(cuts, "key", "left")
-    return joined.select("doc_id", "text", "cuts").mapInArrow(run, REMOVED)
+    return keyed.join(cuts, "key", "left").select("doc_id", "text", "cuts").mapInArrow(run, REMOVED)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -420,8 +436,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             texts = [kept.decode("utf-8", "ignore") if v else None for v, (kept, _, _) in zip(valid, _kept_rows(batch))]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(inner.get(c, c)) for c in names], names)
 
-    kept = keyed.withColumn("text", F.col("text").cast("string")).join(cuts, "key", "left")
-    return kept.select(*(inner.get(c, c) for c in names), "cuts").mapInArrow(run, schema)
+    return keyed.join(cuts, "key", "left").select(*(inner.get(c, c) for c in names), "cuts").mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
