@@ -2,9 +2,767 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .functions import fixed, keys, similarity, text, translit
+from .operators import adapt, blocking, decide, diagnostics, features, groups, metrics, model, neighbours, validate
+from .plans import resolve, views
+from .plans.resolve import resolve_lists
+from .sources import tables
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = sql
+        return function
+
+    return add
+
+
+def _rows(spark, rows: list[tuple], schema: str):
+    return spark.createDataFrame(rows, schema)
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    lit = lambda v: "NULL" if v is None else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+# --- SQL pieces ---------------------------------------------------------------------------------
+
+
+def _sql_skeleton(x: str) -> str:
+    out = x
+    for old, new in fixed.SKELETON:
+        out = f"replace({out}, '{old}', '{new}')"
+    out = f"regexp_replace({out}, '[aeiouy]', '', 'g')"
+    for c in "bdfjklmnprstv0123456789":
+        out = f"regexp_replace({out}, '{c}{c}+', '{c}', 'g')"
+    return f"CASE WHEN regexp_full_match({x}, '[0-9]+') THEN {x} ELSE {out} END"
+
+
+def _sql_key_skeleton(x: str) -> str:
+    sound = _sql_skeleton(x)
+    return f"CASE WHEN regexp_replace({sound}, '[sj]$', '') <> '' THEN regexp_replace({sound}, '[sj]$', '') ELSE {sound} END"
+
+
+_LEET = "CASE WHEN regexp_matches(t, '[a-z]') THEN translate(t, '0135', 'oles') ELSE t END"
+_REC = f"""
+rec AS (
+  SELECT CAST(p_partkey AS BIGINT) AS id, p_type AS country, lower(p_name) AS n_core, CAST(p_size AS INTEGER) AS size, CAST(p_size AS VARCHAR) AS num,
+    regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS word, p_name AS raw_name, p_brand AS raw_addr FROM part
+), s AS (SELECT * FROM rec WHERE id % 4 = 0), q AS (SELECT * FROM rec WHERE id % 4 <> 0)"""
+_KEYS = f"""{_REC}, sounds AS (
+  SELECT *, list_filter(string_split(n_core, ' '), lambda t: t <> '') AS tokens,
+    list_filter(list_transform(list_filter(string_split(n_core, ' '), lambda t: t <> ''), lambda t: {_sql_key_skeleton("t")}), lambda t: t <> '') AS sks FROM rec
+), named AS (SELECT *, list_sort(list_distinct(sks))[1:6] AS u, replace(n_core, ' ', '') AS ns FROM sounds
+), keys AS (
+  SELECT id, country, unnest(list_distinct(list_concat(
+    CASE WHEN len(sks) > 0 THEN list_concat(
+      ['N:' || array_to_string(list_sort(sks), ' ')], list_transform(sks, lambda x: 'k:' || x),
+      flatten(list_transform(u, lambda a: list_transform(list_filter(u, lambda b: b > a), lambda b: 'b:' || a || '_' || b))),
+      CASE WHEN len(tokens) >= 2 THEN ['i:' || array_to_string(list_transform(tokens, lambda t: left(t, 1)), '')]
+        WHEN len(tokens) = 1 AND length(tokens[1]) BETWEEN 2 AND 4 THEN ['i:' || tokens[1]] ELSE [] END) ELSE [] END,
+    CASE WHEN length(ns) >= 4 THEN ['p:' || left(ns, 5)] ELSE [] END,
+    ['a:' || word, '#:' || num, 'h:' || num || '_' || word], list_transform(sks[1:3], lambda x: 'x:' || x || '_' || word)))) AS key
+  FROM named
+), idx AS (SELECT * FROM keys WHERE id % 4 = 0), asked AS (SELECT * FROM keys WHERE id % 4 <> 0)"""
+_IDF = f"""{_KEYS}, total AS (SELECT country, count(*) AS n FROM s GROUP BY country
+), idf AS (SELECT i.country, key, count(*) AS df, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM idx i JOIN total USING (country) GROUP BY i.country, key
+), sw AS (SELECT i.id, country, key, df, idf FROM idx i JOIN idf USING (country, key)
+), qw AS (SELECT a.id, country, key, df, idf FROM asked a JOIN idf USING (country, key)
+), sn AS (SELECT id, CASE WHEN sqrt(sum(idf * idf)) = 0 THEN 1 ELSE sqrt(sum(idf * idf)) END AS norm FROM sw GROUP BY id
+), qn AS (SELECT id, CASE WHEN sqrt(sum(idf * idf)) = 0 THEN 1 ELSE sqrt(sum(idf * idf)) END AS norm FROM qw GROUP BY id)"""
+_SCORES = f"""{_IDF}, dots AS (
+  SELECT qw.id AS q_id, sw.id AS s1_id, sum(qw.idf * sw.idf) AS dot FROM qw JOIN sw USING (country, key) WHERE qw.df <= {resolve.DF_CAP} GROUP BY ALL
+), scores AS (SELECT q_id, s1_id, round(dot / (qn.norm * sn.norm), 9) AS score FROM dots JOIN qn ON qn.id = q_id JOIN sn ON sn.id = s1_id)"""
+_CAND = f"""{_SCORES}, ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, s1_id) - 1 AS INTEGER) AS rank FROM scores
+), cand AS (SELECT * FROM ranked WHERE rank < {resolve.K})"""
+_CONTEXT = f"""{_CAND}, ctx AS (
+  SELECT *, score - max(score) OVER q AS blk_margin, count(*) OVER q AS q_ncand,
+    max(score) OVER q - coalesce(max(CASE WHEN rank = 1 THEN score END) OVER q, 0) AS blk_gap12,
+    count(*) OVER s AS s1_ncand, CAST(sum(CASE WHEN rank = 0 THEN 1 ELSE 0 END) OVER s AS BIGINT) AS s1_rank0_cnt
+  FROM cand WINDOW q AS (PARTITION BY q_id), s AS (PARTITION BY s1_id))"""
+_PAIRS = f"""{_CAND}, pairs AS (
+  SELECT c.*, a.n_core AS qn_, b.n_core AS sn_, a.num AS qnum, b.num AS snum, a.word AS qword, b.word AS sword, a.country, b.country AS s_country,
+    list_filter(string_split(a.n_core, ' '), lambda t: t <> '') AS qt, list_filter(string_split(b.n_core, ' '), lambda t: t <> '') AS st
+  FROM cand c JOIN q a ON a.id = q_id JOIN s b ON b.id = s1_id)"""
+_JACC = "CASE WHEN len(qt) = 0 OR len(st) = 0 THEN -1.0 ELSE CAST(len(list_intersect(qt, st)) AS DOUBLE) / len(list_distinct(list_concat(qt, st))) END"
+_WEIGHTS = model.SCORECARD
+_SCORED = f"""{_PAIRS}, scored AS (
+  SELECT *, round(1 / (1 + exp(-({_WEIGHTS["score"]} * score + {_WEIGHTS["n_jacc"]} * ({_JACC})
+    + {_WEIGHTS["num_first_eq"]} * (CASE WHEN qnum = snum THEN 1.0 ELSE 0.0 END) + {_WEIGHTS["a_words_jacc"]} * (CASE WHEN qword = sword THEN 1.0 ELSE 0.0 END)
+    + {model.INTERCEPT}))), 9) AS p FROM pairs)"""
+_TRUTH = """, truth AS (
+  SELECT q.id AS q_id, min(s.id) AS true_s1_id FROM q LEFT JOIN s ON q.country = s.country AND q.n_core = s.n_core AND abs(q.size - s.size) <= 5 GROUP BY q.id)"""
+_BEST = f"""{_SCORED}{_TRUTH}, best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY p DESC, s1_id) AS place FROM scored) WHERE place = 1
+), assigned AS (SELECT q_id, s1_id, p FROM best WHERE p > {resolve.THRESHOLD})"""
+
+
+def _sql_f(pred: str, true: str, hit: str) -> str:
+    return f"CASE WHEN {pred} = 0 AND {true} = 0 THEN 1.0 WHEN {hit} = 0 THEN 0.0 ELSE 1.25 * ({hit} / {pred}) * ({hit} / {true}) / (0.25 * ({hit} / {pred}) + ({hit} / {true})) END"
+
+
+def _sql_entities(assigned: str) -> str:
+    return f"""SELECT s.id, s.country, coalesce(n_pred, 0) AS n_pred, coalesce(n_hit, 0) AS n_hit, coalesce(n_true, 0) AS n_true,
+      {_sql_f("CAST(coalesce(n_pred, 0) AS DOUBLE)", "CAST(coalesce(n_true, 0) AS DOUBLE)", "CAST(coalesce(n_hit, 0) AS DOUBLE)")} AS f
+    FROM s LEFT JOIN (SELECT s1_id, count(*) AS n_pred, sum(CASE WHEN s1_id = true_s1_id THEN 1 ELSE 0 END) AS n_hit FROM {assigned} LEFT JOIN truth USING (q_id) GROUP BY s1_id) a ON a.s1_id = s.id
+    LEFT JOIN (SELECT true_s1_id, count(*) AS n_true FROM truth WHERE true_s1_id IS NOT NULL GROUP BY true_s1_id) t ON t.true_s1_id = s.id"""
+
+
+def _round(*columns: str, places: int = 6):
+    return {c: F.round(c, places) for c in columns}
+
+
+# --- normalisation -------------------------------------------------------------------------------
+
+_TOKENS = f"list_transform(list_filter(regexp_split_to_array(replace(replace(lower(strip_accents(coalesce(text, ''))), '&', ' and '), '+', ' and '), '[^a-z0-9]+'), lambda t: t <> ''), lambda t: {_LEET})"
+
+
+@_query("name_tokens", f"SELECT doc_id, CAST(len(toks) AS BIGINT) AS n, md5(array_to_string(toks, ' ')) AS digest FROM (SELECT doc_id, {_TOKENS} AS toks FROM documents)")
+def _(spark, sf):
+    toks = text.name_tokens(text.base_clean(F.col("text")))
+    return views.table(spark, sf, "documents").select("doc_id", toks.alias("toks")).select("doc_id", F.size("toks").cast("long").alias("n"), F.md5(F.array_join("toks", " ").cast("binary")).alias("digest"))
+
+
+@_query("strip_accents", "SELECT doc_id, md5(lower(strip_accents(coalesce(text, '')))) AS digest FROM documents")
+def _(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", F.md5(F.lower(text.strip_accents(F.coalesce("text", F.lit("")))).cast("binary")).alias("digest"))
+
+
+@_query("skeleton", f"SELECT word, {_sql_skeleton('word')} AS skeleton, {_sql_key_skeleton('word')} AS key_skeleton FROM (SELECT DISTINCT unnest({_TOKENS}) AS word FROM benchmark)")
+def _(spark, sf):
+    w = views.table(spark, sf, "benchmark").select(F.explode(text.name_tokens(text.base_clean(F.col("text")))).alias("word")).distinct()
+    return w.select("word", text.skeleton_word(F.col("word")).alias("skeleton"), keys.key_skeleton(F.col("word")).alias("key_skeleton"))
+
+
+_DROP = ", ".join(f"'{w}'" for w in (*fixed.LEGAL, *fixed.FILLER))
+_DROP_SK = ", ".join(f"'{w}'" for w in fixed.LEGAL_SKELETONS)
+
+
+@_query("core_name", f"""SELECT item_id, array_to_string(CASE WHEN len(core) > 0 THEN core ELSE toks END, ' ') AS core FROM (
+  SELECT item_id, toks, list_filter(toks, lambda t: t NOT IN ({_DROP}) AND ({_sql_skeleton("t")}) NOT IN ({_DROP_SK})) AS core FROM (SELECT item_id, {_TOKENS} AS toks FROM benchmark))""")
+def _(spark, sf):
+    core = text.core_tokens(text.name_tokens(text.base_clean(F.col("text"))))
+    return views.table(spark, sf, "benchmark").select("item_id", F.array_join(core, " ").alias("core"))
+
+
+@_query("web_rewrite", f"""SELECT page_id, regexp_replace(replace(replace(lower(url), '&', ' and '), '+', ' and '), '{fixed.WEB}', ' \\1 ', 'g') AS rewritten, CAST(regexp_matches(lower(url), '{fixed.WEB}') AS INTEGER) AS is_web FROM pages""")
+def _(spark, sf):
+    rewritten, web = text.web_rewrite(text.base_clean(F.col("url")))
+    return views.table(spark, sf, "pages").select("page_id", rewritten.alias("rewritten"), web.cast("int").alias("is_web"))
+
+
+_NAMES = [
+    ("Pizza Hut, Inc.", "pizza hut inc", "pizza hut", "pizza hut", "pizzahut", "pj t", 0, 0),
+    ("ABC LLC dba Joe's Diner", "abc llc joe s diner", "joe diner", "abc|joe diner", "abc|joediner", "j dnr", 0, 1),
+    ("www.holloway.com", "holloway", "holloway", "holloway", "holloway", "lv", 1, 0),
+    ("The Company", "the company", "the company", "the company", "thecompany", "t kmpn", 0, 0),
+    ("", "", "", "", "", "", 0, 0),
+]
+
+
+@_query("name_views", _values(_NAMES, "raw, n_full, n_core, n_alias, n_nospace, n_skel, is_web, has_alias"))
+def _(spark, sf):
+    out = text.delimited(text.with_name_views(_rows(spark, [(r[0],) for r in _NAMES], "raw string"), "raw"))
+    return out.select("raw", "n_full", "n_core", "n_alias", "n_nospace", "n_skel", F.col("is_web").cast("int").alias("is_web"), F.col("has_alias").cast("int").alias("has_alias"))
+
+
+@_query("alias_split", f"SELECT doc_id, CAST(len(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '{fixed.ALIAS}')) AS INTEGER) AS parts FROM documents")
+def _(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", F.size(F.split(F.lower(text.strip_accents(F.coalesce("text", F.lit("")))), fixed.ALIAS)).alias("parts"))
+
+
+_ADDRESSES = [
+    ("2100 Cameron Drive, Dundalk, MD", "2100 cameron dr dundalk", "2100", "cameron dr dundalk"),
+    ("#12 First Street, New York", "12 1st st", "12 1", "st"),
+    ("No. 007 Mount Road, Chennai, Tamil Nadu", "007 mt rd chennai", "7", "mt rd chennai"),
+    ("12 rue de Paris, Île de France", "12 rue paris", "12", "rue paris"),
+    ("", "", "", ""),
+]
+
+
+@_query("address_views", _values(_ADDRESSES, "raw, a_norm, a_nums, a_words"))
+def _(spark, sf):
+    return text.delimited(text.with_address_views(_rows(spark, [(r[0],) for r in _ADDRESSES], "raw string"), "raw"))
+
+
+@_query("ordinals_canon", _values([(k, v) for k, v in (fixed.address_canon() | fixed.ordinals()).items()], "token, canon"))
+def _(spark, sf):
+    rows = _rows(spark, [(k,) for k in fixed.address_canon() | fixed.ordinals()], "token string")
+    return rows.select("token", text.address_token(F.col("token")).alias("canon"))
+
+
+_INDIC = [("राम", "ram"), ("दिल्ली", "dilli"), ("कंपनी", "kanpani"), ("१२", "12"), ("ற்ற", "t"), ("Harris राम", "Hatis ram"), ("Harris", "Harris")]
+
+
+@_query("translit_goldens", _values(_INDIC, "raw, latin"))
+def _(spark, sf):
+    return _rows(spark, [(r,) for r, _ in _INDIC], "raw string").select("raw", translit.translit_indic(F.col("raw")).alias("latin"))
+
+
+# --- blocking ------------------------------------------------------------------------------------
+
+
+@_query("blocking_keys", f"WITH {_KEYS} SELECT id, country, key FROM keys")
+def _(spark, sf):
+    return blocking.key_table(views.records(spark, sf))
+
+
+@_query("doc_freq", f"WITH {_KEYS} SELECT country, key, count(*) AS df FROM idx GROUP BY country, key")
+def _(spark, sf):
+    return blocking.document_frequency(blocking.key_table(views.sides(spark, sf)[0]))
+
+
+@_query("idf", f"WITH {_IDF} SELECT country, key, df, round(idf, 6) AS idf FROM idf")
+def _(spark, sf):
+    s1, _ = views.sides(spark, sf)
+    return blocking.inverse_frequency(blocking.key_table(s1), s1).withColumns(_round("idf"))
+
+
+@_query("norms", f"WITH {_IDF} SELECT 's1' AS side, id, round(norm, 6) AS norm FROM sn UNION ALL SELECT 'q', id, round(norm, 6) FROM qn")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    idf = blocking.inverse_frequency(blocking.key_table(s1), s1)
+    one = lambda df, side: blocking.norms(blocking.weighted(blocking.key_table(df), idf)).select(F.lit(side).alias("side"), "id", F.round("norm", 6).alias("norm"))
+    return one(s1, "s1").unionByName(one(q, "q"))
+
+
+@_query("stop_keys", f"WITH {_IDF} SELECT country, key, df FROM idf WHERE df > 20")
+def _(spark, sf):
+    return blocking.document_frequency(blocking.key_table(views.sides(spark, sf)[0])).where("df > 20")
+
+
+@_query("block_scores", f"WITH {_SCORES} SELECT q_id, s1_id, round(score, 9) AS score FROM scores")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return blocking.pair_scores(s1, q, resolve.DF_CAP).withColumns(_round("score", places=9))
+
+
+@_query("block_topk", f"WITH {_CAND} SELECT q_id, s1_id, round(score, 9) AS score, rank FROM cand")
+def _(spark, sf):
+    return resolve.candidates(spark, sf).withColumns(_round("score", places=9))
+
+
+@_query("rank_cut", f"WITH {_CAND} SELECT q_id, s1_id, rank FROM cand WHERE rank < 2")
+def _(spark, sf):
+    return blocking.rank_cut(resolve.candidates(spark, sf)).select("q_id", "s1_id", "rank")
+
+
+@_query("prune_ratio", f"WITH {_CAND} SELECT q_id, s1_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY q_id) AS top FROM cand) WHERE rank = 0 OR score / greatest(top, 1e-9) >= 0.8")
+def _(spark, sf):
+    return blocking.prune_ratio(resolve.candidates(spark, sf), 0.8).select("q_id", "s1_id", "rank")
+
+
+@_query("recall_at_k", f"""WITH {_CAND}{_TRUTH}, k AS (SELECT unnest([1, 2, 3]) AS k)
+SELECT k, round(CAST(count(*) FILTER (WHERE s1_id = true_s1_id) AS DOUBLE) / (SELECT count(true_s1_id) FROM truth), 6) AS recall,
+  round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM s), 6) AS per_s1 FROM cand JOIN truth USING (q_id) JOIN k ON rank < k GROUP BY k""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return blocking.BlockingReport(resolve.K)(resolve.candidates(spark, sf), views.truth(s1, q), s1).withColumns(_round("recall", "per_s1"))
+
+
+@_query("miss_rates", f"""WITH {_CAND}{_TRUTH} SELECT country, FALSE AS empty_address, round(avg(CASE WHEN hit IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missed, count(*) AS n
+FROM (SELECT q.country, (SELECT any_value(1) FROM cand c WHERE c.q_id = t.q_id AND c.s1_id = t.true_s1_id) AS hit FROM truth t JOIN q ON q.id = t.q_id WHERE true_s1_id IS NOT NULL) GROUP BY country""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return blocking.miss_rates(resolve.candidates(spark, sf), views.truth(s1, q), q).withColumns(_round("missed"))
+
+
+# --- features ------------------------------------------------------------------------------------
+
+
+@_query("context_features", f"WITH {_CONTEXT} SELECT q_id, s1_id, rank, round(blk_margin, 9) AS blk_margin, q_ncand, round(blk_gap12, 9) AS blk_gap12, s1_ncand, s1_rank0_cnt FROM ctx")
+def _(spark, sf):
+    out = features.with_context(resolve.candidates(spark, sf)).withColumns(_round("blk_margin", "blk_gap12", places=9))
+    return out.select("q_id", "s1_id", "rank", "blk_margin", "q_ncand", "blk_gap12", "s1_ncand", "s1_rank0_cnt")
+
+
+def _pair(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return features.attach(resolve.candidates(spark, sf), s1, q)
+
+
+@_query("feat_names", f"""WITH {_PAIRS} SELECT q_id, s1_id, round({_JACC}, 6) AS n_jacc, CASE WHEN qt[1] = st[1] THEN 1.0 ELSE 0.0 END AS n_first_eq,
+  CAST(length(qn_) AS DOUBLE) AS n_len_q, CAST(length(sn_) AS DOUBLE) AS n_len_s,
+  CASE WHEN len(qt) = 1 AND len(st) >= 2 AND qt[1] = array_to_string(list_transform(st, lambda t: left(t, 1)), '') THEN 1.0
+    WHEN len(st) = 1 AND len(qt) >= 2 AND st[1] = array_to_string(list_transform(qt, lambda t: left(t, 1)), '') THEN 1.0 ELSE 0.0 END AS acro FROM pairs""")
+def _(spark, sf):
+    return _pair(spark, sf).select("q_id", "s1_id", *(F.round(v, 6).alias(k) for k, v in similarity.name_features().items()))
+
+
+@_query("feat_numbers", f"""WITH {_PAIRS} SELECT q_id, s1_id, CASE WHEN qnum = snum THEN 1.0 ELSE 0.0 END AS num_first_eq,
+  CASE WHEN qnum <> snum AND (suffix(qnum, snum) OR suffix(snum, qnum)) THEN 1.0 ELSE 0.0 END AS num_first_suffix,
+  CASE WHEN qnum = snum THEN 1.0 ELSE 0.0 END AS num_jacc, CASE WHEN qnum = snum THEN 1.0 ELSE 0.0 END AS num_any,
+  CASE WHEN qnum = snum THEN 1.0 ELSE 0.0 END AS num_first_in, 1.0 AS num_q_n, 1.0 AS num_s_n FROM pairs""")
+def _(spark, sf):
+    return _pair(spark, sf).select("q_id", "s1_id", *(F.round(v, 6).alias(k) for k, v in similarity.number_features().items()))
+
+
+@_query("feat_addresses", f"""WITH {_PAIRS}, e AS (SELECT *, CASE WHEN qword = sword THEN 1.0 ELSE 0.0 END AS same FROM pairs)
+SELECT q_id, s1_id, same AS a_words_jacc, same AS a_words_cover_q, same AS a_words_cover_s, 0.0 AS a_empty_q, 0.0 AS a_empty_s FROM e""")
+def _(spark, sf):
+    return _pair(spark, sf).select("q_id", "s1_id", *(F.round(v, 6).alias(k) for k, v in similarity.address_features().items()))
+
+
+@_query("feat_levenshtein", f"WITH {_PAIRS} SELECT q_id, s1_id, CAST(levenshtein(qn_, sn_) AS INTEGER) AS distance FROM pairs")
+def _(spark, sf):
+    return _pair(spark, sf).select("q_id", "s1_id", F.levenshtein("q_n_core", "s_n_core").alias("distance"))
+
+
+@_query("feat_jaro_winkler", f"WITH {_PAIRS} SELECT q_id, s1_id, round(jaro_winkler_similarity(replace(qn_, ' ', ''), replace(sn_, ' ', '')), 6) AS n_nospace_jw FROM pairs")
+def _(spark, sf):
+    return _pair(spark, sf).withColumn("f", similarity.fuzzy()).select("q_id", "s1_id", F.round("f.n_nospace_jw", 6).alias("n_nospace_jw"))
+
+
+@_query("fuzz_ratios")
+def _(spark, sf):
+    return _pair(spark, sf).withColumn("f", similarity.fuzzy()).select("q_id", "s1_id", "f.*")
+
+
+@_query("pair_features")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return features.pair_features(features.with_context(resolve.candidates(spark, sf)), s1, q)
+
+
+_KIND = """CASE WHEN qnum = snum THEN 'equal' WHEN length(qnum) = length(snum) AND abs(CAST(qnum AS BIGINT) - CAST(snum AS BIGINT)) <= 2 THEN 'same-len d<=2'
+  WHEN length(qnum) = length(snum) AND abs(CAST(qnum AS BIGINT) - CAST(snum AS BIGINT)) <= 50 THEN 'same-len d3-50' WHEN length(qnum) = length(snum) THEN 'same-len d>50'
+  WHEN starts_with(qnum, snum) OR starts_with(snum, qnum) THEN 'prefix' WHEN suffix(qnum, snum) OR suffix(snum, qnum) THEN 'suffix'
+  WHEN contains(qnum, snum) OR contains(snum, qnum) THEN 'substring' ELSE 'other' END"""
+
+
+@_query("number_kind", f"WITH {_PAIRS} SELECT q_id, s1_id, {_KIND} AS kind FROM pairs")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return diagnostics.edit_kinds(resolve.candidates(spark, sf), s1, q).select("q_id", "s1_id", "kind")
+
+
+_CATEGORIES = [(85.0, 90.0, "both near"), (85.0, 10.0, "address differs"), (10.0, 70.0, "name differs"), (79.9, 69.9, "both differ")]
+
+
+@_query("miss_category", _values(_CATEGORIES, "name, address, category"))
+def _(spark, sf):
+    return _rows(spark, [c[:2] for c in _CATEGORIES], "name double, address double").withColumn("category", similarity.miss_category(F.col("name"), F.col("address")))
+
+
+@_query("uncertain_pairs", f"""WITH {_SCORED} SELECT q_id, s1_id, a.raw_name || ' | ' || a.raw_addr AS a, b.raw_name || ' | ' || b.raw_addr AS b, round(p, 9) AS p,
+  CAST(((s1_id * 2654435761) % 4294967296) % 2 AS INTEGER) AS fold FROM scored JOIN q a ON a.id = q_id JOIN s b ON b.id = s1_id WHERE p > 0.02 AND p < 0.98""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    out = features.uncertain(resolve.scored(spark, sf), s1, q)
+    return out.select("q_id", "s1_id", "a", "b", F.round("p", 9).alias("p"), decide.fold_of(F.col("s1_id")).alias("fold"))
+
+
+# --- neighbours ----------------------------------------------------------------------------------
+
+
+def _sql_knn(modulus: int, k: int, label: bool) -> str:
+    same = "AND a.label = b.label" if label else ""
+    return f"""v AS (SELECT CAST(vec_id AS BIGINT) AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), unit AS (SELECT id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+), cos AS (SELECT a.id AS q_id, b.id AS s1_id, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm), 9) AS cos
+  FROM unit a JOIN unit b ON a.id % {modulus} <> 0 AND b.id % {modulus} = 0 {same}
+), knn AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, s1_id) - 1 AS INTEGER) AS erank FROM cos) WHERE erank < {k})"""
+
+
+@_query("knn_cosine", f"WITH {_sql_knn(5, 20, False)} SELECT q_id, s1_id, round(cos, 9) AS cos, erank FROM knn")
+def _(spark, sf):
+    return neighbours.exact_knn(*views.vectors(spark, sf)).withColumns(_round("cos", places=9))
+
+
+@_query("knn_by_label", f"WITH {_sql_knn(5, 5, True)} SELECT q_id, s1_id, round(cos, 9) AS cos, erank FROM knn")
+def _(spark, sf):
+    return neighbours.exact_knn(*views.vectors(spark, sf, by_label=True), k=5).withColumns(_round("cos", places=9))
+
+
+@_query("knn_lsh")
+def _(spark, sf):
+    return neighbours.lsh_knn(*views.vectors(spark, sf), k=5, reach=1.3)
+
+
+@_query("knn_recall", f"""WITH {_sql_knn(5, 20, False)}, k AS (SELECT unnest([1, 2, 5, 10, 20]) AS k), t AS (SELECT q_id, s1_id, min(erank) AS best FROM (
+    SELECT a.id AS q_id, min(b.id) AS s1_id FROM v a JOIN v b ON a.id % 5 <> 0 AND b.id % 5 = 0 AND a.label = b.label GROUP BY a.id) LEFT JOIN (SELECT q_id, s1_id, erank FROM knn) USING (q_id, s1_id) GROUP BY ALL)
+SELECT k, CAST(count(*) FILTER (WHERE best < k) AS BIGINT) AS hits, round(avg(CASE WHEN best < k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM t, k GROUP BY k""")
+def _(spark, sf):
+    s1, q = views.vectors(spark, sf, by_label=True)
+    first = s1.groupBy("group").agg(F.min("id").alias("true_s1_id"))
+    truth = q.join(first, "group").select(F.col("id").alias("q_id"), "true_s1_id")
+    return neighbours.hit_rate(neighbours.exact_knn(*views.vectors(spark, sf)), truth).withColumns(_round("recall"))
+
+
+_KNN_PARTS = f"{_CAND}, {_sql_knn(4, 5, False)}, near AS (SELECT knn.*, round(cos + 0.5 * (CASE WHEN a.num = b.num THEN 1.0 ELSE 0.0 END) + 0.5 * (CASE WHEN a.word = b.word THEN 1.0 ELSE 0.0 END), 9) AS rr FROM knn JOIN q a ON a.id = q_id JOIN s b ON b.id = s1_id)"
+
+
+def _near_parts(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return neighbours.exact_knn(*views.vectors(spark, sf, modulus=4), k=5), s1, q
+
+
+@_query("rerank_address", f"WITH {_KNN_PARTS} SELECT q_id, s1_id, round(rr, 9) AS rr FROM near")
+def _(spark, sf):
+    knn, s1, q = _near_parts(spark, sf)
+    pairs = features.attach(knn, s1, q, ("a_nums", "a_words"))
+    return pairs.select("q_id", "s1_id", F.round(similarity.address_rerank(F.col("cos")), 9).alias("rr"))
+
+
+@_query("emb_extend", f"""WITH {_KNN_PARTS}, new AS (
+  SELECT * FROM (SELECT q_id, s1_id, row_number() OVER (PARTITION BY q_id ORDER BY rr DESC, s1_id) - 1 AS place FROM near WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.q_id = near.q_id AND c.s1_id = near.s1_id)) WHERE place < 2
+), last AS (SELECT q_id, max(rank) AS last FROM cand GROUP BY q_id
+), both_ AS (SELECT q_id, s1_id, score, rank, 0 AS is_emb FROM cand UNION ALL SELECT q_id, s1_id, 0.0, CAST(coalesce(last, -1) + 1 + place AS INTEGER), 1 FROM new LEFT JOIN last USING (q_id))
+SELECT b.q_id, b.s1_id, round(score, 9) AS score, rank, is_emb, round(CASE WHEN n.cos IS NULL AND b.q_id IN (SELECT q_id FROM near) THEN 0.0 ELSE n.cos END, 9) AS emb_cos
+FROM both_ b LEFT JOIN near n ON n.q_id = b.q_id AND n.s1_id = b.s1_id""")
+def _(spark, sf):
+    knn, s1, q = _near_parts(spark, sf)
+    return neighbours.add_candidates(resolve.candidates(spark, sf), knn, s1, q).withColumns(_round("score", "emb_cos", places=9))
+
+
+# --- decisions and metrics -------------------------------------------------------------------------
+
+
+@_query("scorecard", f"WITH {_SCORED} SELECT q_id, s1_id, round(p, 9) AS p FROM scored")
+def _(spark, sf):
+    return resolve.scored(spark, sf).select("q_id", "s1_id", F.round("p", 9).alias("p"))
+
+
+@_query("assign_1to1", f"WITH {_BEST} SELECT q_id, s1_id, round(p, 9) AS p FROM assigned")
+def _(spark, sf):
+    return resolve.assigned(spark, sf).withColumns(_round("p", places=9))
+
+
+_EXPECTED = f"""{_BEST}, claims AS (SELECT q_id, s1_id, p FROM best WHERE p > 0.05), sums AS (
+  SELECT *, row_number() OVER o AS m, sum(p) OVER (PARTITION BY s1_id) + 0.1 AS exp_true, sum(p) OVER (PARTITION BY s1_id ORDER BY p DESC, q_id ROWS UNBOUNDED PRECEDING) AS so_far,
+    exp(sum(ln(1 - p)) OVER (PARTITION BY s1_id)) * exp(-0.1) AS none FROM claims WINDOW o AS (PARTITION BY s1_id ORDER BY p DESC, q_id)
+), fs AS (SELECT *, round(1.25 * so_far / (0.25 * exp_true + m), 12) AS f FROM sums
+), pick AS (SELECT s1_id, min(m) AS take FROM (SELECT *, max(f) OVER (PARTITION BY s1_id) AS best_f FROM fs) WHERE f = best_f AND best_f > round(none, 12) GROUP BY s1_id
+), expf AS (SELECT q_id, s1_id, p FROM fs JOIN pick USING (s1_id) WHERE m <= take)"""
+
+
+@_query("expected_f", f"WITH {_EXPECTED} SELECT q_id, s1_id, round(p, 9) AS p FROM expf")
+def _(spark, sf):
+    return resolve.assigned(spark, sf, decide.Rule("expf", 0.1)).withColumns(_round("p", places=9))
+
+
+_GRID = [0.3, 0.5, 0.7, 0.9]
+
+
+@_query("threshold_sweep", f"""WITH {_BEST}, grid AS (SELECT unnest(CAST({_GRID} AS DOUBLE[])) AS threshold), a AS (SELECT threshold, q_id, s1_id FROM best JOIN grid ON p > threshold
+), c AS (SELECT threshold, s1_id, CAST(count(*) AS DOUBLE) AS n_pred, CAST(sum(CASE WHEN s1_id = true_s1_id THEN 1 ELSE 0 END) AS DOUBLE) AS n_hit FROM a JOIN truth USING (q_id) GROUP BY ALL
+), t AS (SELECT true_s1_id, CAST(count(*) AS DOUBLE) AS n_true FROM truth WHERE true_s1_id IS NOT NULL GROUP BY true_s1_id)
+SELECT grid.threshold AS threshold, round(avg({_sql_f("coalesce(n_pred, 0)", "coalesce(n_true, 0)", "coalesce(n_hit, 0)")}), 6) AS f
+FROM grid CROSS JOIN s LEFT JOIN c ON c.threshold = grid.threshold AND c.s1_id = s.id LEFT JOIN t ON t.true_s1_id = s.id GROUP BY grid.threshold""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return decide.sweep(resolve.scored(spark, sf), views.truth(s1, q), s1, _GRID).withColumns(_round("f"))
+
+
+@_query("grouped_folds", f"WITH {_REC} SELECT id AS s1_id, CAST(((id * 2654435761) % 4294967296) % 2 AS INTEGER) AS fold FROM s")
+def _(spark, sf):
+    return views.sides(spark, sf)[0].select(F.col("id").alias("s1_id"), decide.fold_of(F.col("id")).alias("fold"))
+
+
+def _sql_group(robust: bool) -> str:
+    per = []
+    for tag, mine, own in (("num", "qnum", "snum"), ("name", "qn_", "sn_")):
+        eq = f"CASE WHEN {mine} = {own} THEN 1 ELSE 0 END"
+        w = f"CASE WHEN {mine} = {own} THEN w ELSE 0.0 END"
+        if not robust:
+            per += [f"round(sum(w) OVER (PARTITION BY s1_id, {mine}) - w, 9) AS g_{tag}_me_w", f"count(*) OVER (PARTITION BY s1_id, {mine}) - 1 AS g_{tag}_me_n"]
+        per += [f"round(sum({w}) OVER s - {w}, 9) AS g_{tag}_s1_w", f"CAST(sum({eq}) OVER s - {eq} AS BIGINT) AS g_{tag}_s1_n", f"{eq} AS g_{tag}_eq"]
+    if not robust:
+        per += ["round(sum(w) OVER s - w, 9) AS g_psum_other", "CAST(sum(CASE WHEN w > 0.5 THEN 1 ELSE 0 END) OVER s - CASE WHEN w > 0.5 THEN 1 ELSE 0 END AS BIGINT) AS g_n_claim"]
+    return f"""WITH {_SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY p DESC, s1_id) AS place, max(p) OVER (PARTITION BY q_id) AS top FROM scored
+), w AS (SELECT *, CASE WHEN place = 1 THEN p ELSE 0.0 END AS w, coalesce(max(CASE WHEN place = 2 THEN p END) OVER (PARTITION BY q_id), 0) AS second FROM o)
+SELECT q_id, s1_id, round(p, 9) AS p1, round(top - p, 9) AS p1_gap_best, CASE WHEN place = 1 THEN 1 ELSE 0 END AS p1_is_best, round(CASE WHEN place = 1 THEN second ELSE top END, 9) AS p1_second_q,
+  count(*) OVER s AS g_n, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY w DESC, q_id) AS INTEGER) AS g_rank, {", ".join(per)} FROM w WINDOW s AS (PARTITION BY s1_id)"""
+
+
+_FLOATS = ("p1", "p1_gap_best", "p1_second_q", "g_psum_other", "g_num_me_w", "g_num_s1_w", "g_name_me_w", "g_name_s1_w")
+
+
+def _groups(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return groups.group_features(resolve.scored(spark, sf), s1, q).withColumns(_round(*_FLOATS, places=9))
+
+
+@_query("group_features", _sql_group(False))
+def _(spark, sf):
+    return _groups(spark, sf)
+
+
+@_query("group_features_robust", _sql_group(True))
+def _(spark, sf):
+    return groups.robust(_groups(spark, sf))
+
+
+@_query("fbeta_macro", f"WITH {_BEST}, e AS ({_sql_entities('assigned')}) SELECT round(avg(f), 6) AS f, count(*) AS n FROM e")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return metrics.fbeta(resolve.assigned(spark, sf), views.truth(s1, q), s1).withColumns(_round("f"))
+
+
+@_query("fbeta_by_country", f"WITH {_BEST}, e AS ({_sql_entities('assigned')}) SELECT country, round(avg(f), 6) AS f, count(*) AS n FROM e GROUP BY country")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return metrics.fbeta_by_country(resolve.assigned(spark, sf), views.truth(s1, q), s1).withColumns(_round("f"))
+
+
+@_query("fbeta_sets", f"WITH {_BEST}, e AS ({_sql_entities('assigned')}) SELECT round(avg(f), 6) AS f FROM e")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    gather = lambda df, key, to: df.groupBy(F.col(key).alias("id")).agg(F.collect_set("q_id").alias(to))
+    sets = s1.select("id").join(gather(resolve.assigned(spark, sf), "s1_id", "pred"), "id", "left").join(gather(views.truth(s1, q).where("true_s1_id IS NOT NULL"), "true_s1_id", "true"), "id", "left")
+    none = F.array().cast("array<bigint>")
+    return metrics.fbeta_of_sets(sets.select(F.coalesce("pred", none).alias("pred"), F.coalesce("true", none).alias("true"))).withColumns(_round("f"))
+
+
+@_query("match_density", f"WITH {_BEST} SELECT country, round(avg(coalesce(n, 0)), 6) AS mean_matches, round(avg(CASE WHEN n IS NULL THEN 1.0 ELSE 0.0 END), 6) AS empty_share FROM s LEFT JOIN (SELECT s1_id, count(*) AS n FROM assigned GROUP BY s1_id) ON s1_id = id GROUP BY country")
+def _(spark, sf):
+    return metrics.match_density(resolve.assigned(spark, sf), views.sides(spark, sf)[0]).withColumns(_round("mean_matches", "empty_share"))
+
+
+@_query("recall_ceiling", f"WITH {_CAND}{_TRUTH} SELECT round(avg(CASE WHEN s1_id = true_s1_id THEN 1.0 ELSE 0.0 END), 6) AS positive_rate, round(CAST(count(*) FILTER (WHERE s1_id = true_s1_id) AS DOUBLE) / (SELECT count(true_s1_id) FROM truth), 6) AS recall FROM cand JOIN truth USING (q_id)")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return metrics.recall_ceiling(resolve.candidates(spark, sf), views.truth(s1, q)).withColumns(_round("positive_rate", "recall"))
+
+
+@_query("roc_auc", """WITH r AS (SELECT quality AS label, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM labels JOIN documents USING (doc_id)
+), t AS (SELECT sum(CASE WHEN label = 1 THEN r ELSE 0 END) AS s, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS q FROM r)
+SELECT round((s - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * q), 6) AS auc, CAST(p AS BIGINT) AS positives, CAST(q AS BIGINT) AS negatives FROM t""")
+def _(spark, sf):
+    rows = views.table(spark, sf, "labels").join(views.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return metrics.roc_auc(rows.select(F.col("quality").alias("label"), F.col("n_chars").alias("score"))).withColumns(_round("auc"))
+
+
+# --- adaptation and diagnostics --------------------------------------------------------------------
+
+_SIBLING = f"""{_SCORED}{_TRUTH}, grouped AS (SELECT *, CASE WHEN qnum <> snum AND qn_ = sn_ THEN 0 WHEN qnum <> snum THEN 1 END AS grp FROM scored
+), tr AS (SELECT grp, count(*) AS n_tr, CAST(sum(CASE WHEN s1_id = true_s1_id THEN 1 ELSE 0 END) AS BIGINT) AS pos_tr FROM grouped JOIN truth USING (q_id) WHERE rank = 0 AND grp IS NOT NULL AND s1_id % 8 = 0 GROUP BY grp
+), te AS (SELECT grp, count(*) AS n_te FROM grouped WHERE rank = 0 AND grp IS NOT NULL AND s1_id % 8 <> 0 GROUP BY grp
+), sz AS (SELECT CAST(count(*) FILTER (WHERE id % 8 = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE id % 8 <> 0) AS DOUBLE) AS b FROM s
+), w0 AS (SELECT grp, n_tr, pos_tr, n_te, CAST(pos_tr AS DOUBLE) / n_tr AS pi_tr, least(pos_tr * b / a / n_te, CAST(pos_tr AS DOUBLE) / n_tr) AS pi_te FROM tr JOIN te USING (grp), sz
+), weights AS (SELECT *, CASE WHEN pi_tr > 0 AND pi_tr < 1 AND pi_te < 1 THEN (pi_te / (1 - pi_te)) / (pi_tr / (1 - pi_tr)) ELSE 1.0 END AS weight FROM w0)"""
+
+
+def _siblings(spark, sf):
+    s1, q = views.sides(spark, sf)
+    pairs = features.attach(resolve.scored(spark, sf).select("q_id", "s1_id", "rank", "p"), s1, q, ("a_nums", "n_core")).withColumn("grp", adapt.sibling_group())
+    label = (F.col("s1_id") == F.col("true_s1_id")).cast("long")
+    train = pairs.where("s1_id % 8 = 0").join(views.truth(s1, q), "q_id").withColumn("label", F.coalesce(label, F.lit(0)))
+    weights = adapt.sibling_weights(train, pairs.where("s1_id % 8 <> 0"), s1.where("id % 8 = 0"), s1.where("id % 8 <> 0"))
+    return pairs, weights
+
+
+@_query("sibling_prior", f"WITH {_SIBLING} SELECT grp, n_tr, pos_tr, n_te, round(pi_tr, 6) AS pi_tr, round(pi_te, 6) AS pi_te, round(weight, 6) AS weight FROM weights")
+def _(spark, sf):
+    return _siblings(spark, sf)[1].withColumns(_round("pi_tr", "pi_te", "weight"))
+
+
+@_query("prior_shift", f"WITH {_SIBLING}, o AS (SELECT q_id, s1_id, p / greatest(1 - p, 1e-6) * coalesce(weight, 1.0) AS odds FROM grouped LEFT JOIN weights USING (grp)) SELECT q_id, s1_id, round(odds / (1 + odds), 9) AS p FROM o")
+def _(spark, sf):
+    pairs, weights = _siblings(spark, sf)
+    return adapt.shift_prior(pairs, weights).select("q_id", "s1_id", F.round("p", 9).alias("p"))
+
+
+_VOCAB = f"{_REC}, words AS (SELECT country, unnest(string_split(n_core, ' ')) AS word FROM q), vocab AS (SELECT DISTINCT unnest(string_split(n_core, ' ')) AS word FROM s WHERE size <= 5), cov AS (SELECT country, CAST(count(*) FILTER (WHERE word IN (SELECT word FROM vocab)) AS DOUBLE) / count(*) AS coverage, count(*) AS n FROM words WHERE length(word) > 1 GROUP BY country)"
+
+
+def _covered(spark, sf):
+    s1, q = views.sides(spark, sf)
+    vocabulary = s1.where("int(a_nums[0]) <= 5").select(F.explode(text.words(F.col("n_full"))).alias("word")).distinct()
+    return s1, q, adapt.coverage(q, vocabulary)
+
+
+@_query("coverage", f"WITH {_VOCAB} SELECT country, round(coverage, 6) AS coverage, n FROM cov")
+def _(spark, sf):
+    return _covered(spark, sf)[2].withColumns(_round("coverage"))
+
+
+_LOW = "low AS (SELECT country FROM cov WHERE coverage < 0.97)"
+_RESTORE_BASE = _BEST + ", " + _VOCAB.removeprefix(_REC + ", ") + ", " + _LOW
+
+
+@_query("exact_restore", f"""WITH {_RESTORE_BASE}, strict AS (SELECT q_id, s1_id FROM best WHERE p > 0.9)
+SELECT q_id, s1_id FROM strict UNION ALL SELECT a.q_id, a.s1_id FROM (SELECT q_id, s1_id FROM best WHERE p > 0.3) a JOIN q ON q.id = a.q_id JOIN s ON s.id = a.s1_id
+WHERE a.q_id NOT IN (SELECT q_id FROM strict) AND s.country IN (SELECT country FROM low) AND q.n_core = s.n_core AND q.num = s.num""")
+def _(spark, sf):
+    s1, q, covered = _covered(spark, sf)
+    scored = resolve.scored(spark, sf)
+    return adapt.restore_exact(decide.assign(scored, 0.9), decide.assign(scored, 0.3), s1, q, adapt.low_coverage(covered, 0.97))
+
+
+def _sql_lists(threshold: float) -> str:
+    return f"SELECT s1_id, string_agg(CAST(q_id AS VARCHAR), ',' ORDER BY CAST(q_id AS VARCHAR)) AS ids FROM best WHERE p > {threshold} GROUP BY s1_id"
+
+
+@_query("coverage_route", f"""WITH {_RESTORE_BASE}, hi AS ({_sql_lists(0.9)}), lo AS ({_sql_lists(0.3)})
+SELECT s.id AS s1_id, coalesce(CASE WHEN s.country IN (SELECT country FROM low) THEN lo.ids ELSE hi.ids END, '') AS ids FROM s LEFT JOIN hi ON hi.s1_id = s.id LEFT JOIN lo ON lo.s1_id = s.id""")
+def _(spark, sf):
+    s1, q, covered = _covered(spark, sf)
+    scored = resolve.scored(spark, sf)
+    one = lambda t: tables.lists(decide.assign(scored, t), s1, "ids").withColumnRenamed("source1_entity_id", "s1_id")
+    return adapt.route(one(0.9), one(0.3), s1, adapt.low_coverage(covered, 0.97))
+
+
+@_query("drop_entities", f"""WITH {_SCORES}, left_ AS (SELECT c.* FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, s1_id) - 1 AS r0 FROM scores) c WHERE r0 < {resolve.K} AND NOT s1_id % 100 < 30
+), again AS (SELECT q_id, s1_id, score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, s1_id) - 1 AS INTEGER) AS rank FROM left_)
+SELECT q_id, s1_id, rank, count(*) OVER (PARTITION BY q_id) AS q_ncand, count(*) OVER (PARTITION BY s1_id) AS s1_ncand, round(score - max(score) OVER (PARTITION BY q_id), 9) AS blk_margin FROM again WHERE rank < 3""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    gone = s1.where(diagnostics.dropped(F.col("id"), 30)).select(F.col("id").alias("s1_id"))
+    left, _ = diagnostics.drop_entities(resolve.candidates(spark, sf), views.truth(s1, q), gone)
+    return left.select("q_id", "s1_id", "rank", "q_ncand", "s1_ncand", F.round("blk_margin", 9).alias("blk_margin"))
+
+
+@_query("loss_oracles", f"""WITH {_BEST}, reach AS (SELECT t.q_id FROM truth t JOIN cand c ON c.q_id = t.q_id AND c.s1_id = t.true_s1_id
+), j AS (SELECT truth.q_id, true_s1_id, a.s1_id, truth.q_id IN (SELECT q_id FROM reach) AS inside FROM truth LEFT JOIN assigned a USING (q_id)
+), ways AS (SELECT 'as it is' AS oracle, q_id, s1_id FROM j UNION ALL SELECT 'no false merges', q_id, CASE WHEN s1_id = true_s1_id THEN s1_id END FROM j
+  UNION ALL SELECT 'accept candidates', q_id, CASE WHEN inside THEN true_s1_id ELSE s1_id END FROM j
+  UNION ALL SELECT 'perfect matcher', q_id, CASE WHEN inside THEN true_s1_id WHEN s1_id = true_s1_id THEN s1_id END FROM j UNION ALL SELECT 'perfect', q_id, true_s1_id FROM j
+), c AS (SELECT oracle, s1_id, CAST(count(*) AS DOUBLE) AS n_pred, CAST(sum(CASE WHEN s1_id = true_s1_id THEN 1 ELSE 0 END) AS DOUBLE) AS n_hit FROM ways JOIN truth USING (q_id) WHERE s1_id IS NOT NULL GROUP BY ALL
+), t AS (SELECT true_s1_id, CAST(count(*) AS DOUBLE) AS n_true FROM truth WHERE true_s1_id IS NOT NULL GROUP BY true_s1_id)
+SELECT o.oracle, round(avg({_sql_f("coalesce(n_pred, 0)", "coalesce(n_true, 0)", "coalesce(n_hit, 0)")}), 6) AS f
+FROM (SELECT DISTINCT oracle FROM ways) o CROSS JOIN s LEFT JOIN c ON c.oracle = o.oracle AND c.s1_id = s.id LEFT JOIN t ON t.true_s1_id = s.id GROUP BY o.oracle""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return diagnostics.loss_oracles(resolve.assigned(spark, sf), resolve.candidates(spark, sf), views.truth(s1, q), s1).withColumns(_round("f"))
+
+
+@_query("error_kinds", f"""WITH {_BEST}, j AS (SELECT true_s1_id, a.s1_id, EXISTS (SELECT 1 FROM cand c WHERE c.q_id = truth.q_id AND c.s1_id = true_s1_id) AS inside FROM truth LEFT JOIN assigned a USING (q_id)
+), e AS (SELECT CASE WHEN true_s1_id IS NOT NULL AND NOT inside THEN 'blocked out' WHEN true_s1_id IS NOT NULL AND s1_id IS NULL THEN 'rejected'
+  WHEN true_s1_id IS NULL AND s1_id IS NOT NULL THEN 'distractor merged' WHEN s1_id <> true_s1_id THEN 'wrong record' END AS error FROM j)
+SELECT error, count(*) AS n FROM e WHERE error IS NOT NULL GROUP BY error""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return diagnostics.error_kinds(resolve.assigned(spark, sf), resolve.candidates(spark, sf), views.truth(s1, q))
+
+
+@_query("edit_bins", f"""WITH {_PAIRS}{_TRUTH}, g AS (SELECT abs(CAST(qnum AS BIGINT) - CAST(snum AS BIGINT)) AS gap, CASE WHEN s1_id = true_s1_id THEN 1.0 ELSE 0.0 END AS pos FROM pairs JOIN truth USING (q_id) WHERE rank = 0 AND qnum <> snum AND length(qnum) = length(snum))
+SELECT CAST(CASE WHEN gap <= 0 THEN NULL WHEN gap <= 2 THEN 2 WHEN gap <= 5 THEN 5 WHEN gap <= 10 THEN 10 WHEN gap <= 20 THEN 20 WHEN gap <= 50 THEN 50 WHEN gap <= 100 THEN 100 ELSE 1000000000 END AS BIGINT) AS bin, count(*) AS n, round(avg(pos), 6) AS positive FROM g GROUP BY 1""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    rows = diagnostics.edit_kinds(resolve.candidates(spark, sf).where("rank = 0"), s1, q).where("a <> b AND length(a) = length(b)").join(views.truth(s1, q), "q_id")
+    positive = F.coalesce((F.col("s1_id") == F.col("true_s1_id")).cast("double"), F.lit(0.0))
+    return rows.groupBy(diagnostics.gap_bin(F.col("gap")).cast("bigint").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(positive), 6).alias("positive"))
+
+
+@_query("hist_matches", f"WITH {_BEST} SELECT CAST(least(n, 12) AS BIGINT) AS bin, count(*) AS n FROM (SELECT s.id, count(q_id) AS n FROM s LEFT JOIN assigned a ON a.s1_id = s.id GROUP BY s.id) GROUP BY 1")
+def _(spark, sf):
+    s1, _ = views.sides(spark, sf)
+    counts = s1.select(F.col("id").alias("s1_id")).join(resolve.assigned(spark, sf), "s1_id", "left").groupBy("s1_id").agg(F.count("q_id").alias("c"))
+    return diagnostics.capped_histogram(counts, "c").select(F.col("bin").cast("bigint").alias("bin"), "n")
+
+
+@_query("crosstab", f"WITH {_PAIRS}, k AS (SELECT country, {_KIND} AS kind FROM pairs) SELECT country, count(*) FILTER (WHERE kind = 'equal') AS equal, count(*) FILTER (WHERE kind = 'same-len d3-50') AS same_len, count(*) FILTER (WHERE kind = 'prefix') AS prefix FROM k GROUP BY country")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    rows = diagnostics.edit_kinds(resolve.candidates(spark, sf), s1, q).join(q.select(F.col("id").alias("q_id"), "country"), "q_id")
+    return diagnostics.crosstab(rows, "country", "kind", ["equal", "same-len d3-50", "prefix"]).withColumnRenamed("same-len d3-50", "same_len")
+
+
+@_query("value_shares", f"WITH {_PAIRS}, k AS (SELECT {_KIND} AS value FROM pairs) SELECT value, count(*) AS n, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM k), 6) AS share FROM k GROUP BY value")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return diagnostics.value_shares(diagnostics.edit_kinds(resolve.candidates(spark, sf), s1, q), "kind").withColumns(_round("share"))
+
+
+# --- sources, sinks, set operations ------------------------------------------------------------------
+
+
+@_query("resolve_lists", f"WITH {_BEST} SELECT s.id AS source1_entity_id, coalesce(string_agg(CAST(q_id AS VARCHAR), ',' ORDER BY CAST(q_id AS VARCHAR)), '') AS matched_entity_ids FROM s LEFT JOIN assigned a ON a.s1_id = s.id GROUP BY s.id")
+def _(spark, sf):
+    return resolve_lists(spark, sf)
+
+
+@_query("explode_lists", f"WITH {_BEST} SELECT s1_id, CAST(q_id AS VARCHAR) AS q_id FROM assigned")
+def _(spark, sf):
+    return tables.explode_lists(resolve_lists(spark, sf))
+
+
+@_query("union_sources", f"WITH {_REC} SELECT 'S2-' || id AS entity_id, country FROM q WHERE id % 2 = 1 UNION ALL SELECT 'S3-' || id, country FROM q WHERE id % 2 = 0")
+def _(spark, sf):
+    _, q = views.sides(spark, sf)
+    named = lambda prefix, rest: q.where(f"id % 2 = {rest}").select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("entity_id"), "country")
+    return tables.union_sources(named("S2-", 1), named("S3-", 0))
+
+
+@_query("truth_vector", f"WITH {_REC}{_TRUTH} SELECT q_id, true_s1_id FROM truth")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return tables.truth_vector(q, views.truth(s1, q).where("true_s1_id IS NOT NULL"))
+
+
+@_query("semi_native", f"WITH {_REC} SELECT id, country FROM s WHERE country IN (SELECT country FROM q WHERE regexp_matches(raw_name, '^red '))")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    marked = q.withColumn("raw_name", F.when(F.col("raw_name").rlike("^red "), F.lit("राम")).otherwise(F.col("raw_name")))
+    return tables.native_bundle(marked, s1)[1].select("id", "country")
+
+
+@_query("diff_outputs", f"WITH {_EXPECTED} SELECT 'a' AS side, q_id, s1_id FROM (SELECT q_id, s1_id FROM assigned EXCEPT SELECT q_id, s1_id FROM expf) UNION ALL SELECT 'b', q_id, s1_id FROM (SELECT q_id, s1_id FROM expf EXCEPT SELECT q_id, s1_id FROM assigned)")
+def _(spark, sf):
+    return diagnostics.diff_pairs(resolve.assigned(spark, sf), resolve.assigned(spark, sf, decide.Rule("expf", 0.1)))
+
+
+@_query("profile_outputs", f"""WITH {_BEST} SELECT count(*) AS n, round(avg(CASE WHEN x.num <> y.num THEN 1.0 ELSE 0.0 END), 6) AS num_mismatch, round(avg(CASE WHEN x.n_core = y.n_core THEN 1.0 ELSE 0.0 END), 6) AS same_name,
+  round(avg(CASE WHEN x.num <> y.num AND x.n_core = y.n_core THEN 1.0 ELSE 0.0 END), 6) AS sibling_like FROM assigned a JOIN q x ON x.id = q_id JOIN s y ON y.id = s1_id""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return diagnostics.profile(resolve.assigned(spark, sf), s1, q).withColumns(_round("num_mismatch", "same_name", "sibling_like"))
+
+
+@_query("validate_outputs", f"""WITH {_BEST}, bad AS (SELECT s1_id, q_id FROM assigned WHERE q_id % 10 = 1)
+SELECT 'matching id prefix' AS "check", CAST(s1_id AS VARCHAR) AS id, 'X-' || q_id AS detail FROM bad UNION ALL SELECT 'matching unknown id', CAST(s1_id AS VARCHAR), 'X-' || q_id FROM bad
+UNION ALL SELECT 'match not a candidate', CAST(s1_id AS VARCHAR), 'X-' || q_id FROM bad UNION ALL SELECT 'matching missing record', CAST(id AS VARCHAR), '' FROM s WHERE id % 100 = 0""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    source = lambda c: F.concat(F.when(F.col(c) % 2 == 1, "S2-").otherwise("S3-"), F.col(c).cast("string"))
+    matched = resolve.assigned(spark, sf).withColumn("q_id", F.when(F.col("q_id") % 10 == 1, F.concat(F.lit("X-"), F.col("q_id").cast("string"))).otherwise(source("q_id")))
+    reach = resolve.candidates(spark, sf).withColumn("q_id", source("q_id"))
+    matching = tables.lists(matched, s1).where("source1_entity_id % 100 <> 0 OR matched_entity_ids <> ''").where("source1_entity_id % 100 <> 0")
+    return validate.validate(matching, tables.lists(reach, s1, "candidate_entity_ids"), s1, q.select(source("id").alias("id"))).where("NOT (check = 'match not a candidate' AND id % 100 = 0)")
+
+
+@_query("sample_rows", f"WITH {_REC} SELECT id FROM s WHERE id % 100 < 30")
+def _(spark, sf):
+    return views.sides(spark, sf)[0].where(diagnostics.dropped(F.col("id"), 30)).select("id")
+
+
+# --- trained models: rows only -----------------------------------------------------------------------
+
+_COLUMNS = ["score", "n_jacc", "num_first_eq", "a_words_jacc", "blk_margin", "q_ncand", "blk_gap12", "s1_ncand", "s1_rank0_cnt"]
+
+
+def _labelled(spark, sf):
+    s1, q = views.sides(spark, sf)
+    label = F.coalesce((F.col("s1_id") == F.col("true_s1_id")).cast("double"), F.lit(0.0))
+    return s1, q, resolve.featured(spark, sf).join(views.truth(s1, q), "q_id").withColumn("label", label).drop("true_s1_id")
+
+
+@_query("gbt_oof")
+def _(spark, sf):
+    return model.out_of_fold(_labelled(spark, sf)[2], _COLUMNS, rounds=10).select("q_id", "s1_id", "fold", "label", "p")
+
+
+@_query("gbt_stacked")
+def _(spark, sf):
+    s1, q, rows = _labelled(spark, sf)
+    return model.stacked(rows, _COLUMNS, s1, q, rounds=5).select("q_id", "s1_id", "fold", "label", "p")
+
+
+def _overlap_scorer(a, b):
+    return [len(set(x.lower().split()) & set(y.lower().split())) / max(1, len(set(x.lower().split()) | set(y.lower().split()))) for x, y in zip(a, b)]
 
 
-def resolve_lists(spark, sf_dir):
-    raise NotImplementedError
+@_query("pair_rescoring")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return model.rescored(features.uncertain(resolve.scored(spark, sf).select("q_id", "s1_id", "p"), s1, q), [_overlap_scorer, _overlap_scorer])
