@@ -744,18 +744,18 @@ _COLUMNS = ["score", "n_jacc", "num_first_eq", "a_words_jacc", "blk_margin", "q_
 def _labelled(spark, sf):
     s1, q = views.sides(spark, sf)
     label = F.coalesce((F.col("s1_id") == F.col("true_s1_id")).cast("double"), F.lit(0.0))
-    return s1, q, resolve.featured(spark, sf).join(views.truth(s1, q), "q_id").withColumn("label", label).drop("true_s1_id")
+    return s1, q, resolve.featured(spark, sf).join(views.truth(s1, q), "q_id").withColumn("label", label).withColumn("s1_number", F.expr("s1_id div 4")).drop("true_s1_id")
 
 
 @_query("gbt_oof")
 def _(spark, sf):
-    return model.out_of_fold(_labelled(spark, sf)[2], _COLUMNS, rounds=10).select("q_id", "s1_id", "fold", "label", "p")
+    return model.out_of_fold(_labelled(spark, sf)[2], _COLUMNS, "s1_number", rounds=10).select("q_id", "s1_id", "fold", "label", "p")
 
 
 @_query("gbt_stacked")
 def _(spark, sf):
     s1, q, rows = _labelled(spark, sf)
-    return model.stacked(rows, _COLUMNS, s1, q, rounds=5).select("q_id", "s1_id", "fold", "label", "p")
+    return model.stacked(rows, _COLUMNS, s1, q, s1_number="s1_number", rounds=5).select("q_id", "s1_id", "fold", "label", "p")
 
 
 def _overlap_scorer(a, b):
