@@ -11,9 +11,18 @@ import numpy as np
 import zstandard
 
 
-def packed(values: np.ndarray, dtype=None) -> bytes:
+def packed(values: np.ndarray, dtype=None, level: int = 1) -> bytes:
     """An array as one binary cell."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, dtype).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(values, dtype).tobytes())
+
+
+def packed_wide(values: np.ndarray) -> bytes:
+    """An array of 64-bit numbers, byte by byte: most of their high bytes are alike."""
+    return packed(np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpacked_wide(cell: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(cell, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
 
 
 def unpacked(cell: bytes, dtype) -> np.ndarray:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import packed, packed_sorted, unpacked, unpacked_sorted
+from ._arrays import packed, packed_sorted, packed_wide, unpacked, unpacked_sorted, unpacked_wide
 from ._store import shards
 from ._words import mix, utf8
 
@@ -136,7 +136,7 @@ def _asked(docs: DataFrame, n: int, length: int, unique: bool) -> DataFrame:
             def add(known: int, at: np.ndarray) -> None:
                 for a, b in zip(e := _groups(shard[at]) if len(at) else [], [*e[1:], len(at)] if len(at) else []):
                     x = at[a:b]
-                    extra = (packed(key[x]), b"" if unique else packed(doc[x]), packed(begin[x] << 8 | size[x])) if known < 2 else (b"",) * 3
+                    extra = (packed_wide(key[x]), b"" if unique else packed_wide(doc[x]), packed_wide(begin[x] << 8 | size[x])) if known < 2 else (b"",) * 3
                     rows.append((int(shard[x[0]]), known, packed_sorted(h[x]), *extra))
 
             add(0, np.flatnonzero(~several))
@@ -159,8 +159,8 @@ def _asked(docs: DataFrame, n: int, length: int, unique: bool) -> DataFrame:
 
 def _ids(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """(keys, docs); where doc_id is unique it is the key."""
-    keys = unpacked(row["keys"], np.int64)
-    return keys, unpacked(row["docs"], np.int64) if row["docs"] else keys
+    keys = unpacked_wide(row["keys"])
+    return keys, unpacked_wide(row["docs"]) if row["docs"] else keys
 
 
 def _several(table: pa.Table) -> pa.Table:
@@ -171,7 +171,7 @@ def _several(table: pa.Table) -> pa.Table:
         if row["known"] == 2:
             signs.append(h)
         else:
-            parts.append((h, *_ids(row), unpacked(row["places"], np.int64), np.full(len(h), row["known"], np.int8)))
+            parts.append((h, *_ids(row), unpacked_wide(row["places"]), np.full(len(h), row["known"], np.int8)))
     h, key, doc, place, known = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((doc, h))
     first = _groups(h[order])
@@ -201,9 +201,17 @@ def _content(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
         return mix(np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * weight[_ragged(np.zeros_like(begin), size)], first) + size.astype(np.uint64))
 
 
+def anchor_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of each segment's anchor: the least of all its 16 bytes in a row."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    inside = size - GRAM + 1
+    return mix(np.minimum.reduceat(grams(data)[_ragged(begin, inside)], np.cumsum(inside) - inside))
+
+
 def _cut(docs: DataFrame, n: int, unique: bool) -> DataFrame:
     """Segments packed by shard: different ones once, and all their occurrences."""
-    schema = "shard int, content binary, hashes binary, lengths binary, bytes binary, which binary, keys binary, docs binary, begins binary"
+    schema = "shard int, lengths binary, counts binary, bytes binary, keys binary, docs binary, begins binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -219,10 +227,10 @@ def _cut(docs: DataFrame, n: int, unique: bool) -> DataFrame:
             for a, b in zip(edges, np.append(edges[1:], len(order))):
                 x = order[a:b]
                 first = _groups(content[x])
-                which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
-                u = x[first]
-                rows.append((int(shard[x[0]]), packed_sorted(content[u]), packed(h[u]), packed(size[u], np.int32), packed(body[_ragged(where[u], size[u])]), packed(which, np.int32), packed(key[x]), b"" if unique else packed(doc[x]), packed(begin[x])))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 8))], [x.split()[0] for x in schema.split(", ")])
+                u, counts = x[first], np.diff(np.append(first, len(x)))
+                body_ = packed(body[_ragged(where[u], size[u])], level=3)
+                rows.append((int(shard[x[0]]), packed(size[u], np.uint8), packed(counts, np.int32), body_, packed_wide(key[x]), b"" if unique else packed_wide(doc[x]), packed_wide(begin[x])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], [x.split()[0] for x in schema.split(", ")])
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -236,10 +244,7 @@ def _cut(docs: DataFrame, n: int, unique: bool) -> DataFrame:
                 x = slice(a, b)
                 body = data[_ragged(offsets[text[x]] + begin[x], size[x])]
                 where = np.cumsum(size[x]) - size[x]
-                # A segment's anchor has the least hash of all its 16 bytes in a row.
-                inside = size[x] - GRAM + 1
-                h = mix(np.minimum.reduceat(grams(body)[_ragged(where, inside)], np.cumsum(inside) - inside))
-                held.append((_content(body, where, size[x]), h, size[x], key[x], doc[x], begin[x], body))
+                held.append((_content(body, where, size[x]), anchor_of(body, where, size[x]), size[x], key[x], doc[x], begin[x], body))
                 count += int(size[x].sum())
                 if count >= CUT:
                     yield flush()
@@ -328,15 +333,16 @@ def earliest(body: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndar
 
 
 def covered(table: pa.Table, length: int = LENGTH) -> pa.Table:
-    """Rows (key, begin, end): stretches of the texts that strings of an earlier document cover."""
-    rows = table.to_pylist()
-    counts = np.array([len(unpacked(r["lengths"], np.int32)) for r in rows])
-    content, h = (np.concatenate(c) for c in zip(*((unpacked_sorted(r["content"]), unpacked(r["hashes"], np.uint64)) for r in rows)))
-    size = np.concatenate([unpacked(r["lengths"], np.int32) for r in rows]).astype(np.int64)
-    body = np.concatenate([unpacked(r["bytes"], np.uint8) for r in rows])
-    which = np.concatenate([unpacked(r["which"], np.int32).astype(np.int64) + a for r, a in zip(rows, np.cumsum(counts) - counts)])
+    """Rows (key, place): stretches of the texts that strings of an earlier document cover; a place is a begin and a length."""
+    rows, parts = table.to_pylist(), []
+    for r in rows:
+        size, body = unpacked(r["lengths"], np.uint8).astype(np.int64), unpacked(r["bytes"], np.uint8)
+        where = np.cumsum(size) - size
+        parts.append((_content(body, where, size), anchor_of(body, where, size), size, body, unpacked(r["counts"], np.int32)))
+    content, h, size, body, counts = (np.concatenate(c) for c in zip(*parts))
+    which = np.repeat(np.arange(len(counts)), counts)
     key, doc = (np.concatenate(c) for c in zip(*map(_ids, rows)))
-    start = np.concatenate([unpacked(r["begins"], np.int64) for r in rows])
+    start = np.concatenate([unpacked_wide(r["begins"]) for r in rows])
     place = np.cumsum(size) - size
     _, one, same = np.unique(content, return_index=True, return_inverse=True)  # equal segments of different tasks
     which, h, size, place = same[which], h[one], size[one], place[one]
@@ -354,7 +360,7 @@ def covered(table: pa.Table, length: int = LENGTH) -> pa.Table:
     for part in _slices(np.concatenate([[0], np.cumsum(weight)]), SORTED):
         x = several[bounds[part.start] : (bounds[part.stop] if part.stop < len(bounds) else len(several))]
         source[_ragged(at[x], windows[x])] = earliest(body, place[x], size[x], least[x], length)
-    out = ([], [], [])
+    out = ([], [])
     for part in _slices(np.concatenate([[0], np.cumsum(windows[which])]), 1 << 19):
         w = windows[which[part]]
         hit = source[_ragged(at[which[part]], w)] < np.repeat(doc[part], w)
@@ -366,13 +372,15 @@ def covered(table: pa.Table, length: int = LENGTH) -> pa.Table:
         a, b = a[keep], b[keep]
         o = owner[a]
         shift = start[part][o] - (np.cumsum(w) - w)[o]
-        for c, x in zip(out, (key[part][o], a + shift, b - 1 + length + shift)):
+        for c, x in zip(out, (key[part][o], a + shift << 8 | b - 1 + length - a)):
             c.append(x)
-    return pa.table({n: np.concatenate(c) for n, c in zip(("key", "begin", "end"), out)})
+    return pa.table({n: np.concatenate(c) for n, c in zip(("key", "place"), out)})
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(docs with a key for equal rows, stretches to remove by key)."""
+    if not GRAM <= length <= 128:
+        raise ValueError("length must be from 16 to 128 bytes")
     n = shards(docs, PER_SHARD)
     counted = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"))
     unique = counted.where("rows > 1").isEmpty()
@@ -384,8 +392,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     lists = shared.groupBy("key").agg(F.collect_set("place").alias("found"))
     # All columns go on: this join and the last one then share one shuffle of the texts.
     segments = _cut(keyed.join(lists, "key"), n, unique)
-    covers = segments.groupBy("shard").applyInArrow(lambda t: covered(t, length), "key long, begin long, end long")
-    return keyed, covers.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
+    covers = segments.groupBy("shard").applyInArrow(lambda t: covered(t, length), "key long, place long")
+    return keyed, covers.groupBy("key").agg(F.collect_set("place").alias("cuts"))
 
 
 def _kept(size: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
@@ -404,8 +412,8 @@ def _kept_rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int]]:
     for i in range(batch.num_rows):
         text = raw[offsets[i] : offsets[i + 1]]
         if cuts[i].is_valid and len(cuts[i].values):
-            v = cuts[i].values
-            stay, n = _kept(len(text), v.field(0).to_numpy(), v.field(1).to_numpy())
+            place = cuts[i].values.to_numpy()
+            stay, n = _kept(len(text), place >> 8, (place >> 8) + (place & 255))
             yield b"".join([text[a:b] for a, b in stay.tolist()]), len(text), n
         else:
             yield text, len(text), 0
