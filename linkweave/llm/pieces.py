@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Words with their tokens in each of a worker's two generations; others are encoded anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
 
@@ -58,7 +58,8 @@ class PrefixTable:
         self.automaton.make_automaton()
         self.length = [len(p) for p in self.pieces]
         self.plain_from = 1 + max(self.value, default=-1) if all(i > max(self.value, default=-1) for i in plain) else n
-        self.compatible: dict[int, dict[int, bool]] = {}
+        self.letters = {p for p in self.id if len(p) == 1}
+        self.compatible: list[dict[int, bool]] = [{} for _ in self.pieces]
         self.n_pairs = 0
         self.words: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
@@ -83,28 +84,26 @@ class PrefixTable:
         found = self.merged(a + b) == [a, b]
         if self.n_pairs < 1_000_000:
             self.n_pairs += 1
-            self.compatible.setdefault(left, {})[right] = found
+            self.compatible[left][right] = found
         return found
 
     def encode(self, text: str) -> list[int]:
         """Ids of a string in which spaces are already marked."""
-        n, pairs = len(text), self.compatible
+        n, pairs, length = len(text), self.compatible, self.length
         last = [-1] * (n + 1)  # -2: the prefix is empty or ends in a character outside the vocabulary
         last[0] = -2
-        at = 1  # the next prefix that has no last token yet
+        if not self.letters.issuperset(text):
+            for i, ch in enumerate(text, 1):
+                if ch not in self.letters:
+                    last[i] = -2
         for end, token in self.automaton.iter(text):
             end += 1
-            if end > at:
-                for i in range(at, end):
-                    if last[i] == -1:
-                        last[i] = -2
-                at = end
             if last[end] == -1:
-                before = last[end - self.length[token]]
+                before = last[end - length[token]]
                 if before == -2:
                     last[end] = token
                 elif before >= 0:
-                    known = pairs[before].get(token) if before in pairs else None
+                    known = pairs[before].get(token)
                     if self.fits(before, token) if known is None else known:
                         last[end] = token
         ids, i = [], n
@@ -112,7 +111,7 @@ class PrefixTable:
             token = last[i]
             if token >= 0:
                 ids.append(token)
-                i -= self.length[token]
+                i -= length[token]
             else:
                 i -= 1
                 ids += [self.byte[b] for b in reversed(text[i].encode())]
