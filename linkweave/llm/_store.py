@@ -22,10 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of some MB between the JVM and Python, unless the session asks for another size than the default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 class Scratch:
     """Written tables and files of one operator run; removed at the end of the process, or by ``drop``."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._clean)
@@ -52,10 +59,11 @@ class Scratch:
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the size of ``df``, from file sizes; no job runs. Rows that no file holds count by partition."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else df.rdd.getNumPartitions() << 24
+    return size if size < 1 << 50 else df.rdd.getNumPartitions() << 24
 
 
 def shards(df: DataFrame, per: int, least: int = 8) -> int:
     """So many shards that each holds about ``per`` bytes of the stored input."""
     session = df.sparkSession
+    small_batches(session)
     return max(least, int(session.conf.get("spark.sql.shuffle.partitions", "8")), -(-plan_bytes(df) // per))
