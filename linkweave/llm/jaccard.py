@@ -5,11 +5,12 @@ in an order that all sets keep; the order puts tokens that many documents hold l
 of fixed size, so what many documents share rarely brings them together.
 
 1. Map tasks send the prefixes, packed by shard; shards return the tokens that several sets hold.
-2. Each set is compared with the one it meets first in most of its tokens. Sets that are linked so are
-   similar documents: their components, in parts of bounded size, are the groups of the matrix.
-3. For each group the union of its members' tokens is stored. A set that shares a prefix token with a group of another
-   component is compared with that union: the overlap bounds what it can share with any member. Groups whose
-   bound reaches the threshold are opened, and their members of fitting size compared.
+2. Each set is compared with the one that leads most of its tokens. Links found so give first components. Sets
+   whose bitmaps are near the same one are similar: they form, in parts of bounded size, the groups of the matrix.
+3. For each group the union of its members' tokens is stored, as a column of the matrix: a bitmap of hashed tokens, about two
+   bits for each. A set that shares a prefix token with members of another component in a group is compared with that
+   union: its bits outside bound from above what it can share with any member. Groups whose bound reaches the
+   threshold are opened, and members of fitting size in components that have not met are compared.
 4. Links of both steps give the components.
 
 Pairs inside a component are linked already, so leaving them out loses nothing; every other pair above the
@@ -37,6 +38,10 @@ from ._words import blocks, sets
 PER_SHARD, PACKED = 8 << 20, 1 << 19
 #: Members of a group of the matrix, about; parts in which the counts of tokens are summed.
 GROUP, PARTS = 128, 16
+#: Sets that are compared with one group in one task, about.
+ASKED = 256
+#: Rows of ids that are broadcast at most, after they have been counted: some MB.
+BROADCAST = 200_000
 
 
 def needed(n: int, percent: int) -> int:
@@ -48,8 +53,30 @@ def signature(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def bitmap(tokens: np.ndarray, size: int | None = None) -> bytes:
+    """Which of about two slots a token are taken; a power of two of 64 bits at least."""
+    size = size or max(64, 2 << max(0, len(tokens) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(tokens >> np.uint64(24) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same tokens in fewer slots."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def most_shared(n: int, own: bytes, other: bytes) -> int:
+    """An upper bound of the overlap of a set of ``n`` tokens with another: bits it has alone are tokens it has alone."""
+    a, b = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+    words = min(len(a), len(b))
+    return n - int(np.bitwise_count(folded(a, words) & ~folded(b, words)).sum())
+
+
 def _summaries(docs: DataFrame, words: int, slots: int) -> DataFrame:
-    """(doc_id, n, sig) of each document, and counts of tokens by slot in rows with a part."""
+    """(doc_id, n, sig, bitmap as cell) of each document, and counts of tokens by slot in rows with a part."""
     schema = "doc_id long, n long, sig long, part int, cell binary"
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
@@ -66,8 +93,7 @@ def _summaries(docs: DataFrame, words: int, slots: int) -> DataFrame:
             every = np.concatenate(found)
             count += np.bincount((every & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint32)
             waiting += len(every)
-            n = len(found)
-            columns = [rows.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([signature(x) for x in found], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            columns = [rows.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([signature(x) for x in found], pa.int64()), pa.nulls(len(found), pa.int32()), pa.array([bitmap(x) if len(x) else None for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
             if waiting > 8 * slots:
                 yield flush()
@@ -101,7 +127,7 @@ def prefix(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, words: int, percent: int, levels, n: int) -> DataFrame:
-    """(token, sig, n, pivot, pivot_n) of prefix tokens that several sets hold; the pivot is the least of them."""
+    """(token, sig, n) of prefix tokens that several sets hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known, count = [], {}, 0
@@ -143,15 +169,20 @@ def _postings(docs: DataFrame, words: int, percent: int, levels, n: int) -> Data
         token, sig, size = token[new], sig[new], size[new]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         per = np.diff(np.append(first, len(token)))
-        keep, lead = np.repeat(per > 1, per), np.repeat(first, per)
-        return pa.table({"token": token[keep].view(np.int64), "sig": sig[keep], "n": size[keep], "pivot": sig[lead][keep], "pivot_n": size[lead][keep]})
+        keep = np.repeat(per > 1, per)
+        return pa.table({"token": token[keep].view(np.int64), "sig": sig[keep], "n": size[keep]})
 
     packed_ = docs.select("text").mapInArrow(run, "shard int, tokens binary, at binary, sigs binary, sizes binary")
-    return packed_.groupBy("shard").applyInArrow(several, "token long, sig long, n long, pivot long, pivot_n long")
+    return packed_.groupBy("shard").applyInArrow(several, "token long, sig long, n long")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if it is small; beyond that both sides are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sig, n, cell): the tokens of the wanted sets, from one document (doc_id, sig) each."""
+    """(sig, n, cell): the tokens of the wanted sets, from one document (doc_id, sig) each; ``wanted`` is a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
@@ -162,7 +193,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["sig", "n", "cell"])
 
-    return docs.join(wanted, "doc_id").select("text", "sig").mapInArrow(run, "sig long, n long, cell binary").dropDuplicates(["sig"])
+    return docs.join(_few(wanted), "doc_id").select("text", "sig").mapInArrow(run, "sig long, n long, cell binary").dropDuplicates(["sig"])
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -173,21 +204,78 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def _compared(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int, bound: bool) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold; with ``bound``, whose overlap allows it."""
+def _joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the size and cell of a, and the size and cell of b."""
+    joined = pairs.join(left.select(F.col("sig").alias("a"), F.col("n").alias("left_n"), F.col("cell").alias("left_cell")), "a")
+    joined = joined.join(right.select(F.col("sig").alias("b"), F.col("n").alias("right_n"), F.col("cell").alias("right_cell")), "b")
+    return joined.select("a", "b", "left_n", "left_cell", "right_n", "right_cell")
+
+
+def _possible(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps allow the overlap that the threshold needs; right_n is the least size on that side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [most_shared(n, x, y) >= needed(max(n, m), percent) for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _joined(pairs, left, right).mapInArrow(run, "a long, b long")
+
+
+def _similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y, least in zip(batch.column("left_cell"), batch.column("right_cell"), batch.column("least").to_pylist()):
+            for x, y in zip(batch.column("left_cell"), batch.column("right_cell")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = _overlap(x, y)
-                keep.append(both >= needed(max(len(x), least), percent) if bound else 100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(left.select(F.col("sig").alias("a"), F.col("cell").alias("left_cell")), "a")
-    joined = joined.join(right.select(F.col("sig").alias("b"), F.col("cell").alias("right_cell"), F.col("n").alias("least")), "b")
-    return joined.select("a", "b", "left_cell", "right_cell", "least").mapInArrow(run, "a long, b long")
+    return _joined(pairs, tokens, tokens).mapInArrow(run, "a long, b long")
+
+
+def _opened(asks: DataFrame, members: DataFrame, component: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of sets that ask for a group with its members, as many as join components that were apart.
+
+    A pair whose components have met in the task is not compared, so a task gives fewer links than it has sets.
+    """
+    parts = asks.groupBy("group").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    asked = asks.join(parts, "group").select("group", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("asks"), F.col("a").alias("sig"))
+    held = members.join(parts, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), "sig")
+
+    def one(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("asks", "sig", "component", "cell"))), key=lambda r: r[:2])
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        inside = [(s, c, np.frombuffer(x, np.uint64)) for k, s, c, x in rows if not k]
+        found = ([], [])
+        for k, s, c, x in rows:
+            x = np.frombuffer(x, np.uint64)
+            for t, d, y in inside if k else ():
+                least, most = sorted((len(x), len(y)))
+                if 100 * least < percent * most or root(c) == root(d):
+                    continue
+                both = _overlap(x, y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    found[0].append(s)
+                    found[1].append(t)
+                    joined[root(c)] = root(d)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    rows = asked.unionByName(held).join(tokens.select("sig", "cell"), "sig").join(component, "sig")
+    return rows.groupBy("group", "part").applyInArrow(one, "a long, b long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -217,44 +305,66 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     slots = 1 << min(24, max(16, (plan_bytes(docs) // 128).bit_length()))
     summaries = scratch.table(_summaries(texts, words, slots), "summaries")
     nodes = summaries.where("part is null").select("doc_id", "n", "sig")
-    reps = nodes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    one = summaries.where("part is null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("cell").alias("cell"))
+    reps = scratch.table(one, "reps")
     levels = spark.sparkContext.broadcast(_levels(summaries, slots))  # one byte for each slot: 16 MB at most
     postings = scratch.table(_postings(texts, words, percent, levels, shards(docs, PER_SHARD)), "postings")
+    met = reps.join(postings.select("sig").distinct(), "sig", "left_semi")
 
-    sets_ = scratch.table(_sets_of(texts, postings.select("sig").distinct().join(reps, "sig"), words), "sets")
-    votes = postings.where(f"sig <> pivot AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)").groupBy("sig", "pivot").count()
+    # Each set votes for the set it meets most often among those that lead its tokens: the ones with most shared tokens.
+    degree = postings.join(postings.groupBy("sig").agg(F.count("*").alias("degree")), "sig")
+    lead = degree.groupBy("token").agg(F.max(F.struct("degree", "sig", "n")).alias("lead")).select("token", F.col("lead.sig").alias("pivot"), F.col("lead.n").alias("pivot_n"))
+    votes = postings.join(lead, "token").where(f"sig <> pivot AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)").groupBy("sig", "pivot").count()
     first = votes.groupBy("sig").agg(F.max(F.struct("count", "pivot")).alias("best")).selectExpr("sig AS a", "best.pivot AS b")
-    links = scratch.table(_compared(first, sets_, sets_, percent, False), "links")
+    first = scratch.table(_possible(first, met, met, percent), "first")
+    wanted = scratch.table(reps.join(_ends(first), "sig", "left_semi").select("doc_id", "sig"), "wanted")
+    tokens = scratch.table(_sets_of(texts, wanted, words), "tokens")
+    links = scratch.table(_similar(first, tokens, percent), "links")
     similar = scratch.table(components(scratch, links, "similar"), "components")
 
-    member = sets_.select("sig", "n").join(similar.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    member = met.select("sig", "n").join(similar.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     sizes = member.groupBy("component").agg(F.count("*").alias("size"))
-    group = F.xxhash64("component", F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / GROUP)))
-    member = scratch.table(member.join(sizes, "component").withColumn("group", group), "members")
+    member = member.join(sizes, "component").join(first.selectExpr("a AS sig", "b AS pivot"), "sig", "left").withColumn("cluster", F.coalesce("pivot", "sig"))
+    clusters = member.groupBy("cluster").agg(F.count("*").alias("cluster_size"))
+    group = F.xxhash64("cluster", F.pmod(F.xxhash64("sig"), F.ceil(F.col("cluster_size") / GROUP)))
+    member = member.join(clusters, "cluster").select("sig", "n", "component", "size", group.alias("group"))
+    members_of = member.groupBy("group").agg(F.count("*").alias("members"))
+    member = scratch.table(member.join(members_of, "group"), "members")
 
     held = postings.select("token", "sig").join(member, "sig")
     mixed = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    held = scratch.table(held.join(mixed, "token"), "mixed")
-    groups = held.groupBy("token", "group", "component", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = held.select("token", F.col("sig").alias("a"), F.col("n").alias("own"), F.col("component").alias("from"), F.col("size").alias("from_size"))
+    held = scratch.table(held.join(mixed, "token", "left_semi"), "mixed")
+    # Of two sets, the one in the smaller component asks for the group of the other.
+    groups = held.groupBy("token", "group").agg(F.max(F.struct("size", "component")).alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
+    asked = held.select("token", F.col("sig").alias("a"), F.col("n").alias("own"), F.struct("size", "component").alias("from"))
     fits = f"100 * own >= {percent} * least AND 100 * most >= {percent} * own"
-    pairs = asked.join(groups, "token").where(f"(from_size < size OR from_size = size AND from < component) AND {fits}")
+    pairs = asked.join(groups, "token").where(f"from < top AND {fits}")
     pairs = scratch.table(pairs.select("a", F.col("group").alias("b")).distinct(), "asked")
 
     def union(table: pa.Table) -> pa.Table:
-        cells = [np.frombuffer(v.as_buffer(), np.uint64) for chunk in table.column("cell").chunks for v in chunk]
-        return pa.table({"sig": table.column("group")[:1], "n": pa.array([min(map(len, cells))], pa.int64()), "cell": pa.array([np.unique(np.concatenate(cells)).tobytes()], pa.binary())})
-
-    wanted = member.join(pairs.select(F.col("b").alias("group")).distinct(), "group", "left_semi").select("group", "sig")
-    matrix = wanted.join(sets_, "sig").select("group", "cell").groupBy("group").applyInArrow(union, "sig long, n long, cell binary")
-    opened = _compared(pairs, sets_, matrix, percent, True)
-    size_of = member.select(F.col("sig").alias("a"), F.col("n").alias("own"))
-    inside = opened.withColumnRenamed("b", "group").join(member.select("group", F.col("sig").alias("b"), "n"), "group").join(size_of, "a")
-    inside = inside.where(f"100 * least(own, n) >= {percent} * greatest(own, n)").select("a", "b")
-    more = scratch.table(_compared(inside, sets_, sets_, percent, False), "more")
+        maps = [np.frombuffer(v, np.uint64) for v in table.column("cell").to_pylist()]
+        least = min(map(len, maps))
+        every = np.bitwise_or.reduce([folded(m, least) for m in maps])
+        return pa.table({"sig": table.column("group")[:1], "n": pa.array([min(table.column("n").to_pylist())], pa.int64()), "cell": pa.array([every.tobytes()], pa.binary())})
+
+    asked_for = member.join(pairs.select(F.col("b").alias("group")).distinct(), "group", "left_semi").select("group", "sig", "members")
+    columns = asked_for.join(met, "sig")
+    alone = columns.where("members = 1").select(F.col("group").alias("sig"), "n", "cell")  # its own union
+    matrix = columns.where("members > 1").select("group", "n", "cell").groupBy("group").applyInArrow(union, "sig long, n long, cell binary").unionByName(alone)
+    opened = scratch.table(_possible(pairs, met, matrix, percent), "opened")
+    whole = opened.withColumnRenamed("b", "group").join(members_of, "group")
+    # A group of one is compared directly; a larger one is opened in one task for some of the sets that ask for it.
+    single = whole.where("members = 1").join(member.select("group", F.col("sig").alias("b")), "group").select("a", "b")
+    asks = scratch.table(whole.where("members > 1").select("group", "a"), "asks")
+    members = member.join(asks.select("group").distinct(), "group", "left_semi").select("group", "sig")
+    ends = _ends(single).unionByName(asks.select(F.col("a").alias("sig"))).unionByName(members.select("sig")).distinct()
+    rest = ends.join(tokens.select("sig"), "sig", "left_anti")
+    wanted = scratch.table(reps.join(rest, "sig", "left_semi").select("doc_id", "sig"), "also-wanted")
+    tokens = scratch.table(tokens.unionByName(_sets_of(texts, wanted, words)), "all-tokens")
+    more = scratch.table(_similar(single, tokens, percent).unionByName(_opened(asks, members, member.select("sig", "component"), tokens, percent)), "more")
 
     all_ = components(scratch, links.unionByName(more), "linked").withColumnRenamed("node", "sig")
-    named = reps.join(all_, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    named = reps.select("sig", "doc_id").join(all_, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("sig", "component_id")
     found = nodes.join(named, "sig", "left")
@@ -262,11 +372,18 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the least doc_id of their component; of repeated rows one stays."""
+    """The rows of ``docs``, all columns, that are the least doc_id of their component; of repeated rows one stays.
+
+    Rows with a null doc_id stay.
+    """
+    found = Scratch(docs.sparkSession, "near-duplicates").table(linked(docs, words, percent).where("doc_id IS NOT NULL"), "components")
+    others = Scratch(docs.sparkSession, "others").table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct(), "ids")
     inner = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    first = linked(docs, words, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    rows = docs.withColumnsRenamed(inner).withColumn("same", F.xxhash64("text"))
-    kept = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id", "same"])
+    rows = docs.withColumnsRenamed(inner)
+    kept = rows.where("doc_id IS NOT NULL").join(_few(others), F.col("doc_id") == F.col("other_id"), "left_anti")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).drop("same")
+    kept = kept.unionByName(rows.where("doc_id IS NULL"))
     return kept.withColumnsRenamed({v: k for k, v in inner.items()}).select(*docs.columns)
 
 
