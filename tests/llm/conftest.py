@@ -1,15 +1,7 @@
 import random
 
 import pytest
-
-SF = "/root/testdata/sf0.001"
-#: Columns whose names are used inside the operators.
-CLASHES = ("key", "sig", "n", "part", "cell", "salt", "rank", "cuts", "score", "column_0", "other_id", "same")
-SCHEMA = "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES)
-
-
-def extra(rows):
-    return [(i, t, *(["x"] * len(CLASHES))) for i, t in rows]
+from samples import SCHEMA, extra
 
 
 @pytest.fixture(scope="session")
