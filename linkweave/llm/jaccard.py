@@ -13,8 +13,11 @@ of fixed size, so what many documents share rarely brings them together.
    threshold are opened, and members of fitting size in components that have not met are compared.
 4. Links of both steps give the components.
 
-Pairs inside a component are linked already, so leaving them out loses nothing; every other pair above the
-threshold is met in step 3. No set of pairs inside a group is ever built.
+5. Every link lies inside a component, so each document's number of links is counted there: the sets of a component, or
+   blocks of a large one by size and hash, are compared all with all in a task, which returns a count for each set.
+
+Steps 1 to 4 leave out pairs inside a component, as they are linked already; every other pair above the
+threshold is met in step 3. No row is ever built for a pair inside a group.
 
 Defined results: null and empty texts, and texts without words, have no set and are their own component;
 texts with fewer words than an n-gram have one token; repeated texts and rows are linked; rows with a null doc_id
@@ -24,6 +27,7 @@ can be linked, but name no component; empty tables give no rows; other columns a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +44,9 @@ PER_SHARD, PACKED = 8 << 20, 1 << 19
 GROUP, PARTS = 128, 16
 #: Sets that are compared with one group in one task, about.
 ASKED = 256
+#: Sets and tokens of a block whose links are counted in one task, at most but for single larger sets and uneven hashes; tokens that so few
+#: sets hold are counted pair by pair, others by products of matrices with so many columns.
+BLOCK, TOKENS, RARE, COLUMNS = 1024, 1 << 19, 8, 4096
 #: Rows of ids that are broadcast at most, after they have been counted: some MB.
 BROADCAST = 200_000
 
@@ -297,15 +304,106 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     return stars.unionByName(stars.selectExpr("component AS node", "component").distinct())
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many tokens each set shares with each set of the other list; of its own list if there is no other."""
+    every, l = left + (right or []), len(left)
+    r = len(left if right is None else right)
+    token, owner = np.concatenate(every), np.repeat(np.arange(len(every)), [len(x) for x in every])
+    order = np.argsort(token, kind="stable")  # equal tokens stay in the order of their sets
+    token, owner = token[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    per = np.diff(np.append(first, len(token)))
+    few = np.repeat(per <= RARE, per)
+    out = np.zeros(l * r, np.int64)
+    rare, of = token[few], owner[few]
+    for k in range(1, RARE):
+        same = np.flatnonzero(rare[k:] == rare[:-k])
+        a, b = of[same], of[same + k]
+        if right is None:
+            out += np.bincount(np.concatenate([a * r + b, b * r + a]), minlength=l * r)
+        else:
+            cross = (a < l) & (b >= l)
+            out += np.bincount(a[cross] * r + b[cross] - l, minlength=l * r)
+    out = out.reshape(l, r)
+    owner, per = owner[~few], per[per > RARE]
+    edges = np.concatenate([[0], np.cumsum(per)])
+    for at in range(0, len(per), COLUMNS):
+        to = min(at + COLUMNS, len(per))
+        cells = np.zeros((len(every), to - at), np.float32)
+        cells[owner[edges[at] : edges[to]], np.repeat(np.arange(to - at), per[at:to])] = 1
+        out += (cells[:l] @ cells[-r:].T).astype(np.int64)
+    return out
+
+
+def _counts(scratch: Scratch, sets_: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(sig, links): for each set of ``sets_`` (sig, component, n, copies) the documents with other sets that reach the threshold with it.
+
+    A component is one unit. A large one is split by size into bands, so that sets that can be linked lie in the same or in adjacent
+    bands, and bands are split by hash into blocks; each pair of blocks is a unit.
+    """
+    width = max(math.log(100 / percent), 0.01) * 1.001  # wider than needed, for the sake of rounding
+    sets_ = scratch.table(sets_.withColumn("band", F.floor(F.log("n") / width)), "counted-sets")
+    sizes = scratch.table(sets_.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")), "counted-sizes")
+    large = _few(scratch.table(sizes.where(f"size > {BLOCK} OR tokens > {TOKENS}").select("component"), "large"))
+    total = sizes.agg(F.sum("tokens")).first()[0] or 0
+    bundles = max(8, int(scratch.spark.conf.get("spark.sql.shuffle.partitions", "8")), total // TOKENS)
+    whole = sets_.join(large, "component", "left_anti")
+    whole = whole.select("sig", "n", "copies", F.pmod(F.xxhash64("component"), F.lit(bundles)).alias("task"), F.col("component").alias("unit"), F.lit(2).alias("side"))
+
+    split = sets_.join(large, "component", "left_semi")
+    bands = scratch.table(split.groupBy("component", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / TOKENS)).alias("blocks")), "bands")
+    around = bands.join(bands.selectExpr("component", "band - 1 AS band", "blocks AS up"), ["component", "band"], "left")
+    around = around.join(bands.selectExpr("component", "band + 1 AS band", "blocks AS down"), ["component", "band"], "left").na.fill(0)
+    split = split.join(_few(scratch.table(around, "around")), ["component", "band"]).withColumn("own", F.expr("pmod(xxhash64(sig), blocks)"))
+    units = """concat(
+        transform(sequence(0L, blocks - 1), j -> struct(xxhash64(component, band, 0, least(own, j), greatest(own, j)) AS unit, IF(own = j, 2, IF(own < j, 0, 1)) AS side)),
+        transform(filter(sequence(0L, up), j -> j < up), j -> struct(xxhash64(component, band, 1, own, j) AS unit, 0 AS side)),
+        transform(filter(sequence(0L, down), j -> j < down), j -> struct(xxhash64(component, band - 1, 1, j, own) AS unit, 1 AS side)))"""
+    split = split.select("sig", "n", "copies", F.explode(F.expr(units)).alias("x")).select("sig", "n", "copies", F.col("x.unit").alias("task"), "x.unit", "x.side")
+
+    def one(table: pa.Table) -> pa.Table:
+        sig, n, copies, unit, side = (table.column(c).to_numpy() for c in ("sig", "n", "copies", "unit", "side"))
+        cells = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("cell")]
+        links = np.zeros(len(sig), np.int64)
+        order = np.lexsort((side, unit))
+        edges = np.flatnonzero(np.concatenate([[True], unit[order][1:] != unit[order][:-1]]))
+        for x in np.split(order, edges[1:]):
+            a, b = x[side[x] != 1], x[side[x] != 0]
+            if not len(a) or not len(b):
+                continue
+            alike = side[x[0]] == 2
+            both = overlaps([cells[i] for i in a], None if alike else [cells[i] for i in b])
+            fit = 100 * both >= percent * (n[a][:, None] + n[b] - both)
+            if alike:
+                np.fill_diagonal(fit, False)
+            else:
+                links[b] += copies[a] @ fit
+            links[a] += fit @ copies[b]
+        return pa.table({"sig": sig, "links": links})
+
+    rows = whole.unionByName(split).join(tokens.select("sig", "cell"), "sig")
+    found = rows.groupBy("task").applyInArrow(one, "sig long, links long")
+    return found.groupBy("sig").agg(F.sum("links").alias("links"))
+
+
 def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    return _found(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def counted(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document; n_links is how many other rows it is linked with, exact copies included."""
+    return _found(docs, words, percent, count=True)
+
+
+def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slots = 1 << min(24, max(16, (plan_bytes(docs) // 128).bit_length()))
     summaries = scratch.table(_summaries(texts, words, slots), "summaries")
     nodes = summaries.where("part is null").select("doc_id", "n", "sig")
-    one = summaries.where("part is null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("cell").alias("cell"))
+    one = summaries.where("part is null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("cell").alias("cell"), F.count("*").alias("copies"))
     reps = scratch.table(one, "reps")
     levels = spark.sparkContext.broadcast(_levels(summaries, slots))  # one byte for each slot: 16 MB at most
     postings = scratch.table(_postings(texts, words, percent, levels, shards(docs, PER_SHARD)), "postings")
@@ -364,11 +462,16 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     more = scratch.table(_similar(single, tokens, percent).unionByName(_opened(asks, members, member.select("sig", "component"), tokens, percent)), "more")
 
     all_ = components(scratch, links.unionByName(more), "linked").withColumnRenamed("node", "sig")
-    named = reps.select("sig", "doc_id").join(all_, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    named = reps.select("sig", "doc_id", "copies").join(all_, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("sig", "component_id")
-    found = nodes.join(named, "sig", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.join(least, "component").select("sig", "component_id", "copies")
+    component_id = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), component_id]
+    if count:
+        counts = _counts(scratch, all_.join(reps.select("sig", "n", "copies"), "sig"), tokens, percent)
+        named = named.join(scratch.table(counts, "counts"), "sig", "left")
+        columns.append(F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"))
+    return nodes.join(named, "sig", "left").select(*columns)
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -388,4 +491,4 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=4, percent=85)
+    return counted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=4, percent=85)

@@ -70,6 +70,42 @@ def test_components(spark, size, percent):
     assert sorted(map(tuple, jaccard.linked(df, size, percent).collect())) == sorted(plain_components(rows, size, percent))
 
 
+def plain_links(rows, size, percent):
+    """With how many other rows each row is linked, by comparing all pairs."""
+    sets = [shingles(t, size) for _, t in rows]
+    fits = lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b)
+    return [sum(1 for j, b in enumerate(sets) if j != i and fits(a, b)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block, tokens", [(jaccard.BLOCK, jaccard.TOKENS), (5, 1 << 19), (1024, 400)])
+def test_links_of_documents(spark, monkeypatch, block, tokens):
+    """Groups as units of their own, and in blocks by number or by tokens."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "TOKENS", tokens)
+    rng = random.Random(8)
+    base = [str(i) for i in range(100)]
+    group = [(1000 + i, " ".join(base[: rng.randint(80, 100)] if i % 2 else base[:i] + ["x"] + base[i + 1 :])) for i in range(40)]
+    rows = near_copies(3, 150) + group + [(2000, group[0][1]), (2001, None), (2002, ""), (2003, None)]
+    want = [(*c, n) for c, n in zip(plain_components(rows, 4, 85), plain_links(rows, 4, 85))]
+    assert max(w[3] for w in want) > 20 and len({w[3] for w in want}) > 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard.counted(df, 4, 85).collect())) == sorted(want)
+
+
+def test_overlaps_of_lists(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    left, right = ([np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(n)] for n in (13, 9))
+    left.append(np.array([1 << 60], np.uint64))
+    plain = lambda x, y: [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert jaccard.overlaps(left, right).tolist() == plain(left, right)
+    own = jaccard.overlaps(left)
+    np.fill_diagonal(own, 0)
+    want = np.array(plain(left, left))
+    np.fill_diagonal(want, 0)
+    assert own.tolist() == want.tolist()
+
+
 def test_odd_documents_near(odd, odd_rows, none):
     got = sorted(map(tuple, jaccard.linked(odd, 4, 85).collect()), key=repr)
     assert got == sorted(plain_components(odd_rows, 4, 85), key=repr)
