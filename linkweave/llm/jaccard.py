@@ -83,16 +83,16 @@ def most_shared(n: int, own: bytes, other: bytes) -> int:
 
 
 def _summaries(docs: DataFrame, words: int, slots: int) -> DataFrame:
-    """(doc_id, n, sig, bitmap as cell) of each document, and counts of tokens by slot in rows with a part."""
-    schema = "doc_id long, n long, sig long, part int, cell binary"
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    """(doc_id, key, n, sig, bitmap as cell) of each document, and counts of tokens by slot in rows with a part."""
+    schema = "doc_id long, key long, n long, sig long, part int, cell binary"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, waiting = np.zeros(slots, np.uint32), 0
         names = [x.split()[0] for x in schema.split(", ")]
 
         def flush() -> pa.RecordBatch:
-            rows = [(None, None, None, p, packed(c)) for p, c in enumerate(np.split(count, PARTS)) if c.any()]
+            rows = [(None, None, None, None, p, packed(c)) for p, c in enumerate(np.split(count, PARTS)) if c.any()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
         for rows, data, offsets in blocks(batches):
@@ -100,7 +100,7 @@ def _summaries(docs: DataFrame, words: int, slots: int) -> DataFrame:
             every = np.concatenate(found)
             count += np.bincount((every & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint32)
             waiting += len(every)
-            columns = [rows.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([signature(x) for x in found], pa.int64()), pa.nulls(len(found), pa.int32()), pa.array([bitmap(x) if len(x) else None for x in found], pa.binary())]
+            columns = [rows.column("doc_id"), rows.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array([signature(x) for x in found], pa.int64()), pa.nulls(len(found), pa.int32()), pa.array([bitmap(x) if len(x) else None for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
             if waiting > 8 * slots:
                 yield flush()
@@ -188,19 +188,23 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST else ids
 
 
+#: What a row is found by: its doc_id; the hash of its text if that is null.
+_ROW = "coalesce(doc_id, key)"
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sig, n, cell): the tokens of the wanted sets, from one document (doc_id, sig) each; ``wanted`` is a written table."""
+    """(sig, n, cell): the tokens of the wanted sets, from one document (row, sig) each; ``wanted`` is a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
             out, asked = [], rows.column("sig").to_pylist()
             for x, s in zip(sets(data, offsets, words), asked):
-                if signature(x) == s:  # not another text of the same doc_id
+                if signature(x) == s:  # not another text of the same row number
                     out.append((s, len(x), x.tobytes()))
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["sig", "n", "cell"])
 
-    return docs.join(_few(wanted), "doc_id").select("text", "sig").mapInArrow(run, "sig long, n long, cell binary").dropDuplicates(["sig"])
+    return docs.withColumn("row", F.expr(_ROW)).join(_few(wanted), "row").select("text", "sig").mapInArrow(run, "sig long, n long, cell binary").dropDuplicates(["sig"])
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -399,11 +403,11 @@ def counted(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
     slots = 1 << min(24, max(16, (plan_bytes(docs) // 128).bit_length()))
     summaries = scratch.table(_summaries(texts, words, slots), "summaries")
     nodes = summaries.where("part is null").select("doc_id", "n", "sig")
-    one = summaries.where("part is null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("cell").alias("cell"), F.count("*").alias("copies"))
+    one = summaries.where("part is null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("row"), F.any_value("n").alias("n"), F.any_value("cell").alias("cell"), F.count("*").alias("copies"))
     reps = scratch.table(one, "reps")
     levels = spark.sparkContext.broadcast(_levels(summaries, slots))  # one byte for each slot: 16 MB at most
     postings = scratch.table(_postings(texts, words, percent, levels, shards(docs, PER_SHARD)), "postings")
@@ -415,7 +419,7 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
     votes = postings.join(lead, "token").where(f"sig <> pivot AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)").groupBy("sig", "pivot").count()
     first = votes.groupBy("sig").agg(F.max(F.struct("count", "pivot")).alias("best")).selectExpr("sig AS a", "best.pivot AS b")
     first = scratch.table(_possible(first, met, met, percent), "first")
-    wanted = scratch.table(reps.join(_ends(first), "sig", "left_semi").select("doc_id", "sig"), "wanted")
+    wanted = scratch.table(reps.join(_ends(first), "sig", "left_semi").select("row", "sig"), "wanted")
     tokens = scratch.table(_sets_of(texts, wanted, words), "tokens")
     links = scratch.table(_similar(first, tokens, percent), "links")
     similar = scratch.table(components(scratch, links, "similar"), "components")
@@ -457,7 +461,7 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
     members = member.join(asks.select("group").distinct(), "group", "left_semi").select("group", "sig")
     ends = _ends(single).unionByName(asks.select(F.col("a").alias("sig"))).unionByName(members.select("sig")).distinct()
     rest = ends.join(tokens.select("sig"), "sig", "left_anti")
-    wanted = scratch.table(reps.join(rest, "sig", "left_semi").select("doc_id", "sig"), "also-wanted")
+    wanted = scratch.table(reps.join(rest, "sig", "left_semi").select("row", "sig"), "also-wanted")
     tokens = scratch.table(tokens.unionByName(_sets_of(texts, wanted, words)), "all-tokens")
     more = scratch.table(_similar(single, tokens, percent).unionByName(_opened(asks, members, member.select("sig", "component"), tokens, percent)), "more")
 

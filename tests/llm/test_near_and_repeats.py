@@ -92,6 +92,19 @@ def test_links_of_documents(spark, monkeypatch, block, tokens):
     assert sorted(map(tuple, jaccard.counted(df, 4, 85).collect())) == sorted(want)
 
 
+def test_near_copy_without_id(spark):
+    """A row with a null doc_id between two documents that only it links, alone and in a group."""
+    base = [f"w{i}" for i in range(120)]
+    changed = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(base))
+    rows = [(5, changed(20)), (None, changed(20, 60)), (9, changed(20, 60, 100)), (11, "something else stands here"), (None, "and nothing is like this one")]
+    rows += [(20 + i, " ".join(f"v{j}" if j != i else "x" for j in range(150))) for i in range(12)] + [(None, " ".join(f"v{j}" if j != 70 else "x" for j in range(150)))]
+    size, percent = 4, 93
+    want = [(*c, n) for c, n in zip(plain_components(rows, size, percent), plain_links(rows, size, percent))]
+    assert [w[2:] for w in want[:3]] == [(5, 1), (5, 2), (5, 1)] and want[-1][2] == 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, jaccard.counted(df, size, percent).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_overlaps_of_lists(monkeypatch):
     monkeypatch.setattr(jaccard, "COLUMNS", 7)
     rng = np.random.default_rng(4)
