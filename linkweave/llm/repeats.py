@@ -255,16 +255,17 @@ def _cut(docs: DataFrame, n: int, unique: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Rotations of ``text`` in the order of their first 64 bytes."""
+def suffix_order(text: np.ndarray, length: int = 64) -> np.ndarray:
+    """Rotations of ``text`` in the order of their first 64 bytes; of their first 128 where ``length`` is larger than 64."""
     n = len(text)
     around = np.concatenate([text, np.resize(text, 8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | around[k : k + n].astype(np.uint64)
-    for reach in (8, 16, 32, 64):
+    last = 64 if length <= 64 else 128
+    for reach in (8, 16, 32, 64, 128):
         order = np.argsort(key)
-        if reach == 64:
+        if reach == last:
             return order
         ranked = key[order]
         rank = np.empty(n, np.uint64)
@@ -324,7 +325,7 @@ def earliest(body: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndar
     where = np.cumsum(size + 1) - size - 1
     text = np.full(int(size.sum()) + n, 0xFF, np.uint8)  # a byte that UTF-8 never has parts the segments
     text[_ragged(where, size)] = body[_ragged(begin, size)]
-    order = suffix_order(text)
+    order = suffix_order(text, length)
     first = np.flatnonzero(expand_intervals(text, order, length))
     owner = np.repeat(np.arange(n), size + 1)
     least = np.empty(len(text), doc.dtype)

@@ -224,6 +224,23 @@ def test_interval_expansion(seed):
     assert short.tolist() == [k == 0 or twice[order[k] : order[k] + 50] != twice[order[k - 1] : order[k - 1] + 50] for k in range(len(order))]
 
 
+@pytest.mark.parametrize("length", [50, 64, 65, 100, 128])
+def test_windows_of_any_length(length):
+    """Segments that agree in their first 64 bytes and part after them."""
+    rng = np.random.default_rng(length)
+    head, tails = rng.integers(97, 123, 70), [rng.integers(97, 123, 90) for _ in range(4)]
+    texts = [np.concatenate([rng.integers(97, 123, rng.integers(0, 9)), head, tails[rng.integers(4)]]).astype(np.uint8) for _ in range(60)]
+    size, doc = np.array([len(t) for t in texts]), rng.permutation(60)
+    first, want = {}, []
+    for d, t in zip(doc, texts):
+        for p in range(len(t) - length + 1):
+            w = t[p : p + length].tobytes()
+            first[w] = min(d, first.get(w, d))
+    for t in texts:
+        want += [first[t[p : p + length].tobytes()] for p in range(len(t) - length + 1)]
+    assert repeats.earliest(np.concatenate(texts), np.cumsum(size) - size, size, doc, length).tolist() == want
+
+
 def test_odd_documents_repeats(odd, odd_rows, none):
     distinct = repeats.removal(odd).collect()
     assert sorted(map(tuple, distinct), key=repr) == plain_removal(odd_rows)
