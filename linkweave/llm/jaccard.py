@@ -397,16 +397,17 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 def counted(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document; n_links is how many other rows it is linked with, exact copies included."""
-    return _found(docs, words, percent, count=True)
+    return _found(docs, words, percent, count=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> DataFrame:
+    """Columns of ``counted``, n_links if asked for, with the hash of the text as key and the component, null where there is no set."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
     slots = 1 << min(24, max(16, (plan_bytes(docs) // 128).bit_length()))
     summaries = scratch.table(_summaries(texts, words, slots), "summaries")
-    nodes = summaries.where("part is null").select("doc_id", "n", "sig")
+    nodes = summaries.where("part is null").select("doc_id", "key", "n", "sig")
     one = summaries.where("part is null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("row"), F.any_value("n").alias("n"), F.any_value("cell").alias("cell"), F.count("*").alias("copies"))
     reps = scratch.table(one, "reps")
     levels = spark.sparkContext.broadcast(_levels(summaries, slots))  # one byte for each slot: 16 MB at most
@@ -468,9 +469,9 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
     all_ = components(scratch, links.unionByName(more), "linked").withColumnRenamed("node", "sig")
     named = reps.select("sig", "doc_id", "copies").join(all_, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("sig", "component_id", "copies")
+    named = named.join(least, "component").select("sig", "component", "component_id", "copies")
     component_id = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
-    columns = ["doc_id", F.col("n").alias("n_shingles"), component_id]
+    columns = ["doc_id", F.col("n").alias("n_shingles"), component_id, "key", "component"]
     if count:
         counts = _counts(scratch, all_.join(reps.select("sig", "n", "copies"), "sig"), tokens, percent)
         named = named.join(scratch.table(counts, "counts"), "sig", "left")
@@ -481,15 +482,22 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that are the least doc_id of their component; of repeated rows one stays.
 
-    Rows with a null doc_id stay.
+    Where a doc_id has several texts, one row for each component stays, and each text without words. Rows with a null doc_id stay.
     """
-    found = Scratch(docs.sparkSession, "near-duplicates").table(linked(docs, words, percent).where("doc_id IS NOT NULL"), "components")
-    others = Scratch(docs.sparkSession, "others").table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct(), "ids")
+    found = _found(docs, words, percent).where("doc_id IS NOT NULL")
+    found = Scratch(docs.sparkSession, "near-duplicates").table(found, "components")
     inner = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     rows = docs.withColumnsRenamed(inner)
-    kept = rows.where("doc_id IS NOT NULL").join(_few(others), F.col("doc_id") == F.col("other_id"), "left_anti")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).drop("same")
+    kept = rows.where("doc_id IS NOT NULL")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        others = Scratch(docs.sparkSession, "others").table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")), "ids")
+        kept = kept.join(_few(others), F.col("doc_id") == F.col("other_id"), "left_anti")
+    else:  # a row is known by its doc_id and text
+        first = found.where("component IS NOT NULL AND doc_id = component_id").groupBy("component").agg(F.min("doc_id").alias("own_id"), F.min("key").alias("own_key"))
+        stay = first.select("own_id", "own_key").unionByName(found.where("component IS NULL").selectExpr("doc_id AS own_id", "key AS own_key"))
+        kept = kept.withColumn("same", F.xxhash64(F.col("text").cast("string")))
+        kept = kept.join(stay, (F.col("doc_id") == F.col("own_id")) & (F.col("same") == F.col("own_key")), "left_semi")
+        kept = kept.dropDuplicates(["doc_id", "same"]).drop("same")
     kept = kept.unionByName(rows.where("doc_id IS NULL"))
     return kept.withColumnsRenamed({v: k for k, v in inner.items()}).select(*docs.columns)
 

@@ -105,6 +105,16 @@ def test_near_copy_without_id(spark):
     assert sorted(map(tuple, jaccard.counted(df, size, percent).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """A near copy goes and a clean text of the same doc_id stays; of near copies under one doc_id one stays."""
+    text = lambda name, *at: " ".join("other" if i in at else f"{name}{i}" for i in range(100))
+    rows = [(1, text("a")), (2, text("a", 50)), (2, text("b")), (3, text("c")), (3, text("c", 40)), (4, text("b", 9)), (5, ""), (5, " "), (5, text("d")), (5, text("d")), (None, text("a"))]
+    kept = sorted(map(tuple, jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect()), key=repr)
+    one = [r for r in kept if r[0] == 3]
+    assert len(one) == 1 and one[0] in rows
+    assert [r for r in kept if r[0] != 3] == sorted([rows[0], rows[2], rows[6], rows[7], rows[8], rows[10]], key=repr)
+
+
 def test_overlaps_of_lists(monkeypatch):
     monkeypatch.setattr(jaccard, "COLUMNS", 7)
     rng = np.random.default_rng(4)
