@@ -34,6 +34,9 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 LONGEST, AROUND = 16, 40
 
 _TRIGGER = re.compile("[0-9@]")
+_AT = re.compile(r"(?<=[\[(])at(?=[\])])")
+#: Where the random field reads: also 'at' in brackets, and 20 letters that are set to a keyword.
+_NEAR = re.compile(r"[0-9@]|(?<=[\[(])at(?=[\])])|(?i:(?:token|secret|passw(?:or)?d|key)[ \t]{0,4}[=:\"'][ \t=:\"']{0,12})(?=[A-Za-z]{20})")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
@@ -103,7 +106,7 @@ def _well_formed(span: str) -> tuple[bool, ...]:
         bool(re.fullmatch(r"(\d{1,3})(\.\d{1,3}){3}", span)) and all(int(x) < 256 for x in span.split(".")),
         13 <= len(digits) <= 19 and bool(re.fullmatch(r"[0-9]+([ -][0-9]+)*", span)) and luhn(digits),
         bool(re.fullmatch(r"(\+\d{1,3}[ .-]?)?(\(\d{2,4}\) ?|\d{2,4}[ -])\d{3,4}[ -]\d{3,4}|\+\d[\d ().-]{7,}\d", span)),
-        bool(re.fullmatch(r"[A-Za-z0-9]{20,}", span)) and bool(digits) and not span.isdigit(),
+        bool(re.fullmatch(r"[A-Za-z0-9]{20,}", span)) and not span.isdigit(),
     )
 
 
@@ -119,7 +122,7 @@ def span_features(span: str, left: bool, right: bool, keyword: bool) -> tuple[tu
 
 
 def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, tuple]]:
-    """Segments (first token, end, features) that may be an entity: bounded, of one line, with a digit or an at-sign."""
+    """Segments (first token, end, features) that may be an entity: bounded, of one line, with a digit or an at-sign, or one long word after a keyword."""
     for i, (start, _) in enumerate(tokens):
         head = text[start]
         if not (head.isalnum() or head in "+("):
@@ -135,10 +138,13 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int,
                 if spaces > 4:
                     break
                 continue
-            useful = useful or bool(_TRIGGER.search(piece))
-            if useful and piece.isalnum():
+            useful = useful or bool(_TRIGGER.search(piece)) or bool(piece == "at" and _AT.match(text, a))
+            long = j == i and b - a >= 20 and piece.isalpha()
+            if (useful or long) and piece.isalnum():
                 before = text[max(0, start - 24) : start]
                 keyword = bool(_KEYWORD.search(before.rstrip(" \t=:\"'")))
+                if not useful and not (keyword and before[len(before.rstrip(" \t=:\"'")) :].strip()):
+                    continue
                 yield i, j + 1, span_features(text[start:b], start > 0 and text[start - 1].isalnum(), b < len(text) and text[b].isalnum(), keyword)
 
 
@@ -171,16 +177,16 @@ def segment(text: str, tokens: list[tuple[int, int]], weights: list[float]) -> l
 
 
 def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Tokens of each stretch around digits and at-signs."""
-    start = stop = -1
-    for m in _TRIGGER.finditer(text):
-        if start >= 0 and m.start() - AROUND <= stop:
+    """Tokens of each stretch around digits, at-signs, 'at' in brackets and long words after a keyword."""
+    start = stop = None
+    for m in _NEAR.finditer(text):
+        if start is not None and m.start() - AROUND <= stop:
             stop = m.end() + AROUND
             continue
-        if start >= 0:
+        if start is not None:
             yield _tokens(text, start, stop)
         start, stop = m.start() - AROUND, m.end() + AROUND
-    if start >= 0:
+    if start is not None:
         yield _tokens(text, start, stop)
 
 
@@ -230,11 +236,31 @@ def generated(n: int, seed: int) -> Iterator[tuple[str, list[tuple[str, int, int
         yield text, spans
 
 
+def spelled(n: int, seed: int) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """Sentences with addresses whose at-sign is a word in brackets, secrets of letters alone, and places that are neither."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(("th", "er", "an", "on", "le", "es", "in", "ou", "tion", "de", "re", "st")) for _ in range(rng.randint(1, 4)))
+    sign = lambda: rng.choice((" [at] ", "[at]", " (at) ", "(at)"))
+    for _ in range(n):
+        text = f"{word()} {word()} "
+        kind = rng.choice(("email", "email", "secret", ""))
+        if kind == "secret":
+            text += rng.choice(('token = "', "api_key: ", "secret=", "password: "))
+        start = len(text)
+        if kind == "email":
+            text += f"{word()}{rng.choice(('.', '_', ''))}{word()}{sign()}{word()}.{rng.choice(('', word() + '.'))}{rng.choice(('com', 'org', 'net'))}"
+        elif kind == "secret":
+            text += "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(20, 40)))
+        else:
+            text += f"{word()}{sign()}{word()}"
+        yield text + rng.choice((" ", ", ", ". ")) + word(), [(kind, start, len(text))] if kind else []
+
+
 @lru_cache(maxsize=1)
 def fitted(sentences: int = 240, rounds: int = 60, seed: int = 11) -> tuple[float, ...]:
     """Weights that maximise the conditional likelihood of generated sentences, less a quadratic penalty."""
     data = []
-    for text, spans in generated(sentences, seed):
+    for text, spans in (*generated(sentences, seed), *spelled(sentences // 4, seed)):
         tokens = [m.span() for m in _TOKEN.finditer(text)]
         at = {a: i for i, (a, _) in enumerate(tokens)}
         ends = {b: i + 1 for i, (_, b) in enumerate(tokens)}
@@ -275,7 +301,7 @@ def _add(a: float, b: float) -> float:
 
 def find(text: str, weights: tuple[float, ...]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(spans of the patterns, all spans), by kind as listed and then by start."""
-    if not text or not _TRIGGER.search(text):
+    if not text or not _NEAR.search(text):
         return [], []
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)

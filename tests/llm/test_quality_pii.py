@@ -156,3 +156,15 @@ def test_odd_documents(odd, odd_rows, none):
     clean = pii.personal_data(odd, redact=True)
     assert clean.columns == odd.columns and clean.count() == len(odd_rows)
     assert pii.personal_data(none).count() == 0 and pii.personal_data(none, redact=True).count() == 0
+
+
+@pytest.mark.parametrize("lead", ["", "word " * 30])
+def test_spelled_addresses_and_secrets_of_letters(lead):
+    """Forms without a digit or an at-sign, at a text's begin and further on."""
+    weights = pii.fitted()
+    for text, spans in [
+        ("write to jane [at] host.org please", [("email", 9, 27)]), ("write to jane.doe(at)mail.host.com, thanks", [("email", 9, 34)]),
+        ('token = "abcdefghijklmnopqrstuvwxyzab" end', [("secret", 9, 37)]), ("api_key: QwErTyUiOpAsDfGhJkLzXcVbNm", [("secret", 9, 35)]),
+        ("see them (at) home today", []), ("the key internationalization works", []), ("look [at] this", []),
+    ]:
+        assert pii.find(lead + text, weights) == ([], [(k, a + len(lead), b + len(lead)) for k, a, b in spans]), text
