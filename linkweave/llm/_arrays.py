@@ -1,14 +1,61 @@
-"""Arrays as compressed cells of a row, and as memory-mapped files in the shared folder."""
+"""Arrays as compressed cells of a row, as memory-mapped files in the shared folder, and the Arrow calls that all operators use."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame, GroupedData
+
+
+_TIDIED = [0.0]
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: it keeps what it has freed
+        return None
+
+
+def tidy(least: float = 2.0) -> None:
+    """Give freed memory back to the system, at most every ``least`` seconds: workers live through many tasks and stages."""
+    if time.monotonic() - _TIDIED[0] >= least:
+        pa.default_memory_pool().release_unused()
+        if _libc() is not None:
+            _libc().malloc_trim(0)
+        _TIDIED[0] = time.monotonic()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` of tasks that give their memory back when they end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy(0.0)
+
+    return df.mapInArrow(task, schema)
+
+
+def apply_arrow(groups: GroupedData, one: Callable, schema) -> DataFrame:
+    """``applyInArrow`` of groups; freed memory goes back now and then."""
+
+    def task(table: pa.Table) -> pa.Table:
+        out = one(table)
+        tidy()
+        return out
+
+    return groups.applyInArrow(task, schema)
 
 
 def packed(values: np.ndarray, dtype=None, level: int = 1) -> bytes:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import mapped, packed, packed_sorted, save, unpacked, unpacked_sorted
+from ._arrays import apply_arrow, map_arrow, mapped, packed, packed_sorted, save, unpacked, unpacked_sorted
 from ._store import Scratch, shards
 from ._words import blocks, hashes, mix, spans
 
@@ -202,7 +202,7 @@ def _counted(train: DataFrame, keys_of: Callable, shard_of: Callable) -> DataFra
         if n:
             yield flush()
 
-    return train.select("text").mapInArrow(run, "shard int, keys binary, counts binary")
+    return map_arrow(train.select("text"), run, "shard int, keys binary, counts binary")
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +227,7 @@ def fit(train: DataFrame) -> Model:
         return pa.table({"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "total": [int(counts.sum())], "often": [often.tolist()], "often_n": [counts[often].tolist()]})
 
     counted = _counted(train, lambda d, o: tokens(d, o)[0], model.shard_of_hash)
-    found = counted.groupBy("shard").applyInArrow(words, "shard int, types long, total long, often array<long>, often_n array<long>").collect()  # a row for each shard
+    found = apply_arrow(counted.groupBy("shard"), words, "shard int, types long, total long, often array<long>, often_n array<long>").collect()  # a row for each shard
     types = np.zeros(n, np.int64)
     for r in found:
         types[r["shard"]] = r["types"]
@@ -265,7 +265,7 @@ def fit(train: DataFrame) -> Model:
             rows.append((s, 2, packed_sorted(first[part]), packed(sums[part], np.int64)))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "kind", "keys", "counts"])
 
-    stats = scratch.table(_counted(train, pair_keys, pair_shard).groupBy("shard").applyInArrow(pairs, "shard int, kind int, keys binary, counts binary"), "stats")
+    stats = scratch.table(apply_arrow(_counted(train, pair_keys, pair_shard).groupBy("shard"), pairs, "shard int, kind int, keys binary, counts binary"), "stats")
     times = sum(unpacked(r["keys"], np.int64) for r in stats.where("kind = 0").select("keys").collect())  # a row for each shard
     model.pair_discounts, model.n_pairs = discounts(times[:4].tolist()), int(times[4])
 
@@ -289,7 +289,7 @@ def fit(train: DataFrame) -> Model:
             save(f"{root}/first/{s}", first)
         return pa.table({"times": [[int((second == i).sum()) for i in (1, 2, 3, 4)] + [int((second > 2).sum())]]})
 
-    found = stats.where("kind > 0").groupBy("shard").applyInArrow(ranges, "times array<long>").collect()  # a row for each shard
+    found = apply_arrow(stats.where("kind > 0").groupBy("shard"), ranges, "times array<long>").collect()  # a row for each shard
     times = np.sum([r["times"] for r in found], axis=0)
     model.word_discounts = discounts(times[:4].tolist())
     model.word_rest = float(np.dot(model.word_discounts, [times[0], times[1], times[4]]) / max(model.n_pairs, 1))
@@ -303,7 +303,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for rows, data, offsets in blocks(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x) for x in model.scores(data, offsets))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

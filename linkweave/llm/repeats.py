@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import packed, packed_sorted, packed_wide, unpacked, unpacked_sorted, unpacked_wide
+from ._arrays import apply_arrow, map_arrow, packed, packed_sorted, packed_wide, unpacked, unpacked_sorted, unpacked_wide
 from ._store import shards
 from ._words import mix, utf8
 
@@ -154,7 +154,7 @@ def _asked(docs: DataFrame, n: int, length: int, unique: bool) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _ids(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +252,7 @@ def _cut(docs: DataFrame, n: int, unique: bool) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def suffix_order(text: np.ndarray, length: int = 64) -> np.ndarray:
@@ -389,11 +389,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     text_key = F.xxhash64("doc_id", "text")
     keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), text_key) if unique else text_key)
     sound = keyed.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}").select("key", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = _asked(sound, n, length, unique).groupBy("shard").applyInArrow(_several, "key long, place long")
+    shared = apply_arrow(_asked(sound, n, length, unique).groupBy("shard"), _several, "key long, place long")
     lists = shared.groupBy("key").agg(F.collect_set("place").alias("found"))
     # All columns go on: this join and the last one then share one shuffle of the texts.
     segments = _cut(keyed.join(lists, "key"), n, unique)
-    covers = segments.groupBy("shard").applyInArrow(lambda t: covered(t, length), "key long, place long")
+    covers = apply_arrow(segments.groupBy("shard"), lambda t: covered(t, length), "key long, place long")
     return keyed, covers.groupBy("key").agg(F.collect_set("place").alias("cuts"))
 
 
@@ -430,7 +430,7 @@ def removal(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], [x.split()[0] for x in REMOVED.split(", ")])
 
-    return keyed.join(cuts, "key", "left").select("doc_id", "text", "cuts").mapInArrow(run, REMOVED)
+    return map_arrow(keyed.join(cuts, "key", "left").select("doc_id", "text", "cuts"), run, REMOVED)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -445,7 +445,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             texts = [kept.decode("utf-8", "ignore") if v else None for v, (kept, _, _) in zip(valid, _kept_rows(batch))]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(inner.get(c, c)) for c in names], names)
 
-    return keyed.join(cuts, "key", "left").select(*(inner.get(c, c) for c in names), "cuts").mapInArrow(run, schema)
+    return map_arrow(keyed.join(cuts, "key", "left").select(*(inner.get(c, c) for c in names), "cuts"), run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
