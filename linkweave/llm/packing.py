@@ -7,13 +7,15 @@ whatever the size of the corpus. ``plan`` runs the algorithm over those counts w
 tree over remaining capacities; each row of the plan places a run of equal pieces. Pieces then
 find their place in the plan by their rank among pieces of their length, in Spark.
 
-Defined results: a null text is empty; an empty text is one piece holding the end token;
-repeated texts are packed each; an empty table gives no rows; other columns are ignored.
+Defined results: a null text is empty; an empty text is one piece holding the end token; texts of any length, of white space
+too, are encoded whole; repeated texts are packed each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrays import map_arrow
 from ._store import Scratch, shards
 
 CAPACITY = 2048
@@ -104,23 +107,45 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 @lru_cache(maxsize=2)
-def _encoders(name: str):
+def _fast(name: str):
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    exact = Tokenizer.from_file(public_tokenizers.path(name))
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), exact, special
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+
+
+@lru_cache(maxsize=2)
+def _exact(name: str):
+    """Loaded only where a text holds a special string."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+#: White space in a row, at least, that is taken out of a text before the pattern engine sees it: its stack overflows at some 10^5 more.
+BLANKS = 4096
+_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % BLANKS)
 
 
 def encode(text: str, name: str = "byte_bpe_50k.json") -> np.ndarray:
-    """Ids as the tokenizers library gives them; texts without special strings take the same vocabulary's faster encoder."""
-    fast, exact, special = _encoders(name)
+    """Ids as the tokenizers library gives them; texts without special strings take the same vocabulary's faster encoder.
+
+    The pattern makes one piece of a run of white space, but for its last character if the text goes on; so long runs
+    are encoded as pieces, and what stands between them by itself.
+    """
+    fast, special = _fast(name)
     if any(s in text for s in special):
-        return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4")
-    return np.array(fast.encode_ordinary(text), "<u4")
+        return np.array(_exact(name).encode(text, add_special_tokens=False).ids, "<u4")
+    ids, at = [], 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        ids += fast.encode_ordinary(text[at : m.start()])
+        ids += fast._encode_single_piece(text[m.start() : end].encode())
+        at = end
+    return np.array(ids + fast.encode_ordinary(text[at:]), "<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -142,7 +167,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:

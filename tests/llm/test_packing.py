@@ -81,6 +81,12 @@ def test_query(spark):
     check(packing.query(spark, sf).collect(), docs, 2048)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "\n" * 1_000_000, "a" + " \n\t\r" * 250_000 + " b", "a" + "\u3000\x85 " * 5000 + "\x1c", "x " + " " * 5000 + "'s" + "\n" * 5000, "  a   b \n" * 500 + " " * 4097])
+def test_long_white_space(text):
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 def test_special_strings_and_empty_table(none):
     assert packing.encode("a<|endoftext|>b").tolist() == [64, 50256, 65]
     assert packing.pack(none).count() == 0
