@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import packed, packed_sorted, unpacked, unpacked_sorted
+from ._arrays import apply_arrow, map_arrow, packed, packed_sorted, unpacked, unpacked_sorted
 from ._store import Scratch, plan_bytes, shards
 from ._words import blocks, sets
 
@@ -108,7 +108,7 @@ def _summaries(docs: DataFrame, words: int, slots: int) -> DataFrame:
         if waiting:
             yield flush()
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _levels(summaries: DataFrame, slots: int) -> np.ndarray:
@@ -122,7 +122,7 @@ def _levels(summaries: DataFrame, slots: int) -> np.ndarray:
         return pa.table({"part": table.column("part")[:1], "cell": pa.array([packed(high)], pa.binary())})
 
     out = np.zeros((PARTS, slots // PARTS), np.uint8)
-    for r in summaries.where("part is not null").select("part", "cell").groupBy("part").applyInArrow(level, "part int, cell binary").collect():  # PARTS rows
+    for r in apply_arrow(summaries.where("part is not null").select("part", "cell").groupBy("part"), level, "part int, cell binary").collect():  # PARTS rows
         out[r["part"]] = unpacked(r["cell"], np.uint8)
     return out.reshape(-1)
 
@@ -179,8 +179,8 @@ def _postings(docs: DataFrame, words: int, percent: int, levels, n: int) -> Data
         keep = np.repeat(per > 1, per)
         return pa.table({"token": token[keep].view(np.int64), "sig": sig[keep], "n": size[keep]})
 
-    packed_ = docs.select("text").mapInArrow(run, "shard int, tokens binary, at binary, sigs binary, sizes binary")
-    return packed_.groupBy("shard").applyInArrow(several, "token long, sig long, n long")
+    packed_ = map_arrow(docs.select("text"), run, "shard int, tokens binary, at binary, sigs binary, sizes binary")
+    return apply_arrow(packed_.groupBy("shard"), several, "token long, sig long, n long")
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["sig", "n", "cell"])
 
-    return docs.withColumn("row", F.expr(_ROW)).join(_few(wanted), "row").select("text", "sig").mapInArrow(run, "sig long, n long, cell binary").dropDuplicates(["sig"])
+    return map_arrow(docs.withColumn("row", F.expr(_ROW)).join(_few(wanted), "row").select("text", "sig"), run, "sig long, n long, cell binary").dropDuplicates(["sig"])
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -230,7 +230,7 @@ def _possible(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int)
             keep = [most_shared(n, x, y) >= needed(max(n, m), percent) for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _joined(pairs, left, right).mapInArrow(run, "a long, b long")
+    return map_arrow(_joined(pairs, left, right), run, "a long, b long")
 
 
 def _similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -245,7 +245,7 @@ def _similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _joined(pairs, tokens, tokens).mapInArrow(run, "a long, b long")
+    return map_arrow(_joined(pairs, tokens, tokens), run, "a long, b long")
 
 
 def _opened(asks: DataFrame, members: DataFrame, component: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -282,18 +282,21 @@ def _opened(asks: DataFrame, members: DataFrame, component: DataFrame, tokens: D
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
     rows = asked.unionByName(held).join(tokens.select("sig", "cell"), "sig").join(component, "sig")
-    return rows.groupBy("group", "part").applyInArrow(one, "a long, b long")
+    return apply_arrow(rows.groupBy("group", "part"), one, "a long, b long")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
 
 
-def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
-    """(node, component) of linked nodes, the component being its least node: alternating large and small stars."""
+def components(scratch: Scratch, links: DataFrame, name: str, turns: int = 64) -> DataFrame:
+    """(node, component) of linked nodes, the component being its least node: alternating large and small stars.
+
+    A component of n nodes settles in about log(n) turns; RuntimeError if ``turns`` do not suffice.
+    """
     edges = scratch.table(links.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), f"{name}-0")
     state = None
-    for turn in range(1, 64):
+    for turn in range(1, turns):
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
         large = both.join(least, "a").where("b > a").selectExpr("b AS a", "m AS b").where("a <> b").distinct()
@@ -304,6 +307,8 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError("components did not settle")
     stars = edges.selectExpr("a AS node", "b AS component")
     return stars.unionByName(stars.selectExpr("component AS node", "component").distinct())
 
@@ -386,7 +391,7 @@ def _counts(scratch: Scratch, sets_: DataFrame, tokens: DataFrame, percent: int)
         return pa.table({"sig": sig, "links": links})
 
     rows = whole.unionByName(split).join(tokens.select("sig", "cell"), "sig")
-    found = rows.groupBy("task").applyInArrow(one, "sig long, links long")
+    found = apply_arrow(rows.groupBy("task"), one, "sig long, links long")
     return found.groupBy("sig").agg(F.sum("links").alias("links"))
 
 
@@ -412,6 +417,7 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
     reps = scratch.table(one, "reps")
     levels = spark.sparkContext.broadcast(_levels(summaries, slots))  # one byte for each slot: 16 MB at most
     postings = scratch.table(_postings(texts, words, percent, levels, shards(docs, PER_SHARD)), "postings")
+    levels.destroy()  # read only by the plan that has just been written
     met = reps.join(postings.select("sig").distinct(), "sig", "left_semi")
 
     # Each set votes for the set it meets most often among those that lead its tokens: the ones with most shared tokens.
@@ -453,7 +459,7 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
     asked_for = member.join(pairs.select(F.col("b").alias("group")).distinct(), "group", "left_semi").select("group", "sig", "members")
     columns = asked_for.join(met, "sig")
     alone = columns.where("members = 1").select(F.col("group").alias("sig"), "n", "cell")  # its own union
-    matrix = columns.where("members > 1").select("group", "n", "cell").groupBy("group").applyInArrow(union, "sig long, n long, cell binary").unionByName(alone)
+    matrix = apply_arrow(columns.where("members > 1").select("group", "n", "cell").groupBy("group"), union, "sig long, n long, cell binary").unionByName(alone)
     opened = scratch.table(_possible(pairs, met, matrix, percent), "opened")
     whole = opened.withColumnRenamed("b", "group").join(members_of, "group")
     # A group of one is compared directly; a larger one is opened in one task for some of the sets that ask for it.

@@ -70,6 +70,13 @@ def test_components(spark, size, percent):
     assert sorted(map(tuple, jaccard.linked(df, size, percent).collect())) == sorted(plain_components(rows, size, percent))
 
 
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["component"] for r in jaccard.components(Scratch(spark, "test"), chain, "whole").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        jaccard.components(Scratch(spark, "test"), chain, "few", turns=3)
+
+
 def plain_links(rows, size, percent):
     """With how many other rows each row is linked, by comparing all pairs."""
     sets = [shingles(t, size) for _, t in rows]
