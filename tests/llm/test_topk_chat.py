@@ -26,6 +26,20 @@ def test_bounds_lose_nothing(seed):
         assert [(-int(x), int(ids[j])) for q, j, x in zip(a, b, s) if q == i] == want
 
 
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_fewer_entries_are_read(spark, size):
+    """With the query's own settings: every query stops before its lists end, and the results are those of the full product."""
+    table = topk.quantised(spark.read.parquet(f"/root/testdata/sf{size}/embeddings.parquet")).collect()
+    ids, rows = np.array([r["vec_id"] for r in table]), np.array([r["v"] for r in table])
+    asked, read = np.flatnonzero(ids % 20 == 0), []
+    a, b, s = topk.top_k(rows[asked], ids[asked], rows, ids, 20, read=read)
+    assert len(read) == len(asked) and max(read) < 0.95 * rows.size and np.mean(read) < 0.9 * rows.size
+    for i, q in enumerate(asked):
+        scores = rows @ rows[q]
+        want = sorted((-int(x), int(v)) for x, v in zip(scores, ids) if v != ids[q])[:20]
+        assert [(-int(x), int(ids[j])) for n, j, x in zip(a, b, s) if n == i] == want
+
+
 def test_blocks_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 7)
     monkeypatch.setattr(topk, "QUERIES", 2)
