@@ -8,7 +8,7 @@ no span of a pattern: phone numbers without a plus sign, and secrets, which the
 fitted here, by gradient ascent on the conditional likelihood of generated sentences.
 
 Defined results: null and empty texts have no spans; positions are code points, ends exclusive; texts of
-any length are read whole, in time linear in their length; repeated texts give the same spans; empty tables give
+any length are read whole, in time linear in their length; an entity that the field adds has at most 16 tokens and 4 runs of blanks; repeated texts give the same spans; empty tables give
 no rows; other columns are ignored.
 """
 
@@ -27,11 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrays import map_arrow
+
 BASE = ("email", "ip", "card", "phone")
 TYPES = (*BASE, "secret")
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 #: Tokens in an entity, and code points read on either side of a digit or an at-sign.
 LONGEST, AROUND = 16, 40
+#: Runs of blanks in an entity: a grouped card number has three or four.
+SPACES = 4
 
 _TRIGGER = re.compile("[0-9@]")
 _AT = re.compile(r"(?<=[\[(])at(?=[\])])")
@@ -43,6 +47,7 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]|[^\S\n]+|\n")
+_LETTER, _REST = re.compile("[A-Za-z0-9]").match, re.compile("[A-Za-z0-9]*")
 _KEYWORD = re.compile(r"(?:token|secret|passw(?:or)?d|api[_ -]?key|key)$", re.I)
 
 
@@ -122,7 +127,7 @@ def span_features(span: str, left: bool, right: bool, keyword: bool) -> tuple[tu
 
 
 def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, tuple]]:
-    """Segments (first token, end, features) that may be an entity: bounded, of one line, with a digit or an at-sign, or one long word after a keyword."""
+    """Segments (first token, end, features) that may be an entity: of at most ``LONGEST`` tokens and ``SPACES`` runs of blanks in one line, with a digit or an at-sign, or one long word after a keyword."""
     for i, (start, _) in enumerate(tokens):
         head = text[start]
         if not (head.isalnum() or head in "+("):
@@ -135,7 +140,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int,
                 break
             if piece.isspace():
                 spaces += 1
-                if spaces > 4:
+                if spaces > SPACES:
                     break
                 continue
             useful = useful or bool(_TRIGGER.search(piece)) or bool(piece == "at" and _AT.match(text, a))
@@ -177,27 +182,31 @@ def segment(text: str, tokens: list[tuple[int, int]], weights: list[float]) -> l
 
 
 def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Tokens of each stretch around digits, at-signs, 'at' in brackets and long words after a keyword."""
-    start = stop = None
+    """Tokens of each stretch around digits, at-signs, 'at' in brackets and long words after a keyword; whole tokens at its edges."""
+    start, stop = None, -1
     for m in _NEAR.finditer(text):
         if start is not None and m.start() - AROUND <= stop:
-            stop = m.end() + AROUND
+            stop = max(stop, _word_end(text, m.end() + AROUND))
             continue
         if start is not None:
-            yield _tokens(text, start, stop)
-        start, stop = m.start() - AROUND, m.end() + AROUND
+            yield [t.span() for t in _TOKEN.finditer(text, start, stop)]
+        start, stop = _word_begin(text, m.start() - AROUND, stop), _word_end(text, m.end() + AROUND)
     if start is not None:
-        yield _tokens(text, start, stop)
+        yield [t.span() for t in _TOKEN.finditer(text, start, stop)]
 
 
-def _tokens(text: str, start: int, stop: int) -> list[tuple[int, int]]:
-    start, stop = max(0, start), min(len(text), stop)
-    for _ in range(64):  # whole tokens at the edges, unless they are very long
-        if start > 0 and text[start].isalnum() and text[start - 1].isalnum():
-            start -= 1
-        if stop < len(text) and text[stop].isalnum() and text[stop - 1].isalnum():
-            stop += 1
-    return [m.span() for m in _TOKEN.finditer(text, start, stop)]
+def _word_begin(text: str, at: int, least: int) -> int:
+    """Where the token around ``at`` begins; ``least`` is the end of a token, so each token is walked over once."""
+    at = max(0, at)
+    while at > max(0, least) and _LETTER(text, at) and _LETTER(text, at - 1):
+        at -= 1
+    return at
+
+
+def _word_end(text: str, at: int) -> int:
+    if 0 < at < len(text) and _LETTER(text, at - 1):
+        return _REST.match(text, at).end()
+    return min(at, len(text))
 
 
 def generated(n: int, seed: int) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
@@ -342,7 +351,7 @@ def personal_data(docs: DataFrame, redact: bool = False) -> DataFrame:
                 columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-        return docs.withColumn("text", cleaned).select(*names).mapInArrow(rewrite, schema)
+        return map_arrow(docs.withColumn("text", cleaned).select(*names), rewrite, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,12 +359,12 @@ def personal_data(docs: DataFrame, redact: bool = False) -> DataFrame:
             for text in pc.fill_null(batch.column(1), ""):
                 base, spans = find(text.as_py(), weights)
                 n = [sum(s[0] == k for s in base) for k in BASE]
-                out.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            columns = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                out.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(spans)))
+            columns = list(zip(*out)) or [()] * 8
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
 
 
 def masked(text: str | None, weights: tuple[float, ...]) -> str | None:

@@ -6,7 +6,9 @@ Responses are rectified and averaged over overlapping chunks of 128 bytes, every
 largest chunk of each filter, and logistic weights, give one probability.
 
 The classifier is fitted on at most ``SAMPLE`` labelled texts and ``SAMPLE_BYTES`` bytes of whole texts, drawn by a
-hash of doc_id; labels of rows held out are never read. Scoring covers every byte of every text.
+hash of doc_id; a labelled text longer than ``LONGEST`` bytes is no material to learn from (nearly no text is, and one
+must not use up the bytes of many). Labels of rows held out are never read. Scoring covers every byte of every text; texts
+longer than ``STRETCH`` are read in overlapping stretches, so memory does not grow with a text.
 
 Defined results: null and empty texts, and texts when no label can be learned from, get the score of no
 evidence, between 0 and 1; equal texts have equal scores; a label that is null is not learned
@@ -22,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._arrays import map_arrow
 from ._words import blocks
 
 STRIDE, EMBED, FILTERS, CHUNK = 8, 7, 16, 8
-SAMPLE, SAMPLE_BYTES, ROUNDS = 3000, 8 << 20, 8
+SAMPLE, SAMPLE_BYTES, LONGEST, ROUNDS = 3000, 8 << 20, 1 << 20, 8
+#: Bytes of a long text that are scored at once: whole half chunks.
+STRETCH = 1 << 20
 THRESHOLD = 0.3
 SCHEMA = "doc_id long, score double, predicted int"
 #: Distances at which a repetition of four bytes is looked for.
@@ -33,7 +38,7 @@ LAGS = range(3, 25)
 
 
 def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with each text padded by zeros to whole strides, two at least; the repetition channel; first stride of each text."""
+    """Bytes with each text padded by zeros to whole strides, two at least; the repetition channel, inside each text; first stride of each text."""
     lengths = np.diff(offsets)
     strides = np.maximum(2, -(-lengths // STRIDE))
     first = np.concatenate([[0], np.cumsum(strides)])
@@ -42,11 +47,17 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     flat[at] = data
     four = np.zeros(len(flat), np.uint32)
     padded = np.concatenate([flat, np.zeros(3, np.uint8)]).astype(np.uint32)
+    begins, ends = first[:-1, None] * STRIDE, first[1:, None] * STRIDE
     for k in range(4):
-        four |= padded[k : k + len(flat)] << np.uint32(8 * k)
+        part = padded[k : k + len(flat)] << np.uint32(8 * k)
+        part[ends - np.arange(1, k + 1)] = 0  # of the next text
+        four |= part
     again = np.zeros(len(flat), bool)
     for lag in LAGS:
-        again[lag:] |= four[lag:] == four[:-lag]
+        hit = np.zeros(len(flat), bool)
+        hit[lag:] = four[lag:] == four[:-lag]
+        hit[np.minimum(begins + np.arange(lag), ends - 1)] = False  # would look into the text before
+        again |= hit
     again &= flat > 0
     return flat, again, first
 
@@ -103,11 +114,38 @@ class Network:
         mean = whole / n[:, None]
         return np.maximum.reduceat(mean, begin[:-1], axis=0), mean, starts, sizes, begin, joined, n
 
+    def best(self, data: np.ndarray) -> np.ndarray:
+        """Each filter's largest chunk of one long text, in stretches.
+
+        A stretch has a half chunk more in front, for the repetition channel, and two behind: the second half of
+        its last chunk, and one whose last stride would look beyond. What is incomplete is left out.
+        """
+        half, best = STRIDE * CHUNK, None
+        for at in range(0, len(data), STRETCH):
+            begin, end = max(0, at - half), min(len(data), at + STRETCH + 2 * half)
+            flat, again, first = layout(data[begin:end], np.array([0, end - begin]))
+            mean = self.pooled(self.responses(self.channels(flat, again), first[1:]), first)[1]
+            mean = mean[int(at > 0) : (len(mean) if end == len(data) else int(at > 0) + STRETCH // half)]
+            best = mean.max(0) if best is None else np.maximum(best, mean.max(0))
+            if end == len(data):
+                return best
+        return best
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
             return np.zeros(0)
-        flat, again, first = layout(data, offsets)
-        top = self.pooled(self.responses(self.channels(flat, again), first[1:]), first)[0]
+        if len(data) > 2 * STRETCH:
+            parts = np.flatnonzero(np.diff(offsets) > STRETCH)
+            edges = np.unique(np.concatenate([[0], parts, parts + 1, [len(offsets) - 1]]))
+            return np.concatenate([self._scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in zip(edges, edges[1:])])
+        return self._scores(data, offsets)
+
+    def _scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if len(offsets) == 2 and len(data) > STRETCH:
+            top = self.best(data)[None]
+        else:
+            flat, again, first = layout(data, offsets)
+            top = self.pooled(self.responses(self.channels(flat, again), first[1:]), first)[0]
         z = (top @ self.p["out"] + self.p["prior"][0]).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -171,13 +209,13 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 5 == 0
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
-    """Fit on a bounded sample of labelled whole texts, in the order of a hash."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, longest: int = LONGEST) -> Network:
+    """Fit on a bounded sample of labelled whole texts, in the order of a hash; texts of more than ``longest`` bytes are left out."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)  # at most `sample` rows: small enough to broadcast
     lengths = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").withColumn("n", F.octet_length(F.coalesce("text", F.lit(""))))
     size, texts, marks = 0, [], []
-    for r in lengths.where(F.col("n") <= sample_bytes // 8).select("doc_id", "text", "quality").sort(F.xxhash64("doc_id"), "doc_id", "quality", "text").toLocalIterator():
+    for r in lengths.where(F.col("n") <= longest).select("doc_id", "text", "quality").sort(F.xxhash64("doc_id"), "doc_id", "quality", "text").toLocalIterator():
         body = (r["text"] or "").encode()
         if size + len(body) > sample_bytes:
             break
@@ -195,7 +233,7 @@ def scored(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataF
             score = net.score(data, offsets)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
 
 
 def accepted(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
@@ -206,7 +244,7 @@ def accepted(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> Dat
             keep = [net.score(d, o) >= threshold for _, d, o in blocks(iter([batch]), most=1 << 20)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -168,3 +168,72 @@ def test_spelled_addresses_and_secrets_of_letters(lead):
         ("see them (at) home today", []), ("the key internationalization works", []), ("look [at] this", []),
     ]:
         assert pii.find(lead + text, weights) == ([], [(k, a + len(lead), b + len(lead)) for k, a, b in spans]), text
+
+
+# --- plain versions -------------------------------------------------------------------------------
+
+
+def plain_score(net, text):
+    """One text, byte by byte, from the definition: channels, filters at each stride, chunk means, largest chunk, logistic output."""
+    size, wide = quality.STRIDE, quality.EMBED + 1
+    data = text + b"\0" * (max(2, -(-len(text) // size)) * size - len(text))
+    four = lambda i: (data + b"\0\0\0")[i : i + 4]
+    rows = [[*map(float, net.p["embed"][c]), float(c > 0 and any(i >= lag and four(i) == four(i - lag) for lag in quality.LAGS))] for i, c in enumerate(data)]
+    strides = [sum(rows[i : i + size], []) for i in range(0, len(rows), size)]
+    out = []
+    for s, x in enumerate(strides):
+        after = strides[s + 1] if s + 1 < len(strides) else [0.0] * (size * wide)
+        out.append([max(0.0, sum(a * w for a, w in zip(x, net.p["near"][:, f])) + sum(a * w for a, w in zip(after, net.p["far"][:, f])) + float(net.p["bias"][f])) for f in range(quality.FILTERS)])
+    chunks = [out[i : i + 2 * quality.CHUNK] for i in range(0, len(out), quality.CHUNK)]
+    top = [max(sum(r[f] for r in c) / len(c) for c in chunks) for f in range(quality.FILTERS)]
+    return 1 / (1 + np.exp(-(sum(t * float(w) for t, w in zip(top, net.p["out"])) + float(net.p["prior"][0]))))
+
+
+def test_scores_by_definition(monkeypatch):
+    """Short and long texts, the long ones in stretches of 128 bytes too."""
+    rng, net = random.Random(4), quality.Network(9)
+    texts = [b"", b"a", b"\0", bytes(rng.randrange(256) for _ in range(700)), b"the same words again " * 40, "é漢🙂 ".encode() * 25, b"x" * 129, b"y" * 64 * 9]
+    want = [plain_score(net, t) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert np.allclose(net.score(np.frombuffer(b"".join(texts), np.uint8), offsets), want, atol=1e-5)
+    for stretch in (128, 192, 64):
+        monkeypatch.setattr(quality, "STRETCH", stretch)
+        assert np.allclose(net.score(np.frombuffer(b"".join(texts), np.uint8), offsets), want, atol=1e-5)
+
+
+def test_memory_does_not_grow_with_a_text():
+    import tracemalloc
+
+    net, peaks = quality.Network(2), []
+    for n in (2 << 20, 8 << 20):
+        data = np.frombuffer(b"some words 123 " * (n // 15), np.uint8)
+        tracemalloc.start()
+        net.score(data, np.array([0, len(data)]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
+
+
+def test_recall_on_the_corpus(spark):
+    """Tokens and phone numbers that stand in the documents, known by patterns of their own."""
+    weights, found, known = pii.fitted(), {"secret": 0, "phone": 0}, {"secret": 0, "phone": 0}
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike 'token|[0-9]{3}-[0-9]{4}'").collect():
+        spans = {kind: set() for kind in pii.TYPES}
+        for kind, a, b in pii.find(r["text"], weights)[1]:
+            spans[kind].add((a, b))
+        for kind, pattern in (("secret", r"(?i:token) = \"([0-9a-fA-F]{40})\""), ("phone", r"(\+\d \(\d{3}\) \d{3}-\d{4})(?!\d)")):
+            places = {m.span(1) for m in re.finditer(pattern, r["text"])}
+            known[kind] += len(places)
+            found[kind] += len(places & spans[kind])
+    assert min(known.values()) > 100 and all(found[k] >= 0.9 * known[k] for k in known), (found, known)
+
+
+def test_very_long_tokens():
+    """Tokens at the edges of a stretch are whole, whatever their length, and no place is read twice."""
+    weights = pii.fitted()
+    text = "q" * 300 + " 1 " + "z" * 5000 + " end@ " + "漢" * 200 + "7" + "y" * 90 + " x"
+    parts = list(pii.windows(text))
+    whole = {m.span() for m in pii._TOKEN.finditer(text)}
+    assert all(t in whole for p in parts for t in p if text[t[0]].isascii() and text[t[0]].isalnum())
+    assert all(a[-1][1] <= b[0][0] for a, b in zip(parts, parts[1:]))
+    assert pii.find("a" * 400_000 + "@" + "b1" * 200_000, weights) == ([], [("secret", 400_001, 800_001)])
