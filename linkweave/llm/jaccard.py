@@ -295,15 +295,19 @@ def components(scratch: Scratch, links: DataFrame, name: str, turns: int = 64) -
     A component of n nodes settles in about log(n) turns; RuntimeError if ``turns`` do not suffice.
     """
     edges = scratch.table(links.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), f"{name}-0")
-    state = None
+    digest = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    state = digest()
     for turn in range(1, turns):
+        if not state[0]:
+            break
+        # Each half of a turn is written, for it is read several times: as a plan, it would be planned and compiled each time.
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
-        large = both.join(least, "a").where("b > a").selectExpr("b AS a", "m AS b").where("a <> b").distinct()
+        large = scratch.table(both.join(least, "a").where("b > a").selectExpr("b AS a", "m AS b").where("a <> b").distinct(), f"{name}-{turn}-large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").selectExpr("b AS a", "m AS b").unionByName(least.selectExpr("a", "m AS b")).distinct()
+        small = large.join(least, "a").selectExpr("IF(b = m, a, b) AS a", "m AS b").distinct()
         edges = scratch.table(small, f"{name}-{turn}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = digest()
         if now == state:
             break
         state = now
@@ -472,7 +476,13 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
     tokens = scratch.table(tokens.unionByName(_sets_of(texts, wanted, words)), "all-tokens")
     more = scratch.table(_similar(single, tokens, percent).unionByName(_opened(asks, members, member.select("sig", "component"), tokens, percent)), "more")
 
-    all_ = components(scratch, links.unionByName(more), "linked").withColumnRenamed("node", "sig")
+    # The new links join whole components: theirs is a small graph of its own.
+    label = lambda c: similar.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    between = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    joined = scratch.table(components(scratch, between, "linked").withColumnRenamed("component", "joined"), "joined")
+    apart = joined.join(similar, "node", "left_anti").select("node", F.col("joined").alias("component"))
+    again = similar.join(joined.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    all_ = scratch.table(again.unionByName(apart).withColumnRenamed("node", "sig"), "all-components")
     named = reps.select("sig", "doc_id", "copies").join(all_, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("sig", "component", "component_id", "copies")

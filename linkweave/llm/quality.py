@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import map_arrow
+from ._arrays import map_arrow, tidy
 from ._words import blocks
 
 STRIDE, EMBED, FILTERS, CHUNK = 8, 7, 16, 8
@@ -222,7 +222,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_byt
         size += len(body)
         texts.append(body)
         marks.append(int(r["quality"] > 0))
-    return fit(texts, np.array(marks))
+    net = fit(texts, np.array(marks))
+    tidy(0.0)  # the driver goes on
+    return net
 
 
 def scored(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
