@@ -422,26 +422,26 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
     levels = spark.sparkContext.broadcast(_levels(summaries, slots))  # one byte for each slot: 16 MB at most
     postings = scratch.table(_postings(texts, words, percent, levels, shards(docs, PER_SHARD)), "postings")
     levels.destroy()  # read only by the plan that has just been written
-    met = reps.join(postings.select("sig").distinct(), "sig", "left_semi")
+    # What several plans read is written: as a part of each plan, it would be planned, compiled and run in each.
+    met = scratch.table(postings.groupBy("sig").agg(F.any_value("n").alias("n"), F.count("*").alias("degree")), "met")
 
     # Each set votes for the set it meets most often among those that lead its tokens: the ones with most shared tokens.
-    degree = postings.join(postings.groupBy("sig").agg(F.count("*").alias("degree")), "sig")
-    lead = degree.groupBy("token").agg(F.max(F.struct("degree", "sig", "n")).alias("lead")).select("token", F.col("lead.sig").alias("pivot"), F.col("lead.n").alias("pivot_n"))
+    lead = postings.join(met.select("sig", "degree"), "sig").groupBy("token").agg(F.max(F.struct("degree", "sig", "n")).alias("lead")).select("token", F.col("lead.sig").alias("pivot"), F.col("lead.n").alias("pivot_n"))
     votes = postings.join(lead, "token").where(f"sig <> pivot AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)").groupBy("sig", "pivot").count()
     first = votes.groupBy("sig").agg(F.max(F.struct("count", "pivot")).alias("best")).selectExpr("sig AS a", "best.pivot AS b")
-    first = scratch.table(_possible(first, met, met, percent), "first")
+    first = scratch.table(_possible(first, reps, reps, percent), "first")
     wanted = scratch.table(reps.join(_ends(first), "sig", "left_semi").select("row", "sig"), "wanted")
     tokens = scratch.table(_sets_of(texts, wanted, words), "tokens")
     links = scratch.table(_similar(first, tokens, percent), "links")
     similar = scratch.table(components(scratch, links, "similar"), "components")
 
-    member = met.select("sig", "n").join(similar.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    member = met.select("sig", "n").join(similar.withColumnRenamed("node", "sig"), "sig", "left").join(first.selectExpr("a AS sig", "b AS pivot"), "sig", "left")
+    member = scratch.table(member.select("sig", "n", F.coalesce("component", "sig").alias("component"), F.coalesce("pivot", "sig").alias("cluster")), "clustered")
     sizes = member.groupBy("component").agg(F.count("*").alias("size"))
-    member = member.join(sizes, "component").join(first.selectExpr("a AS sig", "b AS pivot"), "sig", "left").withColumn("cluster", F.coalesce("pivot", "sig"))
     clusters = member.groupBy("cluster").agg(F.count("*").alias("cluster_size"))
     group = F.xxhash64("cluster", F.pmod(F.xxhash64("sig"), F.ceil(F.col("cluster_size") / GROUP)))
-    member = member.join(clusters, "cluster").select("sig", "n", "component", "size", group.alias("group"))
-    members_of = member.groupBy("group").agg(F.count("*").alias("members"))
+    member = scratch.table(member.join(sizes, "component").join(clusters, "cluster").select("sig", "n", "component", "size", group.alias("group")), "grouped")
+    members_of = scratch.table(member.groupBy("group").agg(F.count("*").alias("members")), "groups")
     member = scratch.table(member.join(members_of, "group"), "members")
 
     held = postings.select("token", "sig").join(member, "sig")
@@ -461,15 +461,15 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
         return pa.table({"sig": table.column("group")[:1], "n": pa.array([min(table.column("n").to_pylist())], pa.int64()), "cell": pa.array([every.tobytes()], pa.binary())})
 
     asked_for = member.join(pairs.select(F.col("b").alias("group")).distinct(), "group", "left_semi").select("group", "sig", "members")
-    columns = asked_for.join(met, "sig")
+    columns = asked_for.join(reps.select("sig", "n", "cell"), "sig")
     alone = columns.where("members = 1").select(F.col("group").alias("sig"), "n", "cell")  # its own union
     matrix = apply_arrow(columns.where("members > 1").select("group", "n", "cell").groupBy("group"), union, "sig long, n long, cell binary").unionByName(alone)
-    opened = scratch.table(_possible(pairs, met, matrix, percent), "opened")
-    whole = opened.withColumnRenamed("b", "group").join(members_of, "group")
+    matrix = scratch.table(matrix, "matrix")
+    whole = scratch.table(_possible(pairs, reps, matrix, percent).withColumnRenamed("b", "group").join(members_of, "group"), "opened")
     # A group of one is compared directly; a larger one is opened in one task for some of the sets that ask for it.
-    single = whole.where("members = 1").join(member.select("group", F.col("sig").alias("b")), "group").select("a", "b")
-    asks = scratch.table(whole.where("members > 1").select("group", "a"), "asks")
-    members = member.join(asks.select("group").distinct(), "group", "left_semi").select("group", "sig")
+    single = scratch.table(whole.where("members = 1").join(member.select("group", F.col("sig").alias("b")), "group").select("a", "b"), "single")
+    asks = whole.where("members > 1").select("group", "a")
+    members = scratch.table(member.join(asks.select("group").distinct(), "group", "left_semi").select("group", "sig"), "asked-members")
     ends = _ends(single).unionByName(asks.select(F.col("a").alias("sig"))).unionByName(members.select("sig")).distinct()
     rest = ends.join(tokens.select("sig"), "sig", "left_anti")
     wanted = scratch.table(reps.join(rest, "sig", "left_semi").select("row", "sig"), "also-wanted")
