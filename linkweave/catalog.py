@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from .functions import fixed, keys, similarity, text, translit
 from .operators import adapt, blocking, decide, diagnostics, features, groups, metrics, model, neighbours, validate
-from .plans import resolve, views
+from .plans import resolve, train, views
 from .plans.resolve import resolve_lists
+from .session import work_dir
 from .sources import tables
 
 QUERIES: dict = {}
@@ -78,9 +79,15 @@ _IDF = f"""{_KEYS}, total AS (SELECT country, count(*) AS n FROM s GROUP BY coun
 ), qw AS (SELECT a.id, country, key, df, idf FROM asked a JOIN idf USING (country, key)
 ), sn AS (SELECT id, CASE WHEN sqrt(sum(idf * idf)) = 0 THEN 1 ELSE sqrt(sum(idf * idf)) END AS norm FROM sw GROUP BY id
 ), qn AS (SELECT id, CASE WHEN sqrt(sum(idf * idf)) = 0 THEN 1 ELSE sqrt(sum(idf * idf)) END AS norm FROM qw GROUP BY id)"""
-_SCORES = f"""{_IDF}, dots AS (
-  SELECT qw.id AS q_id, sw.id AS s1_id, sum(qw.idf * sw.idf) AS dot FROM qw JOIN sw USING (country, key) WHERE qw.df <= {resolve.DF_CAP} GROUP BY ALL
+
+
+def _sql_scores(df_cap: int) -> str:
+    return f"""{_IDF}, dots AS (
+  SELECT qw.id AS q_id, sw.id AS s1_id, sum(qw.idf * sw.idf) AS dot FROM qw JOIN sw USING (country, key) WHERE qw.df <= {df_cap} GROUP BY ALL
 ), scores AS (SELECT q_id, s1_id, round(dot / (qn.norm * sn.norm), 9) AS score FROM dots JOIN qn ON qn.id = q_id JOIN sn ON sn.id = s1_id)"""
+
+
+_SCORES = _sql_scores(resolve.DF_CAP)
 _CAND = f"""{_SCORES}, ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, s1_id) - 1 AS INTEGER) AS rank FROM scores
 ), cand AS (SELECT * FROM ranked WHERE rank < {resolve.K})"""
@@ -137,9 +144,9 @@ def _(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", F.md5(F.lower(text.strip_accents(F.coalesce("text", F.lit("")))).cast("binary")).alias("digest"))
 
 
-@_query("skeleton", f"SELECT word, {_sql_skeleton('word')} AS skeleton, {_sql_key_skeleton('word')} AS key_skeleton FROM (SELECT DISTINCT unnest({_TOKENS}) AS word FROM benchmark)")
+@_query("skeleton", f"SELECT word, {_sql_skeleton('word')} AS skeleton, {_sql_key_skeleton('word')} AS key_skeleton FROM (SELECT DISTINCT unnest({_TOKENS}) AS word FROM documents)")
 def _(spark, sf):
-    w = views.table(spark, sf, "benchmark").select(F.explode(text.name_tokens(text.base_clean(F.col("text")))).alias("word")).distinct()
+    w = views.table(spark, sf, "documents").select(F.explode(text.name_tokens(text.base_clean(F.col("text")))).alias("word")).distinct()
     return w.select("word", text.skeleton_word(F.col("word")).alias("skeleton"), keys.key_skeleton(F.col("word")).alias("key_skeleton"))
 
 
@@ -147,11 +154,11 @@ _DROP = ", ".join(f"'{w}'" for w in (*fixed.LEGAL, *fixed.FILLER))
 _DROP_SK = ", ".join(f"'{w}'" for w in fixed.LEGAL_SKELETONS)
 
 
-@_query("core_name", f"""SELECT item_id, array_to_string(CASE WHEN len(core) > 0 THEN core ELSE toks END, ' ') AS core FROM (
-  SELECT item_id, toks, list_filter(toks, lambda t: t NOT IN ({_DROP}) AND ({_sql_skeleton("t")}) NOT IN ({_DROP_SK})) AS core FROM (SELECT item_id, {_TOKENS} AS toks FROM benchmark))""")
+@_query("core_name", f"""SELECT doc_id, md5(array_to_string(CASE WHEN len(core) > 0 THEN core ELSE toks END, ' ')) AS core FROM (
+  SELECT doc_id, toks, list_filter(toks, lambda t: t NOT IN ({_DROP}) AND ({_sql_skeleton("t")}) NOT IN ({_DROP_SK})) AS core FROM (SELECT doc_id, {_TOKENS} AS toks FROM documents))""")
 def _(spark, sf):
     core = text.core_tokens(text.name_tokens(text.base_clean(F.col("text"))))
-    return views.table(spark, sf, "benchmark").select("item_id", F.array_join(core, " ").alias("core"))
+    return views.table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(core, " ").cast("binary")).alias("core"))
 
 
 @_query("web_rewrite", f"""SELECT page_id, regexp_replace(replace(replace(lower(url), '&', ' and '), '+', ' and '), '{fixed.WEB}', ' \\1 ', 'g') AS rewritten, CAST(regexp_matches(lower(url), '{fixed.WEB}') AS INTEGER) AS is_web FROM pages""")
@@ -208,9 +215,82 @@ def _(spark, sf):
     return _rows(spark, [(r,) for r, _ in _INDIC], "raw string").select("raw", translit.translit_indic(F.col("raw")).alias("latin"))
 
 
+_RAW = f"""
+raw AS (
+  SELECT p_partkey AS k, (CASE WHEN p_partkey % 4 = 0 THEN 'S1-' WHEN p_partkey % 2 = 1 THEN 'S2-' ELSE 'S3-' END) || p_partkey AS id, p_type AS country,
+    CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) || ', Inc.' WHEN 2 THEN 'Holding ' || p_type || ' dba ' || p_name
+      WHEN 3 THEN 'The ' || p_name || ' Services & Co' ELSE 'www.' || replace(p_name, ' ', '') || '.com' END AS name,
+    CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_size || ' ' || p_type || ' Street, ' || (p_partkey % 90) || ' ' || replace(p_brand, '#', ' ') || ' Road, '
+      || (CASE p_partkey % 3 WHEN 0 THEN 'New York' WHEN 1 THEN 'Tamil Nadu' ELSE 'Lyon' END) END AS address FROM part
+), cleaned AS (SELECT *, replace(replace(lower(name), '&', ' and '), '+', ' and ') AS c FROM raw
+), split AS (SELECT *, CAST(regexp_matches(c, '{fixed.WEB}') AS INTEGER) AS is_web, regexp_split_to_array(regexp_replace(c, '{fixed.WEB}', ' \\1 ', 'g'), '{fixed.ALIAS}') AS sides FROM cleaned
+), tokens AS (SELECT *, list_transform(sides, lambda p: list_transform(list_filter(regexp_split_to_array(p, '[^a-z0-9]+'), lambda t: t <> ''), lambda t: {_LEET})) AS toks,
+    list_filter(list_transform(string_split(lower(address), ','), lambda c: trim(regexp_replace(c, '[^a-z0-9]+', ' ', 'g'))), lambda c: c <> '' AND c NOT IN ('new york', 'tamil nadu')) AS comps FROM split
+), cores AS (SELECT *, list_transform(toks, lambda ts: CASE WHEN len(list_filter(ts, lambda t: t NOT IN ({_DROP}) AND ({_sql_skeleton("t")}) NOT IN ({_DROP_SK}))) > 0
+      THEN list_filter(ts, lambda t: t NOT IN ({_DROP}) AND ({_sql_skeleton("t")}) NOT IN ({_DROP_SK})) ELSE ts END) AS cs,
+    CASE WHEN len(comps) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(array_to_string(comps, ' '), ' '), lambda t: CASE t WHEN 'street' THEN 'st' WHEN 'road' THEN 'rd' ELSE t END) END AS atoks FROM tokens
+), numbers AS (SELECT *, list_transform(list_filter(atoks, lambda t: regexp_full_match(t, '[0-9]+')), lambda t: CAST(CAST(t AS BIGINT) AS VARCHAR)) AS every_num FROM cores
+), nrm AS (SELECT k, id, country, is_web, CAST(len(sides) > 1 AS INTEGER) AS has_alias, array_to_string(flatten(toks), ' ') AS n_full, array_to_string(cs[-1], ' ') AS n_core,
+    list_transform(cs, lambda c: array_to_string(c, ' ')) AS n_alias, list_transform(cs, lambda c: array_to_string(c, '')) AS n_nospace,
+    array_to_string(list_filter(list_transform(cs[-1], lambda t: {_sql_skeleton("t")}), lambda t: t <> ''), ' ') AS n_skel, array_to_string(atoks, ' ') AS a_norm,
+    list_filter(every_num, lambda x, i: list_position(every_num, x) = i) AS a_nums, list_filter(atoks, lambda t: NOT regexp_matches(t, '[0-9]') AND length(t) > 1) AS a_words FROM numbers)"""
+
+
+def _normalised(spark, sf):
+    return views.from_raw(views.raw_records(spark, sf))
+
+
+@_query("normalized_records", f"""WITH {_RAW} SELECT id, country, n_full, n_core, array_to_string(n_alias, '|') AS n_alias, array_to_string(n_nospace, '|') AS n_nospace, n_skel, is_web, has_alias,
+  a_norm, array_to_string(a_nums, ' ') AS a_nums, array_to_string(a_words, ' ') AS a_words FROM nrm""")
+def _(spark, sf):
+    out = text.delimited(_normalised(spark, sf))
+    return out.select("id", "country", "n_full", "n_core", "n_alias", "n_nospace", "n_skel", F.col("is_web").cast("int").alias("is_web"), F.col("has_alias").cast("int").alias("has_alias"), "a_norm", "a_nums", "a_words")
+
+
 # --- blocking ------------------------------------------------------------------------------------
 
 
+@_query("raw_blocking_keys", f"""WITH {_RAW}, names AS (SELECT *, CASE WHEN has_alias = 1 THEN n_alias ELSE [n_core] END AS ns FROM nrm
+), sounds AS (SELECT *, list_transform(ns, lambda n: list_filter(list_transform(string_split(n, ' '), lambda t: {_sql_key_skeleton("t")}), lambda t: t <> '')) AS sk FROM names
+), each AS (SELECT k, unnest(ns) AS name, unnest(sk) AS sks FROM sounds
+), named AS (SELECT *, list_filter(string_split(name, ' '), lambda t: t <> '') AS toks, list_sort(list_distinct(sks))[1:6] AS u FROM each WHERE len(sks) > 0
+), name_keys AS (SELECT k, unnest(list_concat(['N:' || array_to_string(list_sort(sks), ' ')], list_transform(sks, lambda x: 'k:' || x),
+    flatten(list_transform(u, lambda a: list_transform(list_filter(u, lambda b: b > a), lambda b: 'b:' || a || '_' || b))),
+    CASE WHEN len(toks) >= 2 THEN ['i:' || array_to_string(list_transform(toks, lambda t: left(t, 1)), '')]
+      WHEN len(toks) = 1 AND length(toks[1]) BETWEEN 2 AND 4 THEN ['i:' || toks[1]] ELSE [] END)) AS key FROM named
+), other AS (SELECT k, unnest(list_concat(list_transform(list_filter(n_nospace, lambda v: length(v) >= 4), lambda v: 'p:' || left(v, 5)), list_transform(a_words, lambda w: 'a:' || w),
+    list_transform(range(1, len(a_words)), lambda i: 'w:' || a_words[i] || '_' || a_words[i + 1]), list_transform(a_nums, lambda n: '#:' || n),
+    flatten(list_transform(a_nums[1:2], lambda n: list_transform(a_words[1:6], lambda w: 'h:' || n || '_' || w))),
+    flatten(list_transform(list_filter(sk, lambda s: len(s) > 0)[1][1:3], lambda s: list_transform(a_words[1:5], lambda w: 'x:' || s || '_' || w))))) AS key FROM sounds
+) SELECT DISTINCT id, country, key FROM (SELECT * FROM name_keys UNION ALL SELECT * FROM other) JOIN nrm USING (k)""")
+def _(spark, sf):
+    """Records with aliases, several numbers and several address words: every family of keys, from raw text."""
+    return blocking.key_table(_normalised(spark, sf))
+
+
+_RAW_PAIRS = f"""{_RAW}, pairs AS (SELECT a.id AS q_id, b.id AS s1_id, a.a_nums AS x, b.a_nums AS y, a.a_words AS v, b.a_words AS w, a.a_norm AS an, b.a_norm AS bn,
+    a.is_web AS aw, b.is_web AS bw, a.has_alias AS aa, b.has_alias AS ba, len(a.a_nums) > 0 AND len(b.a_nums) > 0 AS known
+  FROM nrm a JOIN nrm b ON a.country = b.country AND a.n_skel = b.n_skel AND a.k % 4 <> 0 AND b.k % 4 = 0)"""
+
+
+@_query("raw_pair_features", f"""WITH {_RAW_PAIRS} SELECT q_id, s1_id, CASE WHEN NOT known THEN -1.0 WHEN x[1] = y[1] THEN 1.0 ELSE 0.0 END AS num_first_eq,
+  CASE WHEN NOT known THEN -1.0 WHEN x[1] <> y[1] AND (suffix(x[1], y[1]) OR suffix(y[1], x[1])) THEN 1.0 ELSE 0.0 END AS num_first_suffix,
+  CASE WHEN NOT known THEN -1.0 ELSE round(CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))), 6) END AS num_jacc,
+  CASE WHEN NOT known THEN -1.0 WHEN len(list_intersect(x, y)) > 0 THEN 1.0 ELSE 0.0 END AS num_any,
+  CASE WHEN NOT known THEN -1.0 WHEN list_contains(y, x[1]) THEN 1.0 ELSE 0.0 END AS num_first_in, CAST(len(x) AS DOUBLE) AS num_q_n, CAST(len(y) AS DOUBLE) AS num_s_n,
+  CASE WHEN an = '' OR bn = '' THEN -1.0 ELSE round(CAST(len(list_intersect(v, w)) AS DOUBLE) / len(list_distinct(list_concat(v, w))), 6) END AS a_words_jacc,
+  CASE WHEN an = '' OR bn = '' THEN -1.0 ELSE round(CAST(len(list_intersect(v, w)) AS DOUBLE) / len(list_distinct(v)), 6) END AS a_words_cover_q,
+  CASE WHEN an = '' OR bn = '' THEN -1.0 ELSE round(CAST(len(list_intersect(v, w)) AS DOUBLE) / len(list_distinct(w)), 6) END AS a_words_cover_s,
+  CASE WHEN an = '' THEN 1.0 ELSE 0.0 END AS a_empty_q, CASE WHEN bn = '' THEN 1.0 ELSE 0.0 END AS a_empty_s, aw AS q_web, bw AS s_web, aa AS q_alias, ba AS s_alias FROM pairs""")
+def _(spark, sf):
+    rec = _normalised(spark, sf)
+    s1, q = rec.where("startswith(id, 'S1-')"), rec.where("NOT startswith(id, 'S1-')")
+    pairs = q.select(F.col("id").alias("q_id"), "country", "n_skel").join(s1.select(F.col("id").alias("s1_id"), "country", "n_skel"), ["country", "n_skel"]).select("q_id", "s1_id")
+    made = similarity.number_features() | similarity.address_features()
+    flags = {k: v.cast("int") for k, v in similarity.flag_features().items()}
+    return features.attach(pairs, s1, q).select("q_id", "s1_id", *(F.round(v, 6).alias(k) for k, v in made.items()), *(v.alias(k) for k, v in flags.items()))
+
+
 @_query("blocking_keys", f"WITH {_KEYS} SELECT id, country, key FROM keys")
 def _(spark, sf):
     return blocking.key_table(views.records(spark, sf))
@@ -246,6 +326,13 @@ def _(spark, sf):
     return blocking.pair_scores(s1, q, resolve.DF_CAP).withColumns(_round("score", places=9))
 
 
+@_query("block_scores_capped", f"WITH {_sql_scores(10)} SELECT q_id, s1_id, round(score, 9) AS score FROM scores")
+def _(spark, sf):
+    """With a cap that most keys of a country exceed: they leave the join, and stay in the norms."""
+    s1, q = views.sides(spark, sf)
+    return blocking.pair_scores(s1, q, 10).withColumns(_round("score", places=9))
+
+
 @_query("block_topk", f"WITH {_CAND} SELECT q_id, s1_id, round(score, 9) AS score, rank FROM cand")
 def _(spark, sf):
     return resolve.candidates(spark, sf).withColumns(_round("score", places=9))
@@ -319,7 +406,7 @@ def _(spark, sf):
 
 @_query("feat_jaro_winkler", f"WITH {_PAIRS} SELECT q_id, s1_id, round(jaro_winkler_similarity(replace(qn_, ' ', ''), replace(sn_, ' ', '')), 6) AS n_nospace_jw FROM pairs")
 def _(spark, sf):
-    return _pair(spark, sf).withColumn("f", similarity.fuzzy()).select("q_id", "s1_id", F.round("f.n_nospace_jw", 6).alias("n_nospace_jw"))
+    return _pair(spark, sf).withColumn("f", similarity.fuzzy(features=("n_nospace_jw",))).select("q_id", "s1_id", F.round("f.n_nospace_jw", 6).alias("n_nospace_jw"))
 
 
 @_query("fuzz_ratios")
@@ -354,11 +441,11 @@ def _(spark, sf):
 
 
 @_query("uncertain_pairs", f"""WITH {_SCORED} SELECT q_id, s1_id, a.raw_name || ' | ' || a.raw_addr AS a, b.raw_name || ' | ' || b.raw_addr AS b, round(p, 9) AS p,
-  CAST(((s1_id * 2654435761) % 4294967296) % 2 AS INTEGER) AS fold FROM scored JOIN q a ON a.id = q_id JOIN s b ON b.id = s1_id WHERE p > 0.02 AND p < 0.98""")
+  CAST(((s1_id // 4 * 2654435761) % 4294967296) % 2 AS INTEGER) AS fold FROM scored JOIN q a ON a.id = q_id JOIN s b ON b.id = s1_id WHERE p > 0.02 AND p < 0.98""")
 def _(spark, sf):
     s1, q = views.sides(spark, sf)
     out = features.uncertain(resolve.scored(spark, sf), s1, q)
-    return out.select("q_id", "s1_id", "a", "b", F.round("p", 9).alias("p"), decide.fold_of(F.col("s1_id")).alias("fold"))
+    return out.select("q_id", "s1_id", "a", "b", F.round("p", 9).alias("p"), decide.fold_of(F.expr("s1_id div 4")).alias("fold"))
 
 
 # --- neighbours ----------------------------------------------------------------------------------
@@ -424,6 +511,22 @@ def _(spark, sf):
     return neighbours.add_candidates(resolve.candidates(spark, sf), knn, s1, q).withColumns(_round("score", "emb_cos", places=9))
 
 
+_WIDE = f"""{_KNN_PARTS}, new AS (
+  SELECT * FROM (SELECT q_id, s1_id, row_number() OVER (PARTITION BY q_id ORDER BY rr DESC, s1_id) - 1 AS place FROM near WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.q_id = near.q_id AND c.s1_id = near.s1_id)) WHERE place < 2
+), last AS (SELECT q_id, max(rank) AS last FROM cand GROUP BY q_id
+), wide AS (SELECT q_id, s1_id, score, rank FROM cand UNION ALL SELECT q_id, s1_id, 0.0, CAST(coalesce(last, -1) + 1 + place AS INTEGER) FROM new LEFT JOIN last USING (q_id))"""
+
+
+@_query("wide_context", f"""WITH {_WIDE} SELECT q_id, s1_id, rank, round(score - max(score) OVER q, 9) AS blk_margin, count(*) OVER q AS q_ncand,
+  round(max(score) OVER q - coalesce(max(CASE WHEN rank = 1 THEN score END) OVER q, 0), 9) AS blk_gap12,
+  count(*) OVER s AS s1_ncand, CAST(sum(CASE WHEN rank = 0 THEN 1 ELSE 0 END) OVER s AS BIGINT) AS s1_rank0_cnt
+FROM wide WINDOW q AS (PARTITION BY q_id), s AS (PARTITION BY s1_id)""")
+def _(spark, sf):
+    knn, s1, q = _near_parts(spark, sf)
+    out = train.widened(s1, q, knn, train.Settings(resolve.K, resolve.DF_CAP)).withColumns(_round("blk_margin", "blk_gap12", places=9))
+    return out.select("q_id", "s1_id", "rank", "blk_margin", "q_ncand", "blk_gap12", "s1_ncand", "s1_rank0_cnt")
+
+
 # --- decisions and metrics -------------------------------------------------------------------------
 
 
@@ -463,9 +566,30 @@ def _(spark, sf):
     return decide.sweep(resolve.scored(spark, sf), views.truth(s1, q), s1, _GRID).withColumns(_round("f"))
 
 
-@_query("grouped_folds", f"WITH {_REC} SELECT id AS s1_id, CAST(((id * 2654435761) % 4294967296) % 2 AS INTEGER) AS fold FROM s")
+_RULES = f"""{_EXPECTED}, grid AS (SELECT unnest(CAST({decide.thresholds()} AS DOUBLE[])) AS value), a AS (SELECT value, q_id, s1_id FROM best JOIN grid ON p > value
+), c AS (SELECT value, s1_id, CAST(count(*) AS DOUBLE) AS n_pred, CAST(sum(CASE WHEN s1_id = true_s1_id THEN 1 ELSE 0 END) AS DOUBLE) AS n_hit FROM a JOIN truth USING (q_id) GROUP BY ALL
+), t AS (SELECT true_s1_id, CAST(count(*) AS DOUBLE) AS n_true FROM truth WHERE true_s1_id IS NOT NULL GROUP BY true_s1_id
+), rules AS (SELECT 'thr' AS kind, grid.value AS value, avg({_sql_f("coalesce(n_pred, 0)", "coalesce(n_true, 0)", "coalesce(n_hit, 0)")}) AS f
+  FROM grid CROSS JOIN s LEFT JOIN c ON c.value = grid.value AND c.s1_id = s.id LEFT JOIN t ON t.true_s1_id = s.id GROUP BY grid.value
+  UNION ALL SELECT 'expf', CAST(0.1 AS DOUBLE), (SELECT avg(f) FROM ({_sql_entities("expf")})))"""
+
+
+@_query("rule_search", f"WITH {_RULES} SELECT kind, value, round(f, 6) AS f FROM rules")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    return decide.search(resolve.scored(spark, sf), views.truth(s1, q), s1).withColumns(_round("f"))
+
+
+@_query("best_rule", f"WITH {_RULES} SELECT kind, value FROM rules ORDER BY round(f, 9) DESC, value DESC, kind DESC LIMIT 1")
 def _(spark, sf):
-    return views.sides(spark, sf)[0].select(F.col("id").alias("s1_id"), decide.fold_of(F.col("id")).alias("fold"))
+    s1, q = views.sides(spark, sf)
+    rule = decide.chosen(decide.search(resolve.scored(spark, sf), views.truth(s1, q), s1))
+    return _rows(spark, [(rule.kind, rule.value)], "kind string, value double")
+
+
+@_query("grouped_folds", f"WITH {_REC} SELECT id AS s1_id, CAST(((id // 4 * 2654435761) % 4294967296) % 2 AS INTEGER) AS fold FROM s")
+def _(spark, sf):
+    return views.sides(spark, sf)[0].select(F.col("id").alias("s1_id"), decide.fold_of(F.expr("id div 4")).alias("fold"))
 
 
 def _sql_group(robust: bool) -> str:
@@ -749,7 +873,7 @@ def _labelled(spark, sf):
 
 @_query("gbt_oof")
 def _(spark, sf):
-    return model.out_of_fold(_labelled(spark, sf)[2], _COLUMNS, "s1_number", rounds=10).select("q_id", "s1_id", "fold", "label", "p")
+    return model.out_of_fold(_labelled(spark, sf)[2], _COLUMNS, "s1_number", rounds=20).select("q_id", "s1_id", "fold", "label", "p")
 
 
 @_query("gbt_stacked")
@@ -758,6 +882,31 @@ def _(spark, sf):
     return model.stacked(rows, _COLUMNS, s1, q, s1_number="s1_number", rounds=5).select("q_id", "s1_id", "fold", "label", "p")
 
 
+def raw_splits(spark, sf, root: str):
+    """((canonical records, queries) to train with, the same to predict for, neighbours), by way of a file of raw records; countries are in one split."""
+    tables.write_tsv(views.raw_records(spark, sf), f"{root}/raw")
+    views.from_raw(tables.read_tsv(spark, f"{root}/raw")).write.parquet(f"{root}/records")
+    rec = spark.read.parquet(f"{root}/records")
+    split = lambda rows: (rows.where("startswith(id, 'S1-')"), rows.where("NOT startswith(id, 'S1-')"))
+    knn = neighbours.exact_knn(*views.vectors(spark, sf, modulus=4), k=5)
+    knn = knn.selectExpr("concat(IF(q_id % 2 = 1, 'S2-', 'S3-'), q_id) AS q_id", "concat('S1-', s1_id) AS s1_id", "cos")
+    return split(rec.where("country < 'N'")), split(rec.where("country >= 'N'")), knn
+
+
+@_query("train_predict")
+def _(spark, sf):
+    """Raw file to normalised records, widened candidates, both stages, rules, saved models, and both output files of each stage, read back."""
+    root = work_dir(spark, "train-predict")
+    (s1, q), (s1_new, q_new), knn = raw_splits(spark, sf, root)
+    truth = views.raw_truth(spark, sf).join(q.select(F.col("id").alias("q_id")), "q_id", "left_semi")
+    train.train(s1, q, truth, knn, "CAST(substr(s1_id, 4) AS BIGINT) div 4", f"{root}/model", train.Settings(rounds=3))
+    out = None
+    for name in train.predict(s1_new, q_new, knn, f"{root}/model", f"{root}/out"):
+        rows = tables.read_tsv(spark, f"{root}/out/{name}", tables.schema_of("source1_entity_id", "ids")).select(F.lit(name).alias("table"), "source1_entity_id", "ids")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _overlap_scorer(a, b):
     return [len(set(x.lower().split()) & set(y.lower().split())) / max(1, len(set(x.lower().split()) | set(y.lower().split()))) for x, y in zip(a, b)]
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import fbeta_by_entity
+from .metrics import fbeta, fbeta_by_entity
 
 
 def best_candidate(scored: DataFrame) -> DataFrame:
@@ -64,6 +64,19 @@ def sweep(scored: DataFrame, truth: DataFrame, s1: DataFrame, values: list[float
     return fbeta_by_entity(each, truth, grid, beta, ["threshold"]).groupBy("threshold").agg(F.avg("f").alias("f"))
 
 
+def search(scored: DataFrame, truth: DataFrame, s1: DataFrame, values: list[float] | None = None, miss_rate: float = 0.1, beta: float = 0.5) -> DataFrame:
+    """(kind, value, f): macro F of every threshold and of expected F with a miss rate."""
+    by_threshold = sweep(scored, truth, s1, values or thresholds(), beta).select(F.lit("thr").alias("kind"), F.col("threshold").alias("value"), "f")
+    by_f = fbeta(assign_expected_f(scored, beta, miss_rate), truth, s1, beta).select(F.lit("expf").alias("kind"), F.lit(miss_rate).alias("value"), "f")
+    return by_threshold.unionByName(by_f)
+
+
+def chosen(found: DataFrame) -> Rule:
+    """The rule with the best F; of equal ones the larger value, then a threshold."""
+    best = found.withColumn("f", F.round("f", 9)).orderBy(F.desc("f"), F.desc("value"), F.desc("kind")).first()
+    return Rule(best["kind"], best["value"])
+
+
 def best_rule(swept: DataFrame) -> DataFrame:
     """The threshold with the best F; the smallest of equal ones."""
     return swept.withColumn("f", F.round("f", 9)).orderBy(F.desc("f"), "threshold").limit(1)

@@ -48,17 +48,21 @@ def match_density(assigned: DataFrame, s1: DataFrame) -> DataFrame:
     return n.groupBy("country").agg(F.avg(F.coalesce("n", F.lit(0))).alias("mean_matches"), F.avg(F.col("n").isNull().cast("double")).alias("empty_share"))
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int = 256) -> DataFrame:
     """Area by rank sums, ties at their mean rank.
 
-    Counts for each score come first, so the running sum is over different scores, in a range partitioning that Spark sorts;
-    offsets of the partitions are summed apart, so no task holds them all.
+    Counts for each score come first, so the running sum is over different scores, in buckets between fixed scores: a
+    score's bucket depends on the score alone, whatever is run again. Offsets of the buckets are summed apart, so no task
+    holds all scores.
     """
     per = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    parts = per.repartitionByRange(score).withColumn("_part", F.spark_partition_id())
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    cuts = scored.agg(F.percentile_approx(F.col(score).cast("double"), shares, 10_000).alias("c")).first()["c"] or []  # `buckets` numbers
+    above = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    parts = per.withColumn("_part", F.size(F.filter(above, lambda c: c < F.col(score))))
     inside = Window.partitionBy("_part").orderBy(score)
     below = parts.withColumn("_below", F.sum("n").over(inside) - F.col("n"))
-    sizes = parts.groupBy("_part").agg(F.sum("n").alias("_n"))  # a row for each partition
+    sizes = parts.groupBy("_part").agg(F.sum("n").alias("_n"))  # a row for each bucket
     offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     ranked = below.join(offsets, "_part").withColumn("rank", F.col("_before") + F.col("_below") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import skeletons, words
+from ..functions.text import normalize_records, skeletons, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,29 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rec.where("id % 4 = 0"), rec.where("id % 4 <> 0")
 
 
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a raw record (entity_id, business_name, business_address, country): legal forms, aliases, web names, streets, states."""
+    name = """CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN concat(upper(p_name), ', Inc.')
+        WHEN 2 THEN concat('Holding ', p_type, ' dba ', p_name) WHEN 3 THEN concat('The ', p_name, ' Services & Co')
+        ELSE concat('www.', replace(p_name, ' ', ''), '.com') END"""
+    address = """CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat(p_size, ' ', p_type, ' Street, ', p_partkey % 90, ' ', replace(p_brand, '#', ' '), ' Road, ',
+        CASE p_partkey % 3 WHEN 0 THEN 'New York' WHEN 1 THEN 'Tamil Nadu' ELSE 'Lyon' END) END"""
+    source = "CASE WHEN p_partkey % 4 = 0 THEN 'S1-' WHEN p_partkey % 2 = 1 THEN 'S2-' ELSE 'S3-' END"
+    return table(spark, sf_dir, "part").selectExpr(f"concat({source}, p_partkey) AS entity_id", f"{name} AS business_name", f"{address} AS business_address", "p_type AS country")
+
+
+def from_raw(raw: DataFrame) -> DataFrame:
+    """Normalised records of raw ones, with the names that blocking and features read."""
+    rows = normalize_records(raw, exotic=True)
+    return rows.withColumnsRenamed({"entity_id": "id", "business_name": "raw_name", "business_address": "raw_addr"})
+
+
+def raw_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``truth`` with the ids of the raw records."""
+    found = truth(*sides(spark, sf_dir)).where("true_s1_id IS NOT NULL")
+    return found.selectExpr("concat(IF(q_id % 2 = 1, 'S2-', 'S3-'), q_id) AS q_id", "concat('S1-', true_s1_id) AS true_s1_id")
+
+
 def truth(s1: DataFrame, q: DataFrame) -> DataFrame:
     """(q_id, true_s1_id) of every query: the smallest canonical record with its country and name and a size at most 5 away."""
     left = q.select(F.col("id").alias("q_id"), "country", "n_core", F.col("a_nums")[0].cast("int").alias("size"))

@@ -11,8 +11,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fixed
 
-RAW = StructType([StructField(c, StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
-TRUTH = StructType([StructField(c, StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
+
+def schema_of(*columns: str) -> StructType:
+    """Columns of text."""
+    return StructType([StructField(c, StringType()) for c in columns])
+
+
+RAW = schema_of("entity_id", "business_name", "business_address", "country")
+TRUTH = schema_of("source1_entity_id", "matched_entity_ids")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType = RAW) -> DataFrame:
@@ -67,9 +73,21 @@ def native_bundle(q: DataFrame, s1: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, s1.join(named.select("country").distinct(), "country", "left_semi")
 
 
-def cached(spark: SparkSession, root: str, name: str, settings: dict, build) -> DataFrame:
-    """A written table for a name and its settings; built once, and anew when the settings or input paths change."""
-    key = hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:16]
+def input_state(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(path, bytes, last change) of every file that ``paths`` are, or hold."""
+    found = []
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            file = files.next()
+            found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return sorted(found)
+
+
+def cached(spark: SparkSession, root: str, name: str, settings: dict, build, inputs: list[str] | None = None) -> DataFrame:
+    """A written table for a name, its settings and input files; built once, and anew when one of these changes."""
+    key = hashlib.sha256(json.dumps([settings, input_state(spark, inputs or [])], sort_keys=True).encode()).hexdigest()[:16]
     path = f"{root}/{name}-{key}"
     file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):

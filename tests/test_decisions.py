@@ -49,6 +49,15 @@ def test_auc_with_ties(spark):
     assert metrics.roc_auc(df).first()["auc"] == pytest.approx((3 + 2 + 0.5) / 6)
 
 
+def test_auc_over_many_buckets(spark):
+    rows = spark.range(3000).selectExpr("int(pmod(hash(id), 2)) AS label", "double(pmod(hash(id, 3), 500)) AS score")
+    found = [metrics.roc_auc(rows, buckets=n).first()["auc"] for n in (1, 7, 256)]
+    table = [(r["label"], r["score"]) for r in rows.collect()]
+    pos, neg = ([s for y, s in table if y == k] for k in (1, 0))
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert found == pytest.approx([want] * 3)
+
+
 def test_folds_by_parity(spark):
     rows = spark.range(1000).select("id", decide.fold_of(F.col("id")).alias("fold"))
     assert rows.where("fold <> id % 2").count() == 0
@@ -99,5 +108,10 @@ def test_files(spark, tmp_path):
         assert tables.cached(spark, str(tmp_path), "lists", {"k": 3}, build).count() == 2
     tables.cached(spark, str(tmp_path), "lists", {"k": 4}, build)
     assert len(built) == 2
+    for text in ("one", "three"):
+        (tmp_path / "input").write_text(text)
+        for _ in range(2):
+            tables.cached(spark, str(tmp_path), "lists", {"k": 3}, build, inputs=[str(tmp_path / "input")])
+    assert len(built) == 4
     tables.write_metadata(spark, str(tmp_path / "meta"), {"threshold": 0.5})
     assert tables.read_metadata(spark, str(tmp_path / "meta")) == {"threshold": 0.5}
