@@ -44,6 +44,12 @@ def norms(weights: DataFrame) -> DataFrame:
     return weights.groupBy("id").agg(F.when(root == 0, 1.0).otherwise(root).alias("norm"))
 
 
+def shares(weights: DataFrame) -> DataFrame:
+    """Each key's idf as a share of its record's norm, frequent keys too: the pairs that meet need no norms any more."""
+    root = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy("id")))
+    return weights.withColumn("share", F.when(root == 0, F.col("idf")).otherwise(F.col("idf") / root))
+
+
 def hashed(keys: DataFrame) -> DataFrame:
     return keys.withColumn("key", F.xxhash64("country", "key"))
 
@@ -55,14 +61,11 @@ def pair_scores(s1: DataFrame, q: DataFrame, df_cap: int = 2000, by_hash: bool =
         index, asked = hashed(index), hashed(asked)
     idf = inverse_frequency(index, s1)
     known, query = weighted(index, idf), weighted(asked, idf)
-    some = F.col("df") <= df_cap
-    left = query.where(some).select(F.col("id").alias("q_id"), "country", "key", "idf")
-    right = known.where(some).select(F.col("id").alias("s1_id"), "country", "key")
-    dot = left.join(right, ["country", "key"]).groupBy("q_id", "s1_id").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"))
-    q_norm = norms(query).select(F.col("id").alias("q_id"), F.col("norm").alias("q_norm"))
-    s_norm = norms(known).select(F.col("id").alias("s1_id"), F.col("norm").alias("s_norm"))
-    scored = dot.join(q_norm, "q_id").join(s_norm, "s1_id")
-    return scored.select("q_id", "s1_id", F.round(F.col("dot") / (F.col("q_norm") * F.col("s_norm")), 9).alias("score"))
+    left = shares(query).where(F.col("df") <= df_cap).select(F.col("id").alias("q_id"), "country", "key", F.col("share").alias("q_share"))
+    right = shares(known).where(F.col("df") <= df_cap).select(F.col("id").alias("s1_id"), "country", "key", F.col("share").alias("s_share"))
+    # Dealt by query, the sums and then the best of each query need no other shuffle.
+    met = left.join(right, ["country", "key"]).select("q_id", "s1_id", (F.col("q_share") * F.col("s_share")).alias("part")).repartition("q_id")
+    return met.groupBy("q_id", "s1_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
