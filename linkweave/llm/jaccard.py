@@ -437,10 +437,11 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
 
     member = met.select("sig", "n").join(similar.withColumnRenamed("node", "sig"), "sig", "left").join(first.selectExpr("a AS sig", "b AS pivot"), "sig", "left")
     member = scratch.table(member.select("sig", "n", F.coalesce("component", "sig").alias("component"), F.coalesce("pivot", "sig").alias("cluster")), "clustered")
-    sizes = member.groupBy("component").agg(F.count("*").alias("size"))
-    clusters = member.groupBy("cluster").agg(F.count("*").alias("cluster_size"))
-    group = F.xxhash64("cluster", F.pmod(F.xxhash64("sig"), F.ceil(F.col("cluster_size") / GROUP)))
-    member = scratch.table(member.join(sizes, "component").join(clusters, "cluster").select("sig", "n", "component", "size", group.alias("group")), "grouped")
+    # Only large components and clusters need their sizes; the others count as 1. There are few, so no member is dealt by a hot one.
+    large = lambda key, size: _few(scratch.table(member.groupBy(key).agg(F.count("*").alias(size)).where(F.col(size) > GROUP), f"large-{key}"))
+    group = F.xxhash64("cluster", F.pmod(F.xxhash64("sig"), F.ceil(F.coalesce("cluster_size", F.lit(1)) / GROUP)))
+    member = member.join(large("component", "size"), "component", "left").join(large("cluster", "cluster_size"), "cluster", "left")
+    member = scratch.table(member.select("sig", "n", "component", F.coalesce("size", F.lit(1)).alias("size"), group.alias("group")), "grouped")
     members_of = scratch.table(member.groupBy("group").agg(F.count("*").alias("members")), "groups")
     member = scratch.table(member.join(members_of, "group"), "members")
 

@@ -201,6 +201,28 @@ def _content(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
         return mix(np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * weight[_ragged(np.zeros_like(begin), size)], first) + size.astype(np.uint64))
 
 
+def alike(body: np.ndarray, place: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each stretch has the bytes of the stretch whose number ``other`` gives."""
+    out = size == size[other]
+    asked = np.flatnonzero(out & (other != np.arange(len(other))))
+    for part in _slices(np.concatenate([[0], np.cumsum(size[asked])]), 1 << 19):
+        x = asked[part]
+        same = body[_ragged(place[x], size[x])] == body[_ragged(place[other[x]], size[x])]
+        out[x] = np.logical_and.reduceat(same, np.cumsum(size[x]) - size[x])
+    return out
+
+
+def distinct(content: np.ndarray, body: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one stretch of each different content, which of these each stretch is): by hash, confirmed by bytes.
+
+    Stretches with the hash of another content, nearly none, are each a content of their own.
+    """
+    _, one, same = np.unique(content, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~alike(body, place, size, one[same]))
+    same[odd] = len(one) + np.arange(len(odd))
+    return np.concatenate([one, odd]), same
+
+
 def anchor_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The hash of each segment's anchor: the least of all its 16 bytes in a row."""
     if not len(begin):
@@ -221,12 +243,13 @@ def _cut(docs: DataFrame, n: int, unique: bool) -> DataFrame:
             body = np.concatenate([x[6] for x in held])
             where = np.cumsum(size) - size
             shard = ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((content, shard))
+            same = distinct(content, body, where, size)[1]
+            order = np.lexsort((same, shard))
             edges = _groups(shard[order])
             rows = []
             for a, b in zip(edges, np.append(edges[1:], len(order))):
                 x = order[a:b]
-                first = _groups(content[x])
+                first = _groups(same[x])
                 u, counts = x[first], np.diff(np.append(first, len(x)))
                 body_ = packed(body[_ragged(where[u], size[u])], level=3)
                 rows.append((int(shard[x[0]]), packed(size[u], np.uint8), packed(counts, np.int32), body_, packed_wide(key[x]), b"" if unique else packed_wide(doc[x]), packed_wide(begin[x])))
@@ -345,7 +368,7 @@ def covered(table: pa.Table, length: int = LENGTH) -> pa.Table:
     key, doc = (np.concatenate(c) for c in zip(*map(_ids, rows)))
     start = np.concatenate([unpacked_wide(r["begins"]) for r in rows])
     place = np.cumsum(size) - size
-    _, one, same = np.unique(content, return_index=True, return_inverse=True)  # equal segments of different tasks
+    one, same = distinct(content, body, place, size)  # equal segments of different tasks
     which, h, size, place = same[which], h[one], size[one], place[one]
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)

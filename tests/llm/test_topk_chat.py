@@ -85,6 +85,20 @@ def test_examples(spark):
     assert chat.digests(chat.examples(df.limit(0))).count() == 0
 
 
+def test_long_conversations_and_texts(spark):
+    """A conversation of many turns, and one of texts of a million characters, read back whole."""
+    import hashlib
+
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} </s>") for i in range(600)] + [(2, i, ("user", "assistant")[i % 2], "[INST] é🙂 " * 100_000) for i in range(4)]
+    found = {r["conv_id"]: r for r in chat.digests(chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for conv in (1, 2):
+        turns = [(role, text) for c, _, role, text in rows if c == conv]
+        said = "".join(text for role, text in turns if role == "assistant")
+        assert found[conv]["n_turns"] == len(turns) and found[conv]["loss_chars"] == len(said)
+        assert found[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert found[conv]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_formatting_is_native(spark):
     plan = queries.QUERIES["op2_chat_formatting"](spark, SF)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
