@@ -24,28 +24,31 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts: rows, nulls, empty and repeated ones too, stay or go by their text's score alone.
+
+    Without a label to learn from, the score of no evidence decides for all.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return quality.accepted(docs, quality.trained(docs, labels))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates."""
+    """The document with the least doc_id of each group of near duplicates; rows with a null doc_id and texts without words stay."""
     return jaccard.representatives(docs, words=5, percent=80)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 50 bytes that an earlier document holds."""
+    """Documents without strings of 50 bytes that an earlier document holds; all rows stay, with empty texts if nothing is left, null ones null."""
     return _counted(repeats.without_repeats(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked."""
+    """Documents with personal data masked; all rows stay, null texts null."""
     return _counted(pii.personal_data(docs, redact=True))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens, placed in sequences."""
+    """Pieces of the documents' tokens, placed in sequences; null and empty texts are one piece of one token, each row is packed."""
     return packing.pack(docs)
 
 
