@@ -248,14 +248,15 @@ def _similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return map_arrow(_joined(pairs, tokens, tokens), run, "a long, b long")
 
 
-def _opened(asks: DataFrame, members: DataFrame, component: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+def _opened(asks: DataFrame, parts: DataFrame, members: DataFrame, component: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """(a, b): links of sets that ask for a group with its members, as many as join components that were apart.
 
-    A pair whose components have met in the task is not compared, so a task gives fewer links than it has sets.
+    ``parts`` has the groups that many sets ask for: in how many tasks. A pair whose components have met in the
+    task is not compared, so a task gives fewer links than it has sets.
     """
-    parts = asks.groupBy("group").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
-    asked = asks.join(parts, "group").select("group", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("asks"), F.col("a").alias("sig"))
-    held = members.join(parts, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), "sig")
+    n = F.coalesce("parts", F.lit(1))
+    asked = asks.join(parts, "group", "left").select("group", F.pmod(F.xxhash64("a"), n).cast("int").alias("part"), F.lit(1).alias("asks"), F.col("a").alias("sig"))
+    held = members.join(parts, "group", "left").select("group", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), F.lit(0).alias("asks"), "sig")
 
     def one(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("asks", "sig", "component", "cell"))), key=lambda r: r[:2])
@@ -470,12 +471,13 @@ def _found(docs: DataFrame, words: int, percent: int, count: bool = False) -> Da
     # A group of one is compared directly; a larger one is opened in one task for some of the sets that ask for it.
     single = scratch.table(whole.where("members = 1").join(member.select("group", F.col("sig").alias("b")), "group").select("a", "b"), "single")
     asks = whole.where("members > 1").select("group", "a")
+    parts = _few(scratch.table(asks.groupBy("group").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts")).where("parts > 1"), "parts"))
     members = scratch.table(member.join(asks.select("group").distinct(), "group", "left_semi").select("group", "sig"), "asked-members")
     ends = _ends(single).unionByName(asks.select(F.col("a").alias("sig"))).unionByName(members.select("sig")).distinct()
     rest = ends.join(tokens.select("sig"), "sig", "left_anti")
     wanted = scratch.table(reps.join(rest, "sig", "left_semi").select("row", "sig"), "also-wanted")
     tokens = scratch.table(tokens.unionByName(_sets_of(texts, wanted, words)), "all-tokens")
-    more = scratch.table(_similar(single, tokens, percent).unionByName(_opened(asks, members, member.select("sig", "component"), tokens, percent)), "more")
+    more = scratch.table(_similar(single, tokens, percent).unionByName(_opened(asks, parts, members, member.select("sig", "component"), tokens, percent)), "more")
 
     # The new links join whole components: theirs is a small graph of its own.
     label = lambda c: similar.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
