@@ -29,8 +29,8 @@ from ._words import blocks
 
 STRIDE, EMBED, FILTERS, CHUNK = 8, 7, 16, 8
 SAMPLE, SAMPLE_BYTES, LONGEST, ROUNDS = 3000, 8 << 20, 1 << 20, 8
-#: Bytes of a long text that are scored at once: whole half chunks.
-STRETCH = 1 << 20
+#: Bytes that are scored at once, of many texts or of a long one: whole half chunks. Each takes some 64 bytes of memory.
+STRETCH = 1 << 18
 THRESHOLD = 0.3
 SCHEMA = "doc_id long, score double, predicted int"
 #: Distances at which a repetition of four bytes is looked for.
@@ -231,7 +231,7 @@ def scored(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataF
     """(doc_id, score, predicted) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in blocks(batches, most=1 << 20):
+        for rows, data, offsets in blocks(batches, most=STRETCH):
             score = net.score(data, offsets)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -243,7 +243,7 @@ def accepted(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [net.score(d, o) >= threshold for _, d, o in blocks(iter([batch]), most=1 << 20)]
+            keep = [net.score(d, o) >= threshold for _, d, o in blocks(iter([batch]), most=STRETCH)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return map_arrow(docs, run, docs.schema)
