@@ -37,7 +37,7 @@ from ._words import mix, utf8
 
 LENGTH, GRAM = 50, 16
 #: Stored bytes of input for each shard; window starts read at once; anchors and segment bytes a task packs at once.
-PER_SHARD, STEP, PACKED, CUT = 4 << 20, 1 << 20, 1 << 19, 16 << 20
+PER_SHARD, STEP, PACKED, CUT = 4 << 20, 1 << 19, 1 << 19, 16 << 20
 #: Bytes whose suffixes are sorted at once, in whole anchors.
 SORTED = 1 << 19
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
