@@ -121,3 +121,24 @@ def mapped(uri: str, dtype: str) -> np.ndarray:
                 local.write(part)
         local.flush()
         return np.memmap(local.name, dtype, "r")  # the mapping outlives the file's name
+
+
+def save_parts(uri: str, arrays: list[np.ndarray]) -> None:
+    """Several arrays in one file, each after its length and width, on bounds of eight bytes."""
+    cells = [np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], np.uint64).tobytes()]
+    for a in arrays:
+        cells += [np.ascontiguousarray(a).tobytes(), bytes(-a.nbytes % 8)]
+    save(uri, np.frombuffer(b"".join(cells), np.uint8))
+
+
+def parts(uri: str) -> list[np.ndarray]:
+    """The arrays of ``save_parts``, memory-mapped, as unsigned numbers; none if there is no file."""
+    every = np.asarray(mapped(uri, "u1"))
+    if not len(every):
+        return []
+    head = every[: 8 + 16 * int(every[:8].view(np.uint64)[0])].view(np.uint64)
+    out, at = [], head.nbytes
+    for n, width in head[1:].reshape(-1, 2).tolist():
+        out.append(every[at : at + n * width].view(f"u{width}"))
+        at += -(-n * width // 8) * 8
+    return out

@@ -1,14 +1,20 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers that score.
+"""An interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and memory-mapped by the workers that score.
 
 1. Words of the training texts are counted, in shards of the range of their 64-bit hashes. Each
    shard is a sorted array of hashes and an array of counts; a word's number is its place among all shards.
-2. Pairs of neighbours, as pairs of word numbers in one 64-bit key, are counted in shards of sorted keys. Frequent
-   first words are spread over shards of their own, so no shard holds what follows one word.
+2. Triples of neighbours are counted in shards of the middle word: a shard has all triples that begin with its contexts (the
+   first two words), and all that end with its pairs (the last two). So it writes its triples, and gets from them how many different
+   words stand before a pair, which is the pair's count in the lower order. Frequent middle words are spread over shards
+   of their own, by context, and their pairs' counts are summed in a second step, by pair. What no word
+   stands before, a text's first word after the start sign, counts as often as it is seen; for order 2 all pairs do.
 3. Each range of word numbers sums in how many different pairs a word comes second, and the counts of the pairs
    in which it comes first.
-4. Scoring maps these arrays and looks up sorted, distinct keys, block by block.
+4. Scoring maps these arrays and looks up distinct keys, block by block.
 
-Map tasks merge equal words and pairs before they are shuffled, packed by shard in one cell. The arrays lie
+Contexts and pairs are tries of sorted arrays: the words that all entries of a shard begin with, where the entries of each
+begin, and the next words, four bytes each; counts have one byte, and those of 255 or more stand in a list of their own.
+
+Map tasks merge equal words, pairs and triples before they are shuffled, packed by shard in one cell. The arrays lie
 in the shared folder; the driver only sees some numbers for each shard.
 
 Defined results: null and empty texts are one end token; words that training lacks have the probability
@@ -27,13 +33,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import apply_arrow, map_arrow, mapped, packed, packed_sorted, save, unpacked, unpacked_sorted
+from ._arrays import apply_arrow, map_arrow, mapped, packed, packed_sorted, parts, save, save_parts, unpacked, unpacked_sorted
 from ._store import Scratch, shards
 from ._words import blocks, hashes, mix, spans
 
 #: Stored bytes of input for each shard, tokens that a map task merges at once.
 PER_SHARD, MERGED = 8 << 20, 1 << 21
 SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+#: Words of an n-gram: the query's.
+ORDER = 3
+#: Kinds of packed rows: words that come second, words that come first, counts of pairs to be summed, and how many n-grams were seen how often.
+_SECOND, _FIRST, _PAIRS, _PAIR_TIMES, _TRIPLE_TIMES = range(5)
+_LOW = np.uint64(0xFFFFFFFF)
 _END = mix(np.array([1], np.uint64))[0]
 
 
@@ -75,16 +86,72 @@ def discounts(n: list[float]) -> tuple[float, float, float]:
     return tuple(out)
 
 
+def short(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in one byte each; places and values of those that do not fit."""
+    large = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8), large.astype(np.uint32), counts[large].astype(np.uint64)
+
+
+def counted(small: np.ndarray, place: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The counts at ``at``, from the arrays of ``short``."""
+    out = small[at].astype(np.int64)
+    large = out == 255
+    if large.any():
+        out[large] = value[np.searchsorted(place, at[large])]
+    return out
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values of an ascending array, and where the run of each begins and the last ends."""
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[edge], np.append(edge, len(keys))
+
+
+def within(values: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each asked value stands in its own ascending range of ``values``; -1 if it does not."""
+    low, end = low.astype(np.int64), high.astype(np.int64)
+    high = end.copy()
+    left = np.flatnonzero(low < high)
+    while len(left):
+        middle = (low[left] + high[left]) >> 1
+        less = values[middle] < asked[left]
+        low[left[less]] = middle[less] + 1
+        high[left[~less]] = middle[~less]
+        left = left[low[left] < high[left]]
+    out = np.full(len(low), -1, np.int64)
+    inside = np.flatnonzero(low < end)
+    same = inside[values[low[inside]] == asked[inside]]
+    out[same] = low[same]
+    return out
+
+
+def among(first: np.ndarray, bounds: np.ndarray, then: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where the second half of each key stands in the range of its first half; -1 if the trie lacks it."""
+    out = np.full(len(keys), -1, np.int64)
+    head, next_ = (keys >> np.uint64(32)).astype(np.uint32), (keys & _LOW).astype(np.uint32)
+    at = np.minimum(np.searchsorted(first, head), len(first) - 1)
+    known = np.flatnonzero(first[at] == head)
+    out[known] = within(then, bounds[at[known]], bounds[at[known] + 1], next_[known])
+    return out
+
+
+def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two numbers in one 64-bit key."""
+    return high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+
+
 @dataclass
 class Model:
     """Where the arrays lie, and the totals; small enough for a closure."""
 
     root: str
+    order: int
     n_words: int  # distinct words of training, the end token too
     n_tokens: int
     starts: list[int]  # number of the first word of each shard, and of all words
     hot: list[int]  # frequent first words
     n_shards: int
+    triple_discounts: tuple = (0.5, 0.5, 0.5)
     pair_discounts: tuple = (0.5, 0.5, 0.5)
     word_discounts: tuple = (0.5, 0.5, 0.5)
     n_pairs: int = 0
@@ -103,12 +170,13 @@ class Model:
                 out[part] = np.where(known[at] == h[part], at + self.starts[s], -1)
         return out
 
-    def shard_of_pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        shard = first * self.n_shards // (self.n_words + 1)
+    def shard_of_key(self, keys: np.ndarray) -> np.ndarray:
+        """Shard of pairs by their first word, or of contexts by their second; the word that decides stands in the high half of a key."""
+        word = (keys >> np.uint64(32)).astype(np.int64)
+        shard = word * self.n_shards // (self.n_words + 1)
         if self.hot:
-            at = np.isin(first, np.array(self.hot, np.int64))
-            with np.errstate(over="ignore"):
-                shard[at] = self.n_shards + (mix(first[at].astype(np.uint64) << np.uint64(32) | second[at].astype(np.uint64)) % np.uint64(self.n_shards)).astype(np.int64)
+            at = np.isin(word, np.array(self.hot, np.int64))
+            shard[at] = self.n_shards + (mix(keys[at]) % np.uint64(self.n_shards)).astype(np.int64)
         return shard
 
     def values(self, name: str, dtype: str, numbers: np.ndarray, width: int = 1) -> np.ndarray:
@@ -122,29 +190,52 @@ class Model:
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        shard = self.shard_of_pair((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        shard = self.shard_of_key(keys)
         order = np.argsort(shard, kind="stable")
         for s, part in by_shard(shard[order]):
-            known = mapped(f"{self.root}/pairs/{s}", "u8")
-            if len(known):
-                asked = keys[order[part]]
-                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-                out[order[part]] = np.where(known[at] == asked, mapped(f"{self.root}/pair-counts/{s}", "u4")[at], 0)
+            if found := parts(f"{self.root}/pairs/{s}"):
+                first, bounds, second, *counts = found
+                at = among(first, bounds, second, keys[order[part]])
+                out[order[part][at >= 0]] = counted(*counts, at[at >= 0])
         return out
 
+    def triple_counts(self, contexts: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of each triple, count of its context, the share that its context leaves to the lower order)."""
+        seen, total, kinds = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64), np.zeros((len(contexts), 3))
+        shard = self.shard_of_key(contexts)
+        order = np.argsort(shard, kind="stable")
+        for s, part in by_shard(shard[order]):
+            found = parts(f"{self.root}/triples/{s}")
+            if not found:
+                continue
+            middle, bounds, first, begin, then, place, sums, ones, twos, *counts = found
+            at = among(middle, bounds, first, contexts[order[part]])
+            of, at = order[part][at >= 0], at[at >= 0]
+            low, high = begin[at].astype(np.int64), begin[at + 1].astype(np.int64)
+            one = high - low == 1
+            own = counted(*counts, low[one])
+            total[of[one]] = own
+            kinds[of[one]] = np.stack([own == 1, own == 2, own > 2], 1)
+            many = np.searchsorted(place, at[~one])
+            total[of[~one]] = sums[many]
+            n1, n2 = ones[many].astype(np.int64), twos[many].astype(np.int64)
+            kinds[of[~one]] = np.stack([n1, n2, (high - low)[~one] - n1 - n2], 1)
+            at = within(then, low, high, third[of])
+            seen[of[at >= 0]] = counted(*counts, at[at >= 0])
+        return seen, total, kinds @ np.array(self.triple_discounts) / np.maximum(total, 1)
+
     def word_chances(self, second: np.ndarray) -> np.ndarray:
         """Lower order: how many different words a word follows, discounted, and the rest for all words alike."""
         k = second.astype(np.float64)
         total = max(self.n_pairs, 1)
         return np.maximum(k - np.array([0.0, *self.word_discounts])[np.minimum(second, 3)], 0) / total + self.word_rest / (self.n_words + 1)
 
-    def keys(self, number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the words before, with the start sign; pair keys where both are known, else the largest key)."""
-        before = np.empty_like(number)
-        before[1:] = number[:-1]
-        before[first[:-1]] = self.n_words
-        key = before.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
-        return before, np.where((before >= 0) & (number >= 0), key, np.uint64(0xFFFFFFFFFFFFFFFF))
+    def before(self, number: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Numbers of the words before, with the start sign before each text's first."""
+        out = np.empty_like(number)
+        out[1:] = number[:-1]
+        out[first[:-1]] = self.n_words
+        return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
@@ -161,12 +252,11 @@ class Model:
         context = np.zeros((len(word) + 1, 2))
         context[:-1][known] = self.values("first", "f8", number[known], 2)
         context[-1] = mapped(f"{self.root}/start", "f8") if self.n_tokens else 0
-        before, key = self.keys(number[place], first)
-        pair, pair_place = np.unique(key, return_inverse=True)
-        seen = np.zeros(len(pair), np.int64)
-        real = pair != np.uint64(0xFFFFFFFFFFFFFFFF)
-        seen[real] = self.pair_counts(pair[real])
-        seen = seen[pair_place]
+        own = number[place]
+        before = self.before(own, first)
+        seen, real = np.zeros(len(own), np.int64), (own >= 0) & (before >= 0)
+        pair, pair_place = np.unique(joined(before[real], own[real]), return_inverse=True)
+        seen[real] = self.pair_counts(pair)[pair_place]
         at = np.empty_like(place)
         at[1:] = place[:-1]
         at[first[:-1]] = len(word)
@@ -174,6 +264,16 @@ class Model:
         lower = chance[place]
         found = np.maximum(seen - np.array([0.0, *self.pair_discounts])[np.minimum(seen, 3)], 0)
         p = np.where(total > 0, found / np.maximum(total, 1) + rest * lower, lower)
+        if self.order > 2:
+            earlier = np.empty_like(before)
+            earlier[1:] = before[:-1]
+            earlier[first[:-1]] = -1  # a first word has no context of two
+            real = np.flatnonzero((before >= 0) & (earlier >= 0))
+            contexts, which = np.unique(joined(before[real], earlier[real]), return_inverse=True)
+            triple, triple_place = np.unique(joined(which, own[real] & int(_LOW)), return_inverse=True)  # unknown words are the largest number
+            seen, total, rest = (x[triple_place] for x in self.triple_counts(contexts[(triple >> np.uint64(32)).astype(np.int64)], (triple & _LOW).astype(np.uint32)))
+            found = np.maximum(seen - np.array([0.0, *self.triple_discounts])[np.minimum(seen, 3)], 0)
+            p[real] = np.where(total > 0, found / np.maximum(total, 1) + rest * p[real], p[real])
         base = np.log10((count + 1) / (self.n_tokens + self.n_words + 1))[place]
         return np.diff(first), np.add.reduceat(known[place].astype(np.int64), first[:-1]), np.add.reduceat(base, first[:-1]), np.add.reduceat(np.log10(p), first[:-1])
 
@@ -211,12 +311,72 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return merge(keys, counts)
 
 
-def fit(train: DataFrame) -> Model:
-    """Count the texts of ``train`` and write the model's arrays."""
+def _grams(train: DataFrame, model: Model) -> DataFrame:
+    """(kind, shard, keys, sizes, then, counts) merged and packed by map tasks: pairs in rows without sizes, else contexts with their next words."""
+    schema = "kind int, shard int, keys binary, sizes binary, then binary, counts binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, contexts, thirds, n = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            keys, counts = np.unique(np.concatenate(pairs), return_counts=True)
+            shard = model.shard_of_key(keys)
+            order = np.argsort(shard, kind="stable")
+            for s, part in by_shard(shard[order]):
+                rows.append((1, s, packed_sorted(keys[order[part]]), None, None, packed(counts[order[part]], np.uint32)))
+            keys, which = np.unique(np.concatenate(contexts), return_inverse=True)
+            shard = model.shard_of_key(keys)
+            order = np.argsort(shard, kind="stable")  # contexts by shard, then in order
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            triples, counts = np.unique(joined(place[which], np.concatenate(thirds)), return_counts=True)
+            begin = np.searchsorted(triples, np.arange(len(order) + 1).astype(np.uint64) << np.uint64(32))
+            for s, part in by_shard(shard[order]):
+                inside = slice(begin[part.start], begin[part.stop])
+                then = (triples[inside] & _LOW).astype(np.uint32)
+                rows.append((0, s, packed_sorted(keys[order[part]]), packed(np.diff(begin[part.start : part.stop + 1]), np.uint32), packed(then.view(np.uint8).reshape(-1, 4).T), packed(counts[inside], np.uint32)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+        for _, data, offsets in blocks(batches):
+            h, first = tokens(data, offsets)
+            if not len(h):
+                continue
+            word, place = np.unique(h, return_inverse=True)
+            own = model.numbers(word)[place]
+            before = model.before(own, first)
+            begins = np.zeros(len(own), bool)
+            begins[first[:-1]] = True
+            raw = begins if model.order > 2 else np.ones(len(own), bool)
+            pairs.append(joined(before[raw], own[raw]))
+            later = np.flatnonzero(~raw)
+            contexts.append(joined(before[later], before[later - 1]))
+            thirds.append(own[later].astype(np.uint32))
+            n += len(own)
+            if n >= MERGED:
+                yield flush()
+                pairs, contexts, thirds, n = [], [], [], 0
+        if n:
+            yield flush()
+
+    return map_arrow(train.select("text"), run, schema)
+
+
+def _times(kind: int, counts: np.ndarray) -> tuple:
+    """A row of how many entries were seen once to four times, and of how many there are."""
+    return 0, kind, packed(np.array([(counts == i).sum() for i in (1, 2, 3, 4)] + [len(counts)], np.int64)), b""
+
+
+def fit(train: DataFrame, order: int = ORDER) -> Model:
+    """Count the texts of ``train`` and write the model's arrays; ``order`` is 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = train.sparkSession
     scratch = Scratch(spark, "lm")
     root, n = scratch.root, shards(train, PER_SHARD)
-    model = Model(root, 0, 0, [0] * (n + 1), [], n)
+    model = Model(root, order, 0, 0, [0] * (n + 1), [], n)
 
     def words(table: pa.Table) -> pa.Table:
         keys, counts = _merged(table)
@@ -226,48 +386,82 @@ def fit(train: DataFrame) -> Model:
         often = np.argsort(-counts, kind="stable")[:64]
         return pa.table({"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "total": [int(counts.sum())], "often": [often.tolist()], "often_n": [counts[often].tolist()]})
 
-    counted = _counted(train, lambda d, o: tokens(d, o)[0], model.shard_of_hash)
-    found = apply_arrow(counted.groupBy("shard"), words, "shard int, types long, total long, often array<long>, often_n array<long>").collect()  # a row for each shard
+    of_words = _counted(train, lambda d, o: tokens(d, o)[0], model.shard_of_hash)
+    found = apply_arrow(of_words.groupBy("shard"), words, "shard int, types long, total long, often array<long>, often_n array<long>").collect()  # a row for each shard
     types = np.zeros(n, np.int64)
     for r in found:
         types[r["shard"]] = r["types"]
     model.starts = np.concatenate([[0], np.cumsum(types)]).tolist()
     model.n_words, model.n_tokens = int(types.sum()), sum(r["total"] for r in found)
-    if model.n_words >= 1 << 32:
-        raise ValueError("more distinct words than a pair key can hold")
+    if model.n_words >= (1 << 32) - 1:
+        raise ValueError("more distinct words than half a key can hold")
     if not model.n_tokens:
         return model
     model.hot = sorted(model.starts[r["shard"]] + w for r in found for w, c in zip(r["often"], r["often_n"]) if c * 4 * n > model.n_tokens)
     model.hot.append(model.n_words)  # the start sign
 
-    def pair_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        h, first = tokens(data, offsets)
-        word, place = np.unique(h, return_inverse=True)
-        return model.keys(model.numbers(word)[place], first)[1]
-
-    def pair_shard(keys: np.ndarray) -> np.ndarray:
-        return model.shard_of_pair((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    schema = "shard int, kind int, keys binary, counts binary"
 
-    def pairs(table: pa.Table) -> pa.Table:
-        keys, counts = _merged(table)
-        shard = table.column("shard")[0].as_py()
-        save(f"{root}/pairs/{shard}", keys)
-        save(f"{root}/pair-counts/{shard}", counts.astype(np.uint32))
-        rows = [(-1, 0, packed(np.array([(counts == i).sum() for i in (1, 2, 3, 4)] + [len(keys)], np.int64)), b"")]
-        second, times = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        for s, part in by_shard(np.searchsorted(model.starts, second, "right") - 1):
-            rows.append((s, 1, packed_sorted(second[part]), packed(times[part], np.int64)))
-        first = (keys >> np.uint64(32)).astype(np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        sums = np.stack([np.add.reduceat(x.astype(np.int64), edge) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
-        first = first[edge]
-        for s, part in by_shard(np.searchsorted(model.starts, first, "right") - 1):
-            rows.append((s, 2, packed_sorted(first[part]), packed(sums[part], np.int64)))
+    def rows_of(rows: list[tuple]) -> pa.Table:
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "kind", "keys", "counts"])
 
-    stats = scratch.table(apply_arrow(_counted(train, pair_keys, pair_shard).groupBy("shard"), pairs, "shard int, kind int, keys binary, counts binary"), "stats")
-    times = sum(unpacked(r["keys"], np.int64) for r in stats.where("kind = 0").select("keys").collect())  # a row for each shard
-    model.pair_discounts, model.n_pairs = discounts(times[:4].tolist()), int(times[4])
+    def pairs(shard: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+        """Write the pairs of a shard; rows for the ranges of their words."""
+        word, bounds = runs((keys >> np.uint64(32)).astype(np.uint32))
+        save_parts(f"{root}/pairs/{shard}", [word, bounds.astype(np.uint32), (keys & _LOW).astype(np.uint32), *short(counts)])
+        rows = [_times(_PAIR_TIMES, counts)]
+        second, times = np.unique((keys & _LOW).astype(np.int64), return_counts=True)
+        for s, part in by_shard(np.searchsorted(model.starts, second, "right") - 1):
+            rows.append((s, _SECOND, packed_sorted(second[part]), packed(times[part], np.int64)))
+        sums = np.stack([np.add.reduceat(x.astype(np.int64), bounds[:-1]) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
+        for s, part in by_shard(np.searchsorted(model.starts, word.astype(np.int64), "right") - 1):
+            rows.append((s, _FIRST, packed_sorted(word[part]), packed(sums[part], np.int64)))
+        return rows
+
+    def triples(shard: int, table: pa.Table) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """Write the triples of a shard; (rows, keys of their last two words, how many words stand before each)."""
+        keys, third, counts = [], [], []
+        for k, sizes, then, c in zip(*(table.column(x).to_pylist() for x in ("keys", "sizes", "then", "counts"))):
+            keys.append(np.repeat(unpacked_sorted(k), unpacked(sizes, np.uint32)))
+            third.append(np.ascontiguousarray(unpacked(then, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1))
+            counts.append(unpacked(c, np.uint32).astype(np.int64))
+        keys, third, counts = (np.concatenate(x) for x in (keys, third, counts))
+        at = np.lexsort((third, keys))
+        keys, third = keys[at], third[at]
+        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (third[1:] != third[:-1])]))
+        counts, keys, third = np.add.reduceat(counts[at], new), keys[new], third[new]
+        context, begin = runs(keys)
+        middle, bounds = runs((context >> np.uint64(32)).astype(np.uint32))
+        many = np.flatnonzero(np.diff(begin) > 1)  # what a context with one next word sums to is that word's count
+        sums, ones, twos = (np.add.reduceat(x.astype(np.int64), begin[:-1])[many] for x in (counts, counts == 1, counts == 2))
+        save_parts(f"{root}/triples/{shard}", [
+            middle, bounds.astype(np.uint32), (context & _LOW).astype(np.uint32), begin.astype(np.uint32), third,
+            many.astype(np.uint32), sums.astype(np.uint64), ones.astype(np.uint32), twos.astype(np.uint32), *short(counts),
+        ])
+        last, times = np.unique(keys & ~_LOW | third, return_counts=True)
+        return [_times(_TRIPLE_TIMES, counts)], last, times
+
+    def grams(table: pa.Table) -> pa.Table:
+        kind, shard = (table.column(c)[0].as_py() for c in ("kind", "shard"))
+        rows, (keys, counts) = [], (None, None) if kind == 0 else _merged(table)
+        if kind == 0:
+            rows, keys, counts = triples(shard, table)
+        if shard < n:
+            return rows_of(rows + pairs(shard, keys, counts))
+        to = model.shard_of_key(keys)
+        at = np.argsort(to, kind="stable")
+        return rows_of(rows + [(s, _PAIRS, packed_sorted(keys[at[part]]), packed(counts[at[part]], np.uint32)) for s, part in by_shard(to[at])])
+
+    def summed(table: pa.Table) -> pa.Table:
+        return rows_of(pairs(table.column("shard")[0].as_py(), *_merged(table)))
+
+    stats = scratch.table(apply_arrow(_grams(train, model).groupBy("kind", "shard"), grams, schema), "stats")
+    stats = stats.unionByName(scratch.table(apply_arrow(stats.where(F.col("kind") == _PAIRS).groupBy("shard"), summed, schema), "summed"))
+    sums = {_PAIR_TIMES: np.zeros(5, np.int64), _TRIPLE_TIMES: np.zeros(5, np.int64)}
+    for r in stats.where(F.col("kind").isin(list(sums))).select("kind", "keys").collect():  # a row or two for each shard
+        sums[r["kind"]] = sums[r["kind"]] + unpacked(r["keys"], np.int64)
+    model.triple_discounts = discounts(sums[_TRIPLE_TIMES][:4].tolist())
+    model.pair_discounts, model.n_pairs = discounts(sums[_PAIR_TIMES][:4].tolist()), int(sums[_PAIR_TIMES][4])
 
     def ranges(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
@@ -276,7 +470,7 @@ def fit(train: DataFrame) -> Model:
         second, sums = np.zeros(size, np.int64), np.zeros((size, 4), np.int64)
         for kind, keys, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "counts"))):
             at = unpacked_sorted(keys).astype(np.int64) - begin
-            if kind == 1:
+            if kind == _SECOND:
                 second[at] += unpacked(counts, np.int64)
             else:
                 sums[at] += unpacked(counts, np.int64).reshape(-1, 4)
@@ -289,7 +483,7 @@ def fit(train: DataFrame) -> Model:
             save(f"{root}/first/{s}", first)
         return pa.table({"times": [[int((second == i).sum()) for i in (1, 2, 3, 4)] + [int((second > 2).sum())]]})
 
-    found = apply_arrow(stats.where("kind > 0").groupBy("shard"), ranges, "times array<long>").collect()  # a row for each shard
+    found = apply_arrow(stats.where(F.col("kind").isin(_SECOND, _FIRST)).groupBy("shard"), ranges, "times array<long>").collect()  # a row for each shard
     times = np.sum([r["times"] for r in found], axis=0)
     model.word_discounts = discounts(times[:4].tolist())
     model.word_rest = float(np.dot(model.word_discounts, [times[0], times[1], times[4]]) / max(model.n_pairs, 1))

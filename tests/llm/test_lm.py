@@ -17,37 +17,56 @@ def words(text):
 
 
 class Plain:
-    """The model by dictionaries."""
+    """The model by dictionaries, of order 2 or 3."""
 
-    def __init__(self, texts):
-        self.c, self.pairs, self.first, self.second = Counter(), Counter(), defaultdict(lambda: [0, 0, 0, 0]), Counter()
+    def __init__(self, texts, order=lm.ORDER):
+        self.order, self.c, self.triples, self.pairs, self.second = order, Counter(), Counter(), Counter(), Counter()
         for t in texts:
             w = words(t)
             self.c.update(w)
-            self.pairs.update(zip(["start", *w[:-1]], w))
-        for (a, b), n in self.pairs.items():
-            self.first[a][0] += n
-            self.first[a][min(n, 3)] += 1
-            self.second[b] += 1
-        count = lambda values: [sum(v == k for v in values) for k in (1, 2, 3, 4)]
-        self.d, self.e = (0, *lm.discounts(count(self.pairs.values()))), (0, *lm.discounts(count(self.second.values())))
+            s = ["start", *w]
+            if order == 2:
+                self.pairs.update(zip(s, w))
+            else:
+                self.pairs[s[0], w[0]] += 1
+                self.triples.update(zip(s, w, w[1:]))
+        self.pairs.update((b, c) for _, b, c in self.triples)
+        self.second.update(b for _, b in self.pairs)
+        self.first, self.d, self.e = self.summed(self.pairs), self.cut(self.pairs), self.cut(self.second)
+        self.context, self.f = self.summed(self.triples), self.cut(self.triples)
         self.total = max(len(self.pairs), 1)
         self.rest = sum(self.e[min(n, 3)] for n in self.second.values()) / self.total if self.pairs else 1.0
 
+    def cut(self, counts):
+        return (0, *lm.discounts([sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]))
+
+    def summed(self, grams):
+        out = defaultdict(lambda: [0, 0, 0, 0])
+        for g, n in grams.items():
+            out[g[:-1]][0] += n
+            out[g[:-1]][min(n, 3)] += 1
+        return out
+
     def word(self, w):
         n = self.second[w]
         return max(n - self.e[min(n, 3)], 0) / self.total + self.rest / (len(self.c) + 1)
 
-    def chance(self, a, w):
-        if a not in self.first:
-            return self.word(w)
-        total, n = self.first[a], self.pairs.get((a, w), 0)
-        return max(n - self.d[min(n, 3)], 0) / total[0] + sum(self.d[k] * total[k] for k in (1, 2, 3)) / total[0] * self.word(w)
+    def mixed(self, total, d, n, lower):
+        return max(n - d[min(n, 3)], 0) / total[0] + sum(d[k] * total[k] for k in (1, 2, 3)) / total[0] * lower
+
+    def chance(self, a, b, w):
+        p = self.word(w)
+        if (b,) in self.first:
+            p = self.mixed(self.first[b,], self.d, self.pairs.get((b, w), 0), p)
+        if (a, b) in self.context:
+            p = self.mixed(self.context[a, b], self.f, self.triples.get((a, b, w), 0), p)
+        return p
 
     def scores(self, text):
         w, n, v = words(text), sum(self.c.values()), len(self.c)
         base = sum(math.log10((self.c[x] + 1) / (n + v + 1)) for x in w)
-        return len(w), sum(x in self.c for x in w), base, sum(math.log10(self.chance(a, b)) for a, b in zip(["start", *w[:-1]], w))
+        s = ["none", "start", *w]
+        return len(w), sum(x in self.c for x in w), base, sum(math.log10(self.chance(*x)) for x in zip(s, s[1:], w))
 
 
 def close(got, want):
@@ -67,9 +86,10 @@ def test_query_against_dictionaries(spark):
 
 
 def test_chances_sum_to_one():
-    plain = Plain(["a b c a b", "b c d", "a", None])
-    for before in ("start", b"a", b"b", b"unseen"):
-        assert sum(plain.chance(before, w) for w in [*plain.c, b"never"]) == pytest.approx(1)
+    for order in (2, 3):
+        plain = Plain(["a b c a b", "b c d", "a", None], order)
+        for before in (("none", "start"), ("start", b"a"), (b"a", b"b"), (b"b", b"b"), (b"a", b"unseen")):
+            assert sum(plain.chance(*before, w) for w in [*plain.c, b"never"]) == pytest.approx(1)
 
 
 def test_odd_documents(spark, odd, odd_rows, none):
@@ -89,11 +109,26 @@ def test_odd_documents(spark, odd, odd_rows, none):
 def test_small_merges_and_hot_words(spark, monkeypatch):
     texts = ["the " * 50 + "end", "the cat the dog the end", "x the y"] * 20
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    model = lm.fit(df.select("text"))
-    assert len(model.hot) >= 2
-    plain = Plain(texts)
-    for r in lm.scored(df, model).collect():
-        close(tuple(r)[1:], plain.scores(texts[r["doc_id"]]))
+    new = ["the cat the end", "end the cat unseen the dog", "unseen", ""]
+    asked = df.unionByName(spark.createDataFrame([(len(texts) + i, t) for i, t in enumerate(new)], df.schema))
+    for order in (2, 3):
+        model = lm.fit(df.select("text"), order)
+        assert len(model.hot) >= 2
+        plain = Plain(texts, order)
+        for r in lm.scored(asked, model).collect():
+            close(tuple(r)[1:], plain.scores((texts + new)[r["doc_id"]]))
+    with pytest.raises(ValueError):
+        lm.fit(df.select("text"), 4)
+
+
+def test_tries():
+    counts = np.array([1, 254, 255, 1 << 40, 2])
+    small = lm.short(counts)
+    assert small[0].dtype == np.uint8 and lm.counted(*small, np.array([3, 0, 2, 1, 4])).tolist() == [1 << 40, 1, 255, 254, 2]
+    values = np.array([1, 5, 9, 2, 3, 7], np.uint32)
+    asked = np.array([5, 9, 2, 7, 8, 1, 1], np.uint32)
+    low, high = np.array([0, 0, 3, 3, 3, 3, 2]), np.array([3, 2, 6, 6, 6, 6, 2])
+    assert lm.within(values, low, high, asked).tolist() == [1, -1, 3, 5, -1, -1, -1]
 
 
 def test_discounts():
