@@ -104,7 +104,7 @@ def save(uri: str, values: np.ndarray) -> None:
     system.move(name, path)
 
 
-@lru_cache(maxsize=8192)
+@lru_cache(maxsize=1 << 15)
 def mapped(uri: str, dtype: str) -> np.ndarray:
     """The array at ``uri``, memory-mapped: in place if the folder is mounted, else from an unlinked local copy."""
     from pyarrow import fs

@@ -40,8 +40,8 @@ from ._words import blocks, hashes, mix, spans
 #: Stored bytes of input for each shard, tokens that a map task merges at once.
 PER_SHARD, MERGED = 8 << 20, 1 << 21
 SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-#: Words of an n-gram: the query's.
-ORDER = 3
+#: Words of an n-gram: the query's; bytes of text that are scored at once, so that a visit of a shard looks up many keys.
+ORDER, SCORED = 3, 4 << 20
 #: Kinds of packed rows: words that come second, words that come first, counts of pairs to be summed, and how many n-grams were seen how often.
 _SECOND, _FIRST, _PAIRS, _PAIR_TIMES, _TRIPLE_TIMES = range(5)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -494,7 +494,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in blocks(batches):
+        for rows, data, offsets in blocks(batches, most=SCORED):
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x) for x in model.scores(data, offsets))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
