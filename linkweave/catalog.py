@@ -409,15 +409,89 @@ def _(spark, sf):
     return _pair(spark, sf).withColumn("f", similarity.fuzzy(features=("n_nospace_jw",))).select("q_id", "s1_id", F.round("f.n_nospace_jw", 6).alias("n_nospace_jw"))
 
 
-@_query("fuzz_ratios")
-def _(spark, sf):
-    return _pair(spark, sf).withColumn("f", similarity.fuzzy()).select("q_id", "s1_id", "f.*")
+def _sql_common(x: str, y: str) -> str:
+    """Length of a longest common subsequence of texts of at most 120 characters, a bit for each character of ``x``."""
+    full = f"((CAST(1 AS HUGEINT) << length({x})) - 1)"
+    places = f"list_sum(list_transform(range(length({x})), lambda i: CASE WHEN substr({x}, CAST(i + 1 AS BIGINT), 1) = c THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE CAST(0 AS HUGEINT) END))"
+    masks = f"list_transform(string_split({y}, ''), lambda c: CAST({places} AS HUGEINT))"
+    step = f"lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full}"
+    return f"CASE WHEN {x} = '' OR {y} = '' THEN 0 ELSE length({x}) - bit_count(list_reduce({masks}, {step}, {full})) END"
+
+
+def _sql_ratios(texts: str, windows: bool = True) -> str:
+    """CTEs that compare the distinct (kind, a, b) of ``texts``: fuzz has ratio, tsort, tset and, from windows, part of each."""
+    text = lambda x: f"array_to_string({x}, ' ')"
+    return f"""texts AS ({texts}), sets AS (
+  SELECT kind, a, b, list_filter(string_split(a, ' '), lambda t: t <> '') AS ta, list_filter(string_split(b, ' '), lambda t: t <> '') AS tb,
+    list_sort(list_distinct(ta)) AS u, list_sort(list_distinct(tb)) AS v, list_filter(u, lambda t: list_contains(v, t)) AS c,
+    list_filter(u, lambda t: NOT list_contains(v, t)) AS cu, list_filter(v, lambda t: NOT list_contains(u, t)) AS cv FROM texts
+), edges AS (SELECT kind, a, b, a AS short, b AS long FROM texts WHERE length(a) <= length(b) UNION ALL SELECT kind, a, b, b, a FROM texts WHERE length(a) >= length(b)
+), ends AS (SELECT *, unnest(range(1, length(short) + length(long))) AS e FROM edges WHERE short <> '' AND {windows}
+), compared AS (
+  SELECT kind, a, b, 'ratio' AS f, a AS x, b AS y FROM texts UNION ALL SELECT kind, a, b, 'tsort', {text("list_sort(ta)")}, {text("list_sort(tb)")} FROM sets
+  UNION ALL SELECT kind, a, b, 'tset', {text("list_concat(c, cu)")}, {text("list_concat(c, cv)")} FROM sets WHERE len(u) > 0 AND len(v) > 0
+  UNION ALL SELECT kind, a, b, 'tset', {text("c")}, {text("list_concat(c, cu)")} FROM sets WHERE len(c) > 0
+  UNION ALL SELECT kind, a, b, 'tset', {text("c")}, {text("list_concat(c, cv)")} FROM sets WHERE len(c) > 0
+  UNION ALL SELECT kind, a, b, 'part', short, substr(long, greatest(1, e - length(short) + 1), least(e, length(long)) - greatest(0, e - length(short))) FROM ends
+), once AS (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 100.0 ELSE 200.0 * CAST({_sql_common("x", "y")} AS DOUBLE) / (length(x) + length(y)) END AS r FROM (SELECT DISTINCT x, y FROM compared)
+), fuzz AS (SELECT kind, a, b, max(r) FILTER (WHERE f = 'ratio') AS ratio, max(r) FILTER (WHERE f = 'tsort') AS tsort,
+  coalesce(max(r) FILTER (WHERE f = 'tset'), 0.0) AS tset, coalesce(max(r) FILTER (WHERE f = 'part'), 0.0) AS part FROM compared JOIN once USING (x, y) GROUP BY ALL)"""
+
+
+_FUZZ_PAIRS = f"""{_PAIRS}, fp AS (
+  SELECT *, array_to_string(list_filter(list_transform(qt, lambda t: {_sql_skeleton("t")}), lambda t: t <> ''), ' ') AS qk, array_to_string(list_filter(list_transform(st, lambda t: {_sql_skeleton("t")}), lambda t: t <> ''), ' ') AS sk,
+    qnum || ' ' || qword AS qa, snum || ' ' || sword AS sa FROM pairs
+), {_sql_ratios("SELECT DISTINCT 'n' AS kind, qn_ AS a, sn_ AS b FROM fp UNION SELECT 'k', qk, sk FROM fp UNION SELECT 'a', qa, sa FROM fp UNION SELECT 'w', qword, sword FROM fp")}"""
+_FUZZ = f"""round(n.ratio, 6) AS n_ratio, round(n.tset, 6) AS n_tset, round(n.tsort, 6) AS n_tsort, round(n.part, 6) AS n_partial, round(n.ratio, 6) AS n_full_ratio, round(n.tset, 6) AS n_full_tset,
+  round(n.tset, 6) AS n_alias_best, round(jaro_winkler_similarity(replace(qn_, ' ', ''), replace(sn_, ' ', '')), 6) AS n_nospace_jw, round(k.ratio, 6) AS n_skel_ratio,
+  round(d.ratio, 6) AS a_ratio, round(d.tset, 6) AS a_tset, round(d.tsort, 6) AS a_tsort, round(w.tset, 6) AS a_words_tset, round(d.part, 6) AS a_partial"""
+_FUZZ_JOINS = """JOIN fuzz n ON n.kind = 'n' AND n.a = qn_ AND n.b = sn_ JOIN fuzz k ON k.kind = 'k' AND k.a = qk AND k.b = sk
+  JOIN fuzz d ON d.kind = 'a' AND d.a = qa AND d.b = sa JOIN fuzz w ON w.kind = 'w' AND w.a = qword AND w.b = sword"""
+
+
+@_query("fuzz_ratios", f"WITH {_FUZZ_PAIRS} SELECT q_id, s1_id, {_FUZZ} FROM fp {_FUZZ_JOINS}")
+def _(spark, sf):
+    return _pair(spark, sf).withColumn("f", similarity.fuzzy()).select("q_id", "s1_id", *(F.round(f"f.{c}", 6).alias(c) for c in similarity.FUZZY))
+
+
+@_query("raw_fuzz_ratios", f"""WITH {_RAW}, both_ AS (
+  SELECT a.id AS q_id, b.id AS s1_id, a.n_core AS qn, b.n_core AS sn, a.n_full AS qf, b.n_full AS sf, a.a_norm AS qa, b.a_norm AS sa, a.n_alias AS ql, b.n_alias AS sl,
+    a.n_nospace AS qj, b.n_nospace AS sj, array_to_string(a.a_words, ' ') AS qw, array_to_string(b.a_words, ' ') AS sw
+  FROM nrm a JOIN nrm b ON a.country = b.country AND a.n_skel = b.n_skel AND a.k % 4 <> 0 AND b.k % 4 = 0
+), aliases AS (SELECT q_id, s1_id, unnest(ql) AS x, sl FROM both_), alias_pairs AS (SELECT q_id, s1_id, x, unnest(sl) AS y FROM aliases
+), solid AS (SELECT q_id, s1_id, unnest(qj) AS x, sj FROM both_), solid_pairs AS (SELECT q_id, s1_id, x, unnest(sj) AS y FROM solid
+), {_sql_ratios("SELECT DISTINCT 'n' AS kind, qn AS a, sn AS b FROM both_ UNION SELECT 'f', qf, sf FROM both_ UNION SELECT 'a', qa, sa FROM both_ UNION SELECT 'w', qw, sw FROM both_ UNION SELECT 'l', x, y FROM alias_pairs", windows=False)
+}, best_alias AS (SELECT q_id, s1_id, max(tset) AS n_alias_best FROM alias_pairs JOIN fuzz ON kind = 'l' AND a = x AND b = y GROUP BY ALL
+), best_solid AS (SELECT q_id, s1_id, max(jaro_winkler_similarity(x, y)) AS n_nospace_jw FROM solid_pairs GROUP BY ALL)
+SELECT q_id, s1_id, round(n.ratio, 6) AS n_ratio, round(n.tsort, 6) AS n_tsort, round(f.ratio, 6) AS n_full_ratio, round(f.tset, 6) AS n_full_tset, round(n_alias_best, 6) AS n_alias_best, round(n_nospace_jw, 6) AS n_nospace_jw,
+  CASE WHEN qa = '' OR sa = '' THEN -1.0 ELSE round(d.ratio, 6) END AS a_ratio, CASE WHEN qa = '' OR sa = '' THEN -1.0 ELSE round(d.tset, 6) END AS a_tset,
+  CASE WHEN qa = '' OR sa = '' THEN -1.0 ELSE round(d.tsort, 6) END AS a_tsort, CASE WHEN qa = '' OR sa = '' THEN -1.0 ELSE round(w.tset, 6) END AS a_words_tset
+FROM both_ JOIN best_alias USING (q_id, s1_id) JOIN best_solid USING (q_id, s1_id) JOIN fuzz n ON n.kind = 'n' AND n.a = qn AND n.b = sn JOIN fuzz f ON f.kind = 'f' AND f.a = qf AND f.b = sf
+  JOIN fuzz d ON d.kind = 'a' AND d.a = qa AND d.b = sa JOIN fuzz w ON w.kind = 'w' AND w.a = qw AND w.b = sw""")
+def _(spark, sf):
+    """Raw records of equal sound: several aliases on a side, legal forms, empty and long addresses."""
+    rec = _normalised(spark, sf)
+    s1, q = rec.where("startswith(id, 'S1-')"), rec.where("NOT startswith(id, 'S1-')")
+    pairs = q.select(F.col("id").alias("q_id"), "country", "n_skel").join(s1.select(F.col("id").alias("s1_id"), "country", "n_skel"), ["country", "n_skel"]).select("q_id", "s1_id")
+    made = ("n_ratio", "n_tsort", "n_full_ratio", "n_full_tset", "n_alias_best", "n_nospace_jw", "a_ratio", "a_tset", "a_tsort", "a_words_tset")
+    return features.attach(pairs, s1, q).withColumn("f", similarity.fuzzy(features=made)).select("q_id", "s1_id", *(F.round(f"f.{c}", 6).alias(c) for c in made))
+
+
+def _sql_part(name: str) -> str:
+    """What a feature query selects beside the ids."""
+    return ORACLES[name].rpartition(" q_id, s1_id, ")[2].rpartition(" FROM ")[0]
 
 
-@_query("pair_features")
+@_query("pair_features", f"""WITH {_FUZZ_PAIRS}, e AS (SELECT *, CASE WHEN qword = sword THEN 1.0 ELSE 0.0 END AS same FROM fp)
+SELECT q_id, s1_id, round(score, 9) AS score, rank, round(score - max(score) OVER q, 6) AS blk_margin, count(*) OVER q AS q_ncand,
+  round(max(score) OVER q - coalesce(max(CASE WHEN rank = 1 THEN score END) OVER q, 0), 6) AS blk_gap12, count(*) OVER s AS s1_ncand,
+  CAST(sum(CASE WHEN rank = 0 THEN 1 ELSE 0 END) OVER s AS BIGINT) AS s1_rank0_cnt, round(score, 9) AS blk_score, rank AS blk_rank,
+  {_FUZZ}, {_sql_part("feat_names")}, {_sql_part("feat_numbers")}, {_sql_part("feat_addresses")}, 0 AS q_web, 0 AS s_web, 0 AS q_alias, 0 AS s_alias
+FROM e {_FUZZ_JOINS} WINDOW q AS (PARTITION BY q_id), s AS (PARTITION BY s1_id)""")
 def _(spark, sf):
     s1, q = views.sides(spark, sf)
-    return features.pair_features(features.with_context(resolve.candidates(spark, sf)), s1, q)
+    out = features.pair_features(features.with_context(resolve.candidates(spark, sf)), s1, q)
+    return out.withColumns({c: F.round(c, 9 if c in ("score", "blk_score") else 6) for c, kind in out.dtypes if kind == "double"})
 
 
 _KIND = """CASE WHEN qnum = snum THEN 'equal' WHEN length(qnum) = length(snum) AND abs(CAST(qnum AS BIGINT) - CAST(snum AS BIGINT)) <= 2 THEN 'same-len d<=2'
