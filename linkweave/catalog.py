@@ -985,7 +985,63 @@ def _overlap_scorer(a, b):
     return [len(set(x.lower().split()) & set(y.lower().split())) / max(1, len(set(x.lower().split()) | set(y.lower().split()))) for x, y in zip(a, b)]
 
 
-@_query("pair_rescoring")
+def _length_scorer(a, b):
+    return [min(len(x), len(y)) / max(1, len(x), len(y)) for x, y in zip(a, b)]
+
+
+@_query("pair_rescoring", f"""WITH {_SCORED}, u AS (
+  SELECT q_id, s1_id, round(p, 9) AS p, a.raw_name || ' | ' || a.raw_addr AS a, b.raw_name || ' | ' || b.raw_addr AS b FROM scored JOIN q a ON a.id = q_id JOIN s b ON b.id = s1_id WHERE p > 0.02 AND p < 0.98
+), w AS (SELECT *, list_distinct(string_split(lower(a), ' ')) AS x, list_distinct(string_split(lower(b), ' ')) AS y FROM u)
+SELECT q_id, s1_id, p, a, b, round((CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) + CAST(least(length(a), length(b)) AS DOUBLE) / greatest(length(a), length(b))) / 2, 9) AS ce FROM w""")
+def _(spark, sf):
+    s1, q = views.sides(spark, sf)
+    out = model.rescored(features.uncertain(resolve.scored(spark, sf).select("q_id", "s1_id", "p"), s1, q), [_overlap_scorer, _length_scorer])
+    return out.withColumns(_round("p", "ce", places=9))
+
+
+@_query("miss_categories", f"""WITH {_FUZZ_PAIRS} SELECT q_id, s1_id, CASE WHEN n.tset >= 80 AND d.tset >= 70 THEN 'both near' WHEN n.tset >= 80 THEN 'address differs'
+  WHEN d.tset >= 70 THEN 'name differs' ELSE 'both differ' END AS category FROM fp {_FUZZ_JOINS}""")
+def _(spark, sf):
+    """The category of every candidate pair, by its names' and addresses' common words."""
+    found = _pair(spark, sf).withColumn("f", similarity.fuzzy(features=("n_tset", "a_tset")))
+    return found.select("q_id", "s1_id", similarity.miss_category(F.col("f.n_tset"), F.col("f.a_tset")).alias("category"))
+
+
+# --- files, read back ----------------------------------------------------------------------------
+
+
+@_query("tsv_scan", f"WITH {_RAW} SELECT id AS entity_id, name AS business_name, address AS business_address, country FROM raw")
 def _(spark, sf):
+    """Raw records through a file of tab-separated text; empty addresses stay empty texts."""
+    path = f"{work_dir(spark, 'tsv-scan')}/raw"
+    tables.write_tsv(views.raw_records(spark, sf), path)
+    return tables.read_tsv(spark, path)
+
+
+@_query("truth_scan", f"WITH {_REC}{_TRUTH} SELECT CAST(q_id AS VARCHAR) AS q_id, CAST(true_s1_id AS VARCHAR) AS true_s1_id FROM truth WHERE true_s1_id IS NOT NULL")
+def _(spark, sf):
+    """Ground truth as a file of lists, read as pairs."""
     s1, q = views.sides(spark, sf)
-    return model.rescored(features.uncertain(resolve.scored(spark, sf).select("q_id", "s1_id", "p"), s1, q), [_overlap_scorer, _overlap_scorer])
+    path = f"{work_dir(spark, 'truth-scan')}/truth"
+    known = views.truth(s1, q).where("true_s1_id IS NOT NULL").withColumnRenamed("true_s1_id", "s1_id")
+    tables.write_tsv(tables.lists(known, s1), path)
+    return tables.read_truth(spark, path)
+
+
+@_query("cached_records", f"WITH {_REC} SELECT id, country, n_core FROM rec")
+def _(spark, sf):
+    """Records from a written table: built by the first call, loaded by the second."""
+    root, settings, inputs = work_dir(spark, "cached"), {"view": "records"}, [f"{sf}/part.parquet"]
+    tables.cached(spark, root, "records", settings, lambda: views.records(spark, sf), inputs)
+
+    def build():
+        raise RuntimeError("the table of these settings and inputs is written already")
+
+    return tables.cached(spark, root, "records", settings, build, inputs).select("id", "country", "n_core")
+
+
+@_query("list_copy", ORACLES["resolve_lists"])
+def _(spark, sf):
+    path = f"{work_dir(spark, 'list-copy')}/lists"
+    tables.copy_table(resolve_lists(spark, sf), path)
+    return tables.read_parquet(spark, path, ["source1_entity_id", "matched_entity_ids"])
