@@ -20,12 +20,15 @@ _TIDIED = [0.0]
 
 @lru_cache(maxsize=1)
 def _libc():
+    """The C library, told to map blocks of 1 MB or more by themselves, so that they go back when they are freed."""
     import ctypes
 
     try:
-        return ctypes.CDLL("libc.so.6")
-    except OSError:  # another C library: it keeps what it has freed
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)
+    except (OSError, AttributeError):  # another C library: it keeps what it has freed
         return None
+    return libc
 
 
 def tidy(least: float = 2.0) -> None:
@@ -41,6 +44,7 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` of tasks that give their memory back when they end."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _libc()
         yield from run(batches)
         tidy(0.0)
 
@@ -51,6 +55,7 @@ def apply_arrow(groups: GroupedData, one: Callable, schema) -> DataFrame:
     """``applyInArrow`` of groups; freed memory goes back now and then."""
 
     def task(table: pa.Table) -> pa.Table:
+        _libc()
         out = one(table)
         tidy()
         return out
@@ -94,13 +99,14 @@ def _place(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def save(uri: str, values: np.ndarray) -> None:
-    """Write an array to the shared folder; a task that runs twice replaces it by the same bytes."""
+def save(uri: str, *arrays: np.ndarray) -> None:
+    """Write arrays one after the other to a file of the shared folder; a task that runs twice replaces it by the same bytes."""
     system, path = _place(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
     name = f"{path}.{uuid.uuid4().hex}"
     with system.open_output_stream(name) as out:
-        out.write(np.ascontiguousarray(values).data.cast("B") if values.size else b"")
+        for values in arrays:
+            out.write(np.ascontiguousarray(values).data.cast("B") if values.size else b"")
     system.move(name, path)
 
 
@@ -125,10 +131,8 @@ def mapped(uri: str, dtype: str) -> np.ndarray:
 
 def save_parts(uri: str, arrays: list[np.ndarray]) -> None:
     """Several arrays in one file, each after its length and width, on bounds of eight bytes."""
-    cells = [np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], np.uint64).tobytes()]
-    for a in arrays:
-        cells += [np.ascontiguousarray(a).tobytes(), bytes(-a.nbytes % 8)]
-    save(uri, np.frombuffer(b"".join(cells), np.uint8))
+    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], np.uint64)
+    save(uri, head, *(x for a in arrays for x in (a, np.zeros(-a.nbytes % 8, np.uint8))))
 
 
 def parts(uri: str) -> list[np.ndarray]:

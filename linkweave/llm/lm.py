@@ -38,10 +38,10 @@ from ._store import Scratch, shards
 from ._words import blocks, hashes, mix, spans
 
 #: Stored bytes of input for each shard, tokens that a map task merges at once.
-PER_SHARD, MERGED = 8 << 20, 1 << 21
+PER_SHARD, MERGED = 4 << 20, 1 << 21
 SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 #: Words of an n-gram: the query's; bytes of text that are scored at once, so that a visit of a shard looks up many keys.
-ORDER, SCORED = 3, 4 << 20
+ORDER, SCORED = 3, 2 << 20
 #: Kinds of packed rows: words that come second, words that come first, counts of pairs to be summed, and how many n-grams were seen how often.
 _SECOND, _FIRST, _PAIRS, _PAIR_TIMES, _TRIPLE_TIMES = range(5)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -107,6 +107,11 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[edge], np.append(edge, len(keys))
 
 
+def changes(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Where a new pair of values begins, in two arrays ordered together."""
+    return np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (then[1:] != then[:-1])])) if len(first) else np.zeros(0, np.int64)
+
+
 def within(values: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Where each asked value stands in its own ascending range of ``values``; -1 if it does not."""
     low, end = low.astype(np.int64), high.astype(np.int64)
@@ -264,6 +269,7 @@ class Model:
         lower = chance[place]
         found = np.maximum(seen - np.array([0.0, *self.pair_discounts])[np.minimum(seen, 3)], 0)
         p = np.where(total > 0, found / np.maximum(total, 1) + rest * lower, lower)
+        del h, at, seen, pair, pair_place, total, rest, lower, found
         if self.order > 2:
             earlier = np.empty_like(before)
             earlier[1:] = before[:-1]
@@ -323,21 +329,21 @@ def _grams(train: DataFrame, model: Model) -> DataFrame:
         def flush() -> pa.RecordBatch:
             rows = []
             keys, counts = np.unique(np.concatenate(pairs), return_counts=True)
+            pairs.clear()
             shard = model.shard_of_key(keys)
             order = np.argsort(shard, kind="stable")
             for s, part in by_shard(shard[order]):
                 rows.append((1, s, packed_sorted(keys[order[part]]), None, None, packed(counts[order[part]], np.uint32)))
-            keys, which = np.unique(np.concatenate(contexts), return_inverse=True)
-            shard = model.shard_of_key(keys)
-            order = np.argsort(shard, kind="stable")  # contexts by shard, then in order
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            triples, counts = np.unique(joined(place[which], np.concatenate(thirds)), return_counts=True)
-            begin = np.searchsorted(triples, np.arange(len(order) + 1).astype(np.uint64) << np.uint64(32))
-            for s, part in by_shard(shard[order]):
-                inside = slice(begin[part.start], begin[part.stop])
-                then = (triples[inside] & _LOW).astype(np.uint32)
-                rows.append((0, s, packed_sorted(keys[order[part]]), packed(np.diff(begin[part.start : part.stop + 1]), np.uint32), packed(then.view(np.uint8).reshape(-1, 4).T), packed(counts[inside], np.uint32)))
+            keys, then = np.concatenate(contexts), np.concatenate(thirds)
+            contexts.clear(), thirds.clear()
+            shard = model.shard_of_key(keys).astype(np.uint32)
+            order = np.lexsort((then, keys, shard))
+            keys, then, shard = keys[order], then[order], shard[order]
+            new = changes(keys, then)
+            keys, then, shard, counts = keys[new], then[new], shard[new], np.diff(new, append=len(order))
+            for s, part in by_shard(shard):
+                key, begin = runs(keys[part])
+                rows.append((0, s, packed_sorted(key), packed(np.diff(begin), np.uint32), packed(then[part].view(np.uint8).reshape(-1, 4).T), packed(counts[part], np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
         for _, data, offsets in blocks(batches):
@@ -357,7 +363,7 @@ def _grams(train: DataFrame, model: Model) -> DataFrame:
             n += len(own)
             if n >= MERGED:
                 yield flush()
-                pairs, contexts, thirds, n = [], [], [], 0
+                n = 0
         if n:
             yield flush()
 
@@ -410,36 +416,44 @@ def fit(train: DataFrame, order: int = ORDER) -> Model:
         word, bounds = runs((keys >> np.uint64(32)).astype(np.uint32))
         save_parts(f"{root}/pairs/{shard}", [word, bounds.astype(np.uint32), (keys & _LOW).astype(np.uint32), *short(counts)])
         rows = [_times(_PAIR_TIMES, counts)]
-        second, times = np.unique((keys & _LOW).astype(np.int64), return_counts=True)
+        second = keys & _LOW
+        second.sort()
+        second, edges = runs(second)
+        second, times = second.astype(np.int64), np.diff(edges)
         for s, part in by_shard(np.searchsorted(model.starts, second, "right") - 1):
             rows.append((s, _SECOND, packed_sorted(second[part]), packed(times[part], np.int64)))
-        sums = np.stack([np.add.reduceat(x.astype(np.int64), bounds[:-1]) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
+        sums = np.stack([np.add.reduceat(x, bounds[:-1], dtype=np.int64) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
         for s, part in by_shard(np.searchsorted(model.starts, word.astype(np.int64), "right") - 1):
             rows.append((s, _FIRST, packed_sorted(word[part]), packed(sums[part], np.int64)))
         return rows
 
     def triples(shard: int, table: pa.Table) -> tuple[list[tuple], np.ndarray, np.ndarray]:
         """Write the triples of a shard; (rows, keys of their last two words, how many words stand before each)."""
-        keys, third, counts = [], [], []
-        for k, sizes, then, c in zip(*(table.column(x).to_pylist() for x in ("keys", "sizes", "then", "counts"))):
-            keys.append(np.repeat(unpacked_sorted(k), unpacked(sizes, np.uint32)))
-            third.append(np.ascontiguousarray(unpacked(then, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1))
-            counts.append(unpacked(c, np.uint32).astype(np.int64))
-        keys, third, counts = (np.concatenate(x) for x in (keys, third, counts))
+        cells = lambda *names: zip(*(table.column(x) for x in names))
+        keys = np.concatenate([np.repeat(unpacked_sorted(k.as_py()), unpacked(size.as_py(), np.uint32)) for k, size in cells("keys", "sizes")])
+        third = np.concatenate([np.ascontiguousarray(unpacked(c.as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1) for (c,) in cells("then")])
+        counts = np.concatenate([unpacked(c.as_py(), np.uint32) for (c,) in cells("counts")])
         at = np.lexsort((third, keys))
-        keys, third = keys[at], third[at]
-        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (third[1:] != third[:-1])]))
-        counts, keys, third = np.add.reduceat(counts[at], new), keys[new], third[new]
+        keys, third, counts = keys[at], third[at], counts[at]
+        del at
+        new = changes(keys, third)
+        keys, third, counts = keys[new], third[new], np.add.reduceat(counts, new, dtype=np.int64)
+        del new
         context, begin = runs(keys)
         middle, bounds = runs((context >> np.uint64(32)).astype(np.uint32))
         many = np.flatnonzero(np.diff(begin) > 1)  # what a context with one next word sums to is that word's count
-        sums, ones, twos = (np.add.reduceat(x.astype(np.int64), begin[:-1])[many] for x in (counts, counts == 1, counts == 2))
+        sums, ones, twos = (np.add.reduceat(x, begin[:-1], dtype=np.int64)[many] for x in (counts, counts == 1, counts == 2))
         save_parts(f"{root}/triples/{shard}", [
             middle, bounds.astype(np.uint32), (context & _LOW).astype(np.uint32), begin.astype(np.uint32), third,
             many.astype(np.uint32), sums.astype(np.uint64), ones.astype(np.uint32), twos.astype(np.uint32), *short(counts),
         ])
-        last, times = np.unique(keys & ~_LOW | third, return_counts=True)
-        return [_times(_TRIPLE_TIMES, counts)], last, times
+        rows = [_times(_TRIPLE_TIMES, counts)]
+        del context, begin, middle, bounds, many, sums, ones, twos, counts
+        keys &= ~_LOW
+        keys |= third
+        keys.sort()
+        last, edges = runs(keys)
+        return rows, last, np.diff(edges)
 
     def grams(table: pa.Table) -> pa.Table:
         kind, shard = (table.column(c)[0].as_py() for c in ("kind", "shard"))
