@@ -20,15 +20,19 @@ _TIDIED = [0.0]
 
 @lru_cache(maxsize=1)
 def _libc():
-    """The C library, told to map blocks of 1 MB or more by themselves, so that they go back when they are freed."""
     import ctypes
 
     try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)
-    except (OSError, AttributeError):  # another C library: it keeps what it has freed
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: it keeps what it has freed
         return None
-    return libc
+
+
+@lru_cache(maxsize=1)
+def map_large() -> None:
+    """From now on this worker maps blocks of 1 MB or more by themselves, so that they go back when they are freed."""
+    if _libc() is not None:
+        _libc().mallopt(-3, 1 << 20)
 
 
 def tidy(least: float = 2.0) -> None:
@@ -44,7 +48,6 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` of tasks that give their memory back when they end."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _libc()
         yield from run(batches)
         tidy(0.0)
 
@@ -55,7 +58,6 @@ def apply_arrow(groups: GroupedData, one: Callable, schema) -> DataFrame:
     """``applyInArrow`` of groups; freed memory goes back now and then."""
 
     def task(table: pa.Table) -> pa.Table:
-        _libc()
         out = one(table)
         tidy()
         return out

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import apply_arrow, map_arrow, mapped, packed, packed_sorted, parts, save, save_parts, unpacked, unpacked_sorted
+from ._arrays import apply_arrow, map_arrow, map_large, mapped, packed, packed_sorted, parts, save, save_parts, unpacked, unpacked_sorted
 from ._store import Scratch, shards
 from ._words import blocks, hashes, mix, spans
 
@@ -288,6 +288,7 @@ def _counted(train: DataFrame, keys_of: Callable, shard_of: Callable) -> DataFra
     """(shard, keys, counts) of merged keys, packed by map tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_large()
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -324,6 +325,7 @@ def _grams(train: DataFrame, model: Model) -> DataFrame:
     kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_large()
         pairs, contexts, thirds, n = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -456,6 +458,7 @@ def fit(train: DataFrame, order: int = ORDER) -> Model:
         return rows, last, np.diff(edges)
 
     def grams(table: pa.Table) -> pa.Table:
+        map_large()
         kind, shard = (table.column(c)[0].as_py() for c in ("kind", "shard"))
         rows, (keys, counts) = [], (None, None) if kind == 0 else _merged(table)
         if kind == 0:
@@ -508,6 +511,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_large()
         for rows, data, offsets in blocks(batches, most=SCORED):
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x) for x in model.scores(data, offsets))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
