@@ -2,7 +2,7 @@
 
 ``exact_knn`` deals both sides into blocks whose size is bounded, and compares block with block as matrices, so
 no side is broadcast and no pair of rows is ever shuffled; each pair of blocks keeps its best k. ``lsh_knn`` is
-the approximate way for very large canonical sides.
+the approximate way for very large canonical sides: it compares inside buckets of projections, block by block too.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -22,6 +22,8 @@ from .blocking import top_k
 
 #: Rows of one block of either side.
 BLOCK = 8192
+#: Sizes of so many buckets at most are broadcast.
+MOST_BUCKETS = 20_000
 
 
 def encode(records: DataFrame, encoder: Callable[[pd.Series], np.ndarray], text: str = "text") -> DataFrame:
@@ -38,7 +40,8 @@ def unit(vectors: DataFrame) -> DataFrame:
     """(id, group, vec) with unit length; null and zero vectors are dropped."""
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     sized = vectors.where("vec IS NOT NULL").withColumn("vec", F.transform("vec", lambda x: x.cast("double"))).withColumn("_norm", norm).where("_norm > 0")
-    return sized.withColumn("vec", F.transform("vec", lambda x: x / F.col("_norm"))).drop("_norm")
+    # The norm as an array beside the components: named inside their lambda, it would be summed anew for each of them.
+    return sized.withColumn("vec", F.zip_with("vec", F.array_repeat("_norm", F.size("vec")), lambda x, norm: x / norm)).drop("_norm")
 
 
 def exact_knn(s1: DataFrame, q: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
@@ -66,12 +69,52 @@ def exact_knn(s1: DataFrame, q: DataFrame, k: int = 20, block: int = BLOCK) -> D
     return top_k(pairs, k, "cos").withColumnRenamed("rank", "erank")
 
 
-def lsh_knn(s1: DataFrame, q: DataFrame, k: int = 20, bucket: float = 0.5, tables: int = 4, reach: float = 1.0) -> DataFrame:
-    """Approximate neighbours: random projections propose pairs within ``reach``, exact cosines rank them."""
+def lsh_knn(s1: DataFrame, q: DataFrame, k: int = 20, bucket: float = 0.5, tables: int = 4, reach: float = 1.0, block: int = BLOCK) -> DataFrame:
+    """Approximate neighbours: random projections propose pairs within ``reach``, exact cosines rank them.
+
+    The rows of a bucket are dealt into blocks of bounded size, and each pair of blocks keeps its best k: no pair that a
+    bucket proposes is shuffled with its vectors.
+    """
     left, right = (unit(df).withColumn("features", array_to_vector("vec")) for df in (q, s1))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(right)
-    near = model.approxSimilarityJoin(left, right, reach, "distance").where("datasetA.group <=> datasetB.group")
-    pairs = near.select(F.col("datasetA.id").alias("q_id"), F.col("datasetB.id").alias("s1_id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 9).alias("cos"))
+
+    def dealt(df: DataFrame, side: int) -> DataFrame:
+        each = model.transform(df).select("id", "group", "vec", F.posexplode("hashes").alias("table", "hash"))
+        return each.select("id", "vec", F.struct("group", "table", vector_to_array("hash")[0].alias("hash")).alias("bucket"), F.lit(side).alias("side"))
+
+    rows = dealt(left, 1).unionByName(dealt(right, 0))
+    sizes = rows.groupBy("bucket").agg(F.sum("side").alias("nq"), F.sum(1 - F.col("side")).alias("ns")).where("nq > 0 AND ns > 0")
+    few = sizes.limit(MOST_BUCKETS + 1).collect()
+    if len(few) <= MOST_BUCKETS:
+        sizes = F.broadcast(q.sparkSession.createDataFrame(few, sizes.schema))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    own = lambda n: F.array(F.pmod(F.xxhash64("id"), blocks(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    is_query = F.col("side") == 1
+    rows = rows.join(sizes, "bucket").withColumns({"qb": F.when(is_query, own("nq")).otherwise(every("nq")), "sb": F.when(is_query, every("ns")).otherwise(own("ns"))})
+    rows = rows.withColumn("qb", F.explode("qb")).withColumn("sb", F.explode("sb"))
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        qs, ss = part[part.side == 1], part[part.side == 0].sort_values("id")
+        out = [pd.DataFrame({"q_id": qs.id[:0], "s1_id": ss.id[:0], "cos": pd.Series(dtype=float)})]
+        if len(qs) and len(ss):
+            vectors, ids = np.stack(ss.vec.to_numpy()), ss.id.to_numpy()
+            for a in range(0, len(qs), 512):
+                cos = np.stack(qs.vec.to_numpy()[a : a + 512]) @ vectors.T
+                cos = np.where(2 - 2 * cos < reach * reach, np.round(cos, 9), -np.inf)
+                least = -np.partition(-cos, min(k, len(ids)) - 1, axis=1)[:, [min(k, len(ids)) - 1]]
+                row, column = np.nonzero((cos >= least) & (cos > -np.inf))
+                order = np.lexsort((column, -cos[row, column], row))  # equal ones by id
+                row, column = row[order], column[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, column = row[first], column[first]
+                out.append(pd.DataFrame({"q_id": qs.id.to_numpy()[a : a + 512][row], "s1_id": ids[column], "cos": cos[row, column]}))
+        return pd.concat(out)
+
+    kind = q.schema["id"].dataType.simpleString()
+    pairs = rows.groupBy("bucket", "qb", "sb").applyInPandas(best, f"q_id {kind}, s1_id {kind}, cos double")
+    # A pair may meet in several buckets; blocks of other shapes may sum in another order, which rounding may show.
+    pairs = pairs.groupBy("q_id", "s1_id").agg(F.max("cos").alias("cos"))
     return top_k(pairs, k, "cos").withColumnRenamed("rank", "erank")
 
 

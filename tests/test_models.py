@@ -87,6 +87,16 @@ def test_lsh_finds_most_neighbours(spark):
     assert exact.count() == 400 and exact.intersect(near).count() >= 0.9 * 400
 
 
+def test_lsh_compares_in_blocks(spark):
+    """Blocks of any size give the same neighbours, with their exact cosines; the pairs a bucket proposes are not joined."""
+    s1, q = views.vectors(spark, SF)
+    rows = lambda df: sorted(map(tuple, df.select("q_id", "s1_id", "cos", "erank").collect()))
+    near = neighbours.lsh_knn(s1, q, k=2, reach=1.3)
+    assert rows(near) == rows(neighbours.lsh_knn(s1, q, k=2, reach=1.3, block=37)) and "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString()
+    cosines = {r[:2]: r[2] for r in rows(neighbours.exact_knn(s1, q, k=1000))}
+    assert all(abs(cosines[r[:2]] - r[2]) < 2e-9 for r in rows(near))
+
+
 def test_stream_matches_batch(spark, tmp_path):
     s1, q = views.sides(spark, "/root/testdata/sf0.001")
     q.write.parquet(str(tmp_path / "in"))
