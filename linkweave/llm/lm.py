@@ -13,6 +13,7 @@
 
 Contexts and pairs are tries of sorted arrays: the words that all entries of a shard begin with, where the entries of each
 begin, and the next words, four bytes each; counts have one byte, and those of 255 or more stand in a list of their own.
+Every 64th entry stands once more, whole, in a short array that finds where to look in a long range.
 
 Map tasks merge equal words, pairs and triples before they are shuffled, packed by shard in one cell. The arrays lie
 in the shared folder; the driver only sees some numbers for each shard.
@@ -41,10 +42,12 @@ from ._words import blocks, hashes, mix, spans
 PER_SHARD, MERGED = 4 << 20, 1 << 21
 SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 #: Words of an n-gram: the query's; bytes of text that are scored at once, so that a visit of a shard looks up many keys.
-ORDER, SCORED = 3, 2 << 20
+ORDER, SCORED = 3, 4 << 20
 #: Kinds of packed rows: words that come second, words that come first, counts of pairs to be summed, and how many n-grams were seen how often.
 _SECOND, _FIRST, _PAIRS, _PAIR_TIMES, _TRIPLE_TIMES = range(5)
 _LOW = np.uint64(0xFFFFFFFF)
+#: Entries of a trie for each of its marks.
+_STEP = 64
 _END = mix(np.array([1], np.uint64))[0]
 
 
@@ -64,10 +67,15 @@ def merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Distinct keys in order, with their counts summed."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
+    return keys[first], np.add.reduceat(counts[order], first, dtype=np.int64)
+
+
+def dealt(shard: np.ndarray) -> np.ndarray:
+    """The order by shard in which entries of one shard stay as they are; 16 bits are sorted in linear time."""
+    return np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
 
 
 def by_shard(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -107,36 +115,37 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[edge], np.append(edge, len(keys))
 
 
-def changes(first: np.ndarray, then: np.ndarray) -> np.ndarray:
-    """Where a new pair of values begins, in two arrays ordered together."""
-    return np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (then[1:] != then[:-1])])) if len(first) else np.zeros(0, np.int64)
-
-
-def within(values: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Where each asked value stands in its own ascending range of ``values``; -1 if it does not."""
-    low, end = low.astype(np.int64), high.astype(np.int64)
-    high = end.copy()
-    left = np.flatnonzero(low < high)
-    while len(left):
-        middle = (low[left] + high[left]) >> 1
-        less = values[middle] < asked[left]
-        low[left[less]] = middle[less] + 1
-        high[left[~less]] = middle[~less]
-        left = left[low[left] < high[left]]
+def within(values: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndarray, marks: np.ndarray | None = None, keys: np.ndarray | None = None) -> np.ndarray:
+    """Where each asked value stands in its own ascending range of ``values``; -1 if it does not.
+
+    ``marks`` has the key of every ``_STEP``th entry, and ``keys`` those that are asked: they narrow the long ranges.
+    """
+    begin = low.astype(np.int64)
+    size = high.astype(np.int64) - begin
+    if marks is not None and len(wide := np.flatnonzero(size > _STEP)):
+        mark = (np.searchsorted(marks, keys[wide], "right") - 1) * _STEP
+        end = np.minimum(begin[wide] + size[wide], mark + _STEP)
+        begin[wide] = np.maximum(begin[wide], mark)
+        size[wide] = end - begin[wide]
+    some = np.flatnonzero(size > 0)
+    at, left, want = begin[some], size[some], asked[some]
+    for _ in range(int(left.max(initial=1) - 1).bit_length()):  # to the last entry that is not larger
+        half = left >> 1
+        at += half * (values[at + half] <= want)
+        left -= half
     out = np.full(len(low), -1, np.int64)
-    inside = np.flatnonzero(low < end)
-    same = inside[values[low[inside]] == asked[inside]]
-    out[same] = low[same]
+    same = values[at] == want
+    out[some[same]] = at[same]
     return out
 
 
-def among(first: np.ndarray, bounds: np.ndarray, then: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def among(first: np.ndarray, bounds: np.ndarray, then: np.ndarray, marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Where the second half of each key stands in the range of its first half; -1 if the trie lacks it."""
     out = np.full(len(keys), -1, np.int64)
     head, next_ = (keys >> np.uint64(32)).astype(np.uint32), (keys & _LOW).astype(np.uint32)
     at = np.minimum(np.searchsorted(first, head), len(first) - 1)
     known = np.flatnonzero(first[at] == head)
-    out[known] = within(then, bounds[at[known]], bounds[at[known] + 1], next_[known])
+    out[known] = within(then, bounds[at[known]], bounds[at[known] + 1], next_[known], marks, keys[known])
     return out
 
 
@@ -196,38 +205,46 @@ class Model:
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         shard = self.shard_of_key(keys)
-        order = np.argsort(shard, kind="stable")
+        order = dealt(shard)
         for s, part in by_shard(shard[order]):
             if found := parts(f"{self.root}/pairs/{s}"):
-                first, bounds, second, *counts = found
-                at = among(first, bounds, second, keys[order[part]])
+                first, bounds, second, marks, *counts = found
+                at = among(first, bounds, second, marks, keys[order[part]])
                 out[order[part][at >= 0]] = counted(*counts, at[at >= 0])
         return out
 
-    def triple_counts(self, contexts: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count of each triple, count of its context, the share that its context leaves to the lower order)."""
-        seen, total, kinds = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64), np.zeros((len(contexts), 3))
-        shard = self.shard_of_key(contexts)
-        order = np.argsort(shard, kind="stable")
-        for s, part in by_shard(shard[order]):
+    def triple_counts(self, contexts: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of each triple, count of each context, the share that each context leaves to the lower order).
+
+        A triple has its context's place in the high half and its third word in the low one; both arrays ascend, and each context has a triple.
+        """
+        seen, total, rest, place = np.zeros(len(triple), np.int64), np.zeros(len(contexts), np.int64), np.zeros(len(contexts)), np.full(len(contexts), -1, np.int64)
+        d1, d2, d3 = self.triple_discounts
+        shard, which = self.shard_of_key(contexts), (triple >> np.uint64(32)).astype(np.int64)
+        order, order3 = dealt(shard), dealt(shard[which])
+        for (s, part), (_, part3) in zip(by_shard(shard[order]), by_shard(shard[which[order3]])):
             found = parts(f"{self.root}/triples/{s}")
             if not found:
                 continue
-            middle, bounds, first, begin, then, place, sums, ones, twos, *counts = found
-            at = among(middle, bounds, first, contexts[order[part]])
+            middle, bounds, first, marks, begin, then, marks3, many_at, sums, ones, twos, *counts = found
+            at = among(middle, bounds, first, marks, contexts[order[part]])
+            place[order[part]] = at
             of, at = order[part][at >= 0], at[at >= 0]
-            low, high = begin[at].astype(np.int64), begin[at + 1].astype(np.int64)
-            one = high - low == 1
+            low = begin[at].astype(np.int64)
+            n = begin[at + 1] - low
+            one = n == 1
             own = counted(*counts, low[one])
-            total[of[one]] = own
-            kinds[of[one]] = np.stack([own == 1, own == 2, own > 2], 1)
-            many = np.searchsorted(place, at[~one])
-            total[of[~one]] = sums[many]
+            total[of[one]], rest[of[one]] = own, np.array([0.0, d1, d2, d3])[np.minimum(own, 3)]
+            many = np.searchsorted(many_at, at[~one])
             n1, n2 = ones[many].astype(np.int64), twos[many].astype(np.int64)
-            kinds[of[~one]] = np.stack([n1, n2, (high - low)[~one] - n1 - n2], 1)
-            at = within(then, low, high, third[of])
+            total[of[~one]], rest[of[~one]] = sums[many], n1 * d1 + n2 * d2 + (n[~one] - n1 - n2) * d3
+            of = order3[part3]
+            at = place[which[of]]
+            of, at = of[at >= 0], at[at >= 0]
+            third = triple[of] & _LOW
+            at = within(then, begin[at], begin[at + 1], third.astype(np.uint32), marks3, joined(at, third))
             seen[of[at >= 0]] = counted(*counts, at[at >= 0])
-        return seen, total, kinds @ np.array(self.triple_discounts) / np.maximum(total, 1)
+        return seen, total, rest / np.maximum(total, 1)
 
     def word_chances(self, second: np.ndarray) -> np.ndarray:
         """Lower order: how many different words a word follows, discounted, and the rest for all words alike."""
@@ -277,7 +294,8 @@ class Model:
             real = np.flatnonzero((before >= 0) & (earlier >= 0))
             contexts, which = np.unique(joined(before[real], earlier[real]), return_inverse=True)
             triple, triple_place = np.unique(joined(which, own[real] & int(_LOW)), return_inverse=True)  # unknown words are the largest number
-            seen, total, rest = (x[triple_place] for x in self.triple_counts(contexts[(triple >> np.uint64(32)).astype(np.int64)], (triple & _LOW).astype(np.uint32)))
+            seen, total, rest = self.triple_counts(contexts, triple)
+            seen, total, rest = seen[triple_place], total[which], rest[which]
             found = np.maximum(seen - np.array([0.0, *self.triple_discounts])[np.minimum(seen, 3)], 0)
             p[real] = np.where(total > 0, found / np.maximum(total, 1) + rest * p[real], p[real])
         base = np.log10((count + 1) / (self.n_tokens + self.n_words + 1))[place]
@@ -294,7 +312,7 @@ def _counted(train: DataFrame, keys_of: Callable, shard_of: Callable) -> DataFra
         def flush() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             shard = shard_of(keys)
-            order = np.argsort(shard, kind="stable")
+            order = dealt(shard)
             keys, counts = keys[order], counts[order]
             rows = [(s, packed_sorted(keys[part]), packed(counts[part], np.uint32)) for s, part in by_shard(shard[order])]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
@@ -333,19 +351,20 @@ def _grams(train: DataFrame, model: Model) -> DataFrame:
             keys, counts = np.unique(np.concatenate(pairs), return_counts=True)
             pairs.clear()
             shard = model.shard_of_key(keys)
-            order = np.argsort(shard, kind="stable")
+            order = dealt(shard)
             for s, part in by_shard(shard[order]):
                 rows.append((1, s, packed_sorted(keys[order[part]]), None, None, packed(counts[order[part]], np.uint32)))
-            keys, then = np.concatenate(contexts), np.concatenate(thirds)
-            contexts.clear(), thirds.clear()
-            shard = model.shard_of_key(keys).astype(np.uint32)
-            order = np.lexsort((then, keys, shard))
-            keys, then, shard = keys[order], then[order], shard[order]
-            new = changes(keys, then)
-            keys, then, shard, counts = keys[new], then[new], shard[new], np.diff(new, append=len(order))
-            for s, part in by_shard(shard):
-                key, begin = runs(keys[part])
-                rows.append((0, s, packed_sorted(key), packed(np.diff(begin), np.uint32), packed(then[part].view(np.uint8).reshape(-1, 4).T), packed(counts[part], np.uint32)))
+            context, which = np.unique(np.concatenate(contexts), return_inverse=True)
+            contexts.clear()
+            triple, counts = np.unique(joined(which, np.concatenate(thirds)), return_counts=True)
+            thirds.clear()
+            which, then = triple >> np.uint64(32), (triple & _LOW).astype(np.uint32)
+            shard = model.shard_of_key(context)[which]
+            order = dealt(shard)
+            which, then, counts = which[order], then[order], counts[order]
+            for s, part in by_shard(shard[order]):
+                at, begin = runs(which[part])
+                rows.append((0, s, packed_sorted(context[at]), packed(np.diff(begin), np.uint32), packed(then[part].view(np.uint8).reshape(-1, 4).T), packed(counts[part], np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
         for _, data, offsets in blocks(batches):
@@ -416,7 +435,7 @@ def fit(train: DataFrame, order: int = ORDER) -> Model:
     def pairs(shard: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
         """Write the pairs of a shard; rows for the ranges of their words."""
         word, bounds = runs((keys >> np.uint64(32)).astype(np.uint32))
-        save_parts(f"{root}/pairs/{shard}", [word, bounds.astype(np.uint32), (keys & _LOW).astype(np.uint32), *short(counts)])
+        save_parts(f"{root}/pairs/{shard}", [word, bounds.astype(np.uint32), (keys & _LOW).astype(np.uint32), keys[::_STEP], *short(counts)])
         rows = [_times(_PAIR_TIMES, counts)]
         second = keys & _LOW
         second.sort()
@@ -435,23 +454,24 @@ def fit(train: DataFrame, order: int = ORDER) -> Model:
         keys = np.concatenate([np.repeat(unpacked_sorted(k.as_py()), unpacked(size.as_py(), np.uint32)) for k, size in cells("keys", "sizes")])
         third = np.concatenate([np.ascontiguousarray(unpacked(c.as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1) for (c,) in cells("then")])
         counts = np.concatenate([unpacked(c.as_py(), np.uint32) for (c,) in cells("counts")])
-        at = np.lexsort((third, keys))
-        keys, third, counts = keys[at], third[at], counts[at]
-        del at
-        new = changes(keys, third)
-        keys, third, counts = keys[new], third[new], np.add.reduceat(counts, new, dtype=np.int64)
-        del new
-        context, begin = runs(keys)
+        context, which = np.unique(keys, return_inverse=True)
+        triple = joined(which, third)
+        del keys, third, which
+        triple, counts = merge(triple, counts)
+        which, begin = runs(triple >> np.uint64(32))
         middle, bounds = runs((context >> np.uint64(32)).astype(np.uint32))
+        third = (triple & _LOW).astype(np.uint32)
         many = np.flatnonzero(np.diff(begin) > 1)  # what a context with one next word sums to is that word's count
         sums, ones, twos = (np.add.reduceat(x, begin[:-1], dtype=np.int64)[many] for x in (counts, counts == 1, counts == 2))
         save_parts(f"{root}/triples/{shard}", [
-            middle, bounds.astype(np.uint32), (context & _LOW).astype(np.uint32), begin.astype(np.uint32), third,
+            middle, bounds.astype(np.uint32), (context & _LOW).astype(np.uint32), context[::_STEP], begin.astype(np.uint32), third, triple[::_STEP],
             many.astype(np.uint32), sums.astype(np.uint64), ones.astype(np.uint32), twos.astype(np.uint32), *short(counts),
         ])
         rows = [_times(_TRIPLE_TIMES, counts)]
-        del context, begin, middle, bounds, many, sums, ones, twos, counts
-        keys &= ~_LOW
+        del triple, middle, bounds, many, sums, ones, twos, counts
+        context &= ~_LOW
+        keys = np.repeat(context, np.diff(begin))
+        del context, begin
         keys |= third
         keys.sort()
         last, edges = runs(keys)
@@ -466,7 +486,7 @@ def fit(train: DataFrame, order: int = ORDER) -> Model:
         if shard < n:
             return rows_of(rows + pairs(shard, keys, counts))
         to = model.shard_of_key(keys)
-        at = np.argsort(to, kind="stable")
+        at = dealt(to)
         return rows_of(rows + [(s, _PAIRS, packed_sorted(keys[at[part]]), packed(counts[at[part]], np.uint32)) for s, part in by_shard(to[at])])
 
     def summed(table: pa.Table) -> pa.Table:

@@ -131,6 +131,22 @@ def test_tries():
     assert lm.within(values, low, high, asked).tolist() == [1, -1, 3, 5, -1, -1, -1]
 
 
+def test_marks_of_long_ranges(spark):
+    """Ranges of more entries than lie between two marks, at every place of them, and words that the trie lacks."""
+    rng = np.random.default_rng(3)
+    head, then = np.repeat(np.arange(5, 9, dtype=np.uint64), (1, 300, 64, 129)), np.concatenate([np.sort(rng.choice(900, n, replace=False)) for n in (1, 300, 64, 129)])
+    keys = lm.joined(head, then)
+    first, bounds = lm.runs(head.astype(np.uint32))
+    asked = lm.joined(*(x.ravel() for x in np.meshgrid(np.arange(4, 11), np.arange(901), indexing="ij")))
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    assert lm.among(first, bounds, then.astype(np.uint32), keys[:: lm._STEP], asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+    texts = [f"the w{i} x{i % 7}" for i in range(400)] + [f"a the w{i}" for i in range(0, 400, 3)]
+    model, plain = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string")), Plain(texts)
+    new = [*texts, "the w401 x1", "a the w1 x0", "the the w0", "the a"]
+    for r in lm.scored(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), model).collect():
+        close(tuple(r)[1:], plain.scores(new[r["doc_id"]]))
+
+
 def test_discounts():
     assert lm.discounts([0, 0, 0, 0]) == (0.5, 0.5, 0.5)
     assert all(0 <= d <= i for i, d in zip((1, 2, 3), lm.discounts([10, 5, 3, 2])))
